@@ -1,11 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from . import lines, media, quality_rules, url_filters
+from . import lines, media, packing, pieces, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
