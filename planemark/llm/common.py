@@ -138,7 +138,7 @@ def rolling(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    out = np.full(n, U(seed + 1) * BASE, dtype=U)
+    out = np.full(n, U((seed + 1) * int(BASE) % 2**64), dtype=U)
     for k in range(size):
         out *= U(0xD6E8FEB86659FD93)
         out += hashes[k : k + n]

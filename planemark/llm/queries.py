@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import lines, media, packing, pieces, quality_classifier, quality_rules, url_filters
+from . import lines, media, packing, pieces, quality_classifier, quality_rules, substrings, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
