@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import lines, media, ngram_join, packing, pieces, quality_classifier, quality_rules, substrings, url_filters
+from . import lines, media, ngram_join, packing, pieces, quality_classifier, quality_rules, substrings, suffixes, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_line_dedup": lines.op6_line_dedup,
