@@ -1,10 +1,79 @@
-"""A corpus pipeline of five stages over `documents`; see planemark.llm for the operators."""
+"""A corpus pipeline over `documents`: quality classifier, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planemark.llm import lines, ngram_join, packing, quality_classifier, suffixes
+from planemark.llm.common import read, stored
+
+#: Bytes of a repeated passage: 50 words of the corpus have about 300, the shortest ones somewhat less.
+PASSAGE_BYTES = 240
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """The columns of docs from `changed`, with the new text and, if there, its length."""
+    out = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
+    return changed.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go. Labels of the table `labels`: good is of quality and not toxic."""
+    labels = quality_classifier.good_labels(read(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, labels).where("quality_kept").select(*(f"`{c}`" for c in docs.columns))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten documents or more go; every document stays, if need be with an empty text."""
+    return _with_text(docs, lines.drop_common_lines(docs, min_docs=10), "kept_text")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays.
+
+    A null id is never the smallest of a group with others. Rows of one id share their fate, and of those with one text one stays.
+    """
+    classes = ngram_join.similarity_classes(docs, size=5, percent=80)
+    gone = classes.where("doc_id IS NOT NULL AND component_id <> doc_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id").distinct()
+    key = F.struct("doc_id", F.sha2("text", 256))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return kept.withColumn("_key", key).dropDuplicates(["_key"]).select(*(f"`{c}`" for c in docs.columns))
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that stand twice or more in the corpus go, in every place; every document stays."""
+    sliced = suffixes.repeated_bytes(docs, PASSAGE_BYTES, keep_text=True).where("n_removed > 0")
+    sliced = sliced.select(F.col("doc_id").alias("_id"), "given_sha256", "kept_text").dropDuplicates(["_id", "given_sha256"])
+    same = docs["doc_id"].eqNullSafe(sliced["_id"]) & (F.sha2(docs["text"], 256) == sliced["given_sha256"])
+    joined = docs.join(sliced, same, "left")
+    return _with_text(docs, joined.withColumn("_text", F.coalesce("kept_text", "text", F.lit(""))), "_text")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", passage_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Trained weights, hashes and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):  # type: ignore[no-untyped-def]
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

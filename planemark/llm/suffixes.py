@@ -192,7 +192,7 @@ SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts ar
 
 def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) -> DataFrame:
     """For every row of `docs` (doc_id, text) the maximal runs of bytes that lie in `size`-byte strings which also start elsewhere,
-    in this or another row, and what is kept; with keep_text also kept_text, where bytes that no longer make UTF-8 are dropped.
+    in this or another row, and what is kept; with keep_text also kept_text, where bytes that no longer make UTF-8 are dropped, and given_sha256 of the whole text.
 
     Null or empty text has no bytes. Repeated rows repeat one another; null ids are ids. Extra columns are left out; an empty table
     gives an empty result. Segments count as equal by 128 bits of hashes; all else is compared byte by byte in the arrays.
@@ -226,10 +226,10 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
     for m in marked[1:]:
         places = places.unionByName(m)
     places = places.withColumn("bucket", F.pmod(_unsigned_mod("row_key", shards), F.lit(shards)).cast("int"))
-    schema = SPANS + (", kept_text string" if keep_text else "")
+    schema = SPANS + (", kept_text string, given_sha256 string" if keep_text else "")
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         rows = _rows(found)
         begin = found.column("start").to_numpy() if found.num_rows else np.zeros(0, np.int64)
         firsts, lengths = found.column("run_starts").to_pylist(), found.column("run_lengths").to_pylist()
@@ -246,11 +246,11 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
                 step = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(first) else text
-                for c, x in zip(cols, (len(text), int(gone.sum()), len(first), first, last - first, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
+                for c, x in zip(cols, (len(text), int(gone.sum()), len(first), first, last - first, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, hashlib.sha256(text).hexdigest() if keep_text else None), strict=True):
                     c.append(x)
         longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), pa.int64(), longs, longs, pa.string(), pa.string()]
-        made = [pa.array(c, k) for c, k in zip(cols[: 7 if keep_text else 6], kinds, strict=False)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), longs, longs, pa.string(), pa.string(), pa.string()]
+        made = [pa.array(c, k) for c, k in zip(cols[: 8 if keep_text else 6], kinds, strict=False)]
         return pa.Table.from_arrays([own.column("doc_id").combine_chunks(), *made], names=[x.split()[0] for x in schema.split(", ")])
 
     return sharded.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(run, schema)
