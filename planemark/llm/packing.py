@@ -8,6 +8,7 @@ grow with the number of documents. Rows find their places on the executors.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,7 +24,9 @@ CAPACITY = 2048
 EOT = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words of up to so many characters are remembered, up to so many of them in a worker.
-LONGEST, REMEMBERED = 48, 300_000
+LONGEST, REMEMBERED = 48, 900_000
+#: Marks that end a word; letters before them are encoded apart from them.
+MARKS = ".,;:!?#*%&$|<>()[]{}\"-_/+=~^@"
 
 _state: dict = {}
 
@@ -48,12 +51,23 @@ def word_ids(texts: list[str], tokenizer_path: str) -> list[bytes]:
         known[""] = b""
         new = set().union(*split).difference(known)
     order = list(new)
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    # A run of letters is a unit of its own, in lower case: most new words are known ones with a capital or marks.
+    units = {}
+    for w in order:
+        core = w.rstrip(MARKS)
+        if core.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core):
+            units[w] = (core.lower(), w[len(core) :])
+    wanted = {x for pair in units.values() for x in pair}
+    wanted.update(w for w in order if w not in units)
+    missing = [w for w in wanted if w not in known]
+    for at in range(0, len(missing), 4096):
+        some = missing[at : at + 4096]
         for w, e in zip(some, _state["tokenizer"].encode_batch_fast(some, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
+    for w, (core, marks) in units.items():
+        known[w] = known[core] + known[marks]
     out = [b"".join(map(known.__getitem__, words)) for words in split]
-    for w in order:
+    for w in {*order, *missing}:
         if len(w) > LONGEST:
             del known[w]
     return out
