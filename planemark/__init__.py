@@ -1,0 +1 @@
+"""Local structural orientation from drillhole assays, as Spark jobs."""
