@@ -13,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U, mix, parts, range_hashes, ranged, read, rolling, ship, stored, within, words
 from .components import components
-from .packed import SCHEMA, Gather, bits_for, by_bucket, split, text_bytes, unpack, _arrow
+from .packed import Gather, bits_for, split, text_bytes, unpack, _arrow
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -45,12 +45,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return rows[new], keys[new]
 
 
+LOW = 48
+
+
 def _pack_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """All tokens, packed by the upper bits of their hashes. Headers: two sums of the set's tokens, their number, doc_id, and whether
-    it is null. Each document is also in the bucket of its set."""
+    """All tokens (kind 0), packed by the upper bits of their hashes, with 48 further bits; headers: two sums of the set's tokens,
+    which name it. And all documents (kind 1), by the bucket of their sets; headers: the sums, their number, doc_id, and whether it
+    is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather()
+        tokens, homes = Gather(), Gather()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, gather in ((0, tokens), (1, homes)):
+                for b in gather.flush():
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows, pa.int32()), b.column(1)], ["bucket", "kind", "payload"])
+
         for batch, data, offsets in parts(batches):
             rows, keys = shingle_sets(data, offsets, size)
             n = batch.num_rows
@@ -59,44 +69,62 @@ def _pack_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
             for codes in (mix(keys ^ U(1)), mix(keys ^ U(2))):
                 all_ = np.concatenate((np.zeros(1, U), np.cumsum(codes, dtype=U)))
                 sums.append(all_[edges[1:]] - all_[edges[:-1]])
+            tokens.add(sums, (keys >> U(64 - bits)).astype(np.int32), rows, [(keys & U(0xFFFFFFFF)).astype(np.uint32), ((keys >> U(32)) & U(0xFFFF)).astype(np.uint16)])
             ids = batch.column("doc_id")
-            headers = [*sums, np.diff(edges).astype(U), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U), np.asarray(ids.is_null().to_numpy(zero_copy_only=False)).astype(U)]
-            gather.add(headers, (keys >> U(64 - bits)).astype(np.int32), rows, [keys], (mix(sums[0]) >> U(64 - bits)).astype(np.int32))
-            if gather.full():
-                yield from gather.flush()
-        yield from gather.flush()
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+            null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False)).astype(U)
+            homes.add([*sums, np.diff(edges).astype(U), number, null], (mix(sums[0]) >> U(64 - bits)).astype(np.int32), np.arange(n), [np.zeros(n, np.uint16)])
+            if tokens.full():
+                yield from flush()
+        yield from flush()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(run, KINDS)
 
 
-def _shared(packed: DataFrame, bits: int, shards: int) -> DataFrame:
-    """For each set, its tokens that another set has too, with the number of documents that have them; packed by the set's shard."""
+KINDS = "bucket int, kind int, payload binary"
 
-    def fold(bucket: int, headers: list[np.ndarray], counts: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        (keys,) = columns
-        rows = np.repeat(np.arange(len(counts)), counts)
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate(([True], keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, bool)
-        begins, group = np.flatnonzero(new), np.cumsum(new) - 1
-        hit, df = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint32)
-        if len(keys):
+
+def _kinds(table: pa.Table) -> tuple[tuple, tuple]:
+    """What was packed of kind 0 and of kind 1, each as headers, counts and columns."""
+    kind = table.column("kind").to_pylist()
+    payloads = [[p.as_py() for p, k in zip(table.column("payload"), kind, strict=True) if k == want] for want in (0, 1)]
+    none = [np.zeros(0, U)]
+    return tuple(unpack(p) if p else (none * n, np.zeros(0, np.int64), [np.zeros(0, U)] * 3) for p, n in zip(payloads, (2, 5), strict=True))  # type: ignore[return-value]
+
+
+def _shared(packed: DataFrame, bits: int, shards: int) -> DataFrame:
+    """For each set, its tokens that another set has too, with the number of documents that have them, by the set's shard; and the
+    documents, by the same shard."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = U(key[0].as_py())
+        (headers, counts, columns), (homes, _, _) = _kinds(table)
+        out = []
+        if len(columns[0]):
+            low = (columns[1].astype(U) << U(32)) | columns[0].astype(U)
+            rows = np.repeat(np.arange(len(counts)), counts)
+            order = np.argsort(low, kind="stable")
+            new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
+            begins, group = np.flatnonzero(new), np.cumsum(new) - 1
             # A group of copies is one set: what only they have is not shared.
             sets = headers[0][rows][order]
-            several = np.minimum.reduceat(sets, begins) != np.maximum.reduceat(sets, begins)
-            hit[order] = several[group]
-            df[order] = np.diff(np.append(begins, len(keys)))[group]
-        home = (mix(headers[0]) >> U(64 - bits)) == U(bucket)
-        used = home.copy()
-        used[rows[hit]] = True
-        place = np.cumsum(used) - 1
-        heads = [*(h[used] for h in headers), home[used].astype(U)]
-        shard = (heads[0] % U(shards)).astype(np.int32)
-        own = place[rows[hit]]
-        # Documents that are only at home in this bucket come without entries.
-        yield from split(shard[own], heads, own, [keys[hit], df[hit]], shard)
-
-    return by_bucket(packed, fold)
+            several = (np.minimum.reduceat(sets, begins) != np.maximum.reduceat(sets, begins))[group]
+            df = np.diff(np.append(begins, len(low)))[group].astype(np.uint32)
+            place = order[several]
+            back = np.argsort(place, kind="stable")
+            place, df = place[back], df[several][back]
+            used, own = np.unique(rows[place], return_inverse=True)
+            heads = [h[used] for h in headers]
+            token = low[place] ^ (bucket << U(LOW) if bits <= 64 - LOW else mix(np.full(1, bucket, U))[0])
+            out += [(0, b) for b in split((heads[0] % U(shards)).astype(np.int32)[own], heads, own, [token, df])]
+        if len(homes[0]):
+            n = np.arange(len(homes[0]))
+            out += [(1, b) for b in split((homes[0] % U(shards)).astype(np.int32), homes, n, [np.zeros(len(n), np.uint16)])]
+        batches = [pa.RecordBatch.from_arrays([b.column(0), pa.array([k] * b.num_rows, pa.int32()), b.column(1)], ["bucket", "kind", "payload"]) for k, b in out]
+        return pa.Table.from_batches(batches, schema=_arrow(KINDS))
+
+    return packed.groupBy("bucket").applyInArrow(run, KINDS)
 
 
 SETS = "doc_id long, h1 long, h2 long, n_shingles long, n_shared long, n_rare long, mass long, tokens array<long>"
@@ -108,36 +136,36 @@ def _gathered(shared: DataFrame, percent: int, rare: int) -> DataFrame:
     mass: the mean number of documents that have a token of the set; the source of many near copies has the greatest.
     """
 
-    def fold(_: int, headers: list[np.ndarray], counts: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, df = columns
+    def run(table: pa.Table) -> pa.Table:
+        (headers, counts, columns), (homes, _, _) = _kinds(table)
+        keys, df = columns[0].astype(U), columns[1].astype(np.int64)
         rows = np.repeat(np.arange(len(counts)), counts)
-        h1, h2, n, ids, null, home = headers
-        order = np.lexsort((ids, n, h2, h1))
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (n[order][1:] != n[order][:-1])
-        name = np.empty(len(order), np.int64)
-        name[order] = np.cumsum(new) - 1
+        h1, h2, n, ids, null = homes
+        # One name for equal sums, of the documents and of what came for the sets.
+        both = np.rec.fromarrays([np.concatenate((h1, headers[0])), np.concatenate((h2, headers[1]))])
+        name = np.unique(both, return_inverse=True)[1]
+        of_doc, of_row = name[: len(h1)], name[len(h1) :]
         # Of the tokens that copies send, one each is kept.
-        entry = np.lexsort((keys, df, name[rows]))
-        sets, keys, df = name[rows][entry], keys[entry], df[entry]
+        entry = np.lexsort((keys, df, of_row[rows]))
+        sets, keys, df = of_row[rows][entry], keys[entry], df[entry]
         once = np.ones(len(sets), bool)
         once[1:] = (sets[1:] != sets[:-1]) | (keys[1:] != keys[:-1])
         sets, keys, df = sets[once], keys[once].view(np.int64), df[once]
-        edges = np.searchsorted(sets, np.arange(int(new.sum()) + 1))
-        own = order[home[order] == 1]
+        edges = np.searchsorted(sets, np.arange(len(name) + 2))
+        own = np.lexsort((ids, of_doc))
         first = np.ones(len(own), bool)
-        first[1:] = name[own][1:] != name[own][:-1]
-        a, b = edges[name[own]], edges[name[own] + 1]
+        first[1:] = of_doc[own][1:] != of_doc[own][:-1]
+        a, b = edges[of_doc[own]], edges[of_doc[own] + 1]
         size = n[own].astype(np.int64)
         enough = first & (size > 0) & (100 * (b - a) >= percent * size)
         all_df = np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
         n_rare = [int(np.searchsorted(df[x:y], rare, "right")) if e else 0 for x, y, e in zip(a, b, enough, strict=True)]
         tokens = [keys[x:y] if e else None for x, y, e in zip(a, b, enough, strict=True)]
         doc = pa.array(ids[own].view(np.int64), mask=null[own] == 1)
-        cols = [doc, *(pa.array(x) for x in (h1[own].view(np.int64), h2[own].view(np.int64), size, b - a)), pa.array(n_rare, pa.int64()), pa.array((all_df[b] - all_df[a]) // np.maximum(size, 1)), pa.array(tokens, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SETS.split(", ")])
+        cols = [doc, *(pa.array(np.ascontiguousarray(x)) for x in (h1[own].view(np.int64), h2[own].view(np.int64), size, b - a)), pa.array(n_rare, pa.int64()), pa.array((all_df[b] - all_df[a]) // np.maximum(size, 1)), pa.array(tokens, pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(cols, names=[x.split()[0] for x in SETS.split(", ")])
 
-    return by_bucket(shared, fold, SETS)
+    return shared.groupBy("bucket").applyInArrow(run, SETS)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -206,7 +234,7 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
     more; component_id is the smallest doc_id that links reach, the row's own included. Fewer words than `size` are one shingle;
     rows without words have none and are linked with nothing. Rows with equal sets are linked however many there are. A null
     doc_id is smaller than none: its component_id is that of its links, or null. Repeated rows are linked with one another;
-    extra columns are left out; an empty table gives an empty result. Sets are compared by 64-bit hashes of their shingles.
+    extra columns are left out; an empty table gives an empty result. Sets are compared by hashes of their shingles (48 bits and the bucket's).
     """
     ship(docs.sparkSession)
     n_bytes = text_bytes(docs)
