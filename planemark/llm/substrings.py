@@ -90,13 +90,32 @@ def _anchored(packed: DataFrame, block: int, shards: int) -> DataFrame:
     return by_bucket(packed, fold)
 
 
-def _shard(docs: DataFrame, shards: int) -> DataFrame:
-    """Adds row_key and bucket (its shard) to docs."""
+SLOT_BITS = 22
+
+
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """A bit for each of 2**22 ranges of row keys, set if rows (row_key) have one of it: half a megabyte whatever their number.
+
+    It spares the shuffle of texts that are not asked for; where very many are, it is full and spares nothing.
+    """
+    slot = F.shiftrightunsigned("row_key", 64 - SLOT_BITS)
+    words_ = rows.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(row_key, 42) & 31 AS INT))")).alias("b")).collect()
+    out = np.zeros(1 << (SLOT_BITS - 5), np.uint32)
+    out[[r["w"] for r in words_]] = [r["b"] for r in words_]
+    return out
+
+
+def _shard(docs: DataFrame, shards: int, only: np.ndarray | None = None) -> DataFrame:
+    """Adds row_key and bucket (its shard) to docs; only: as from row_filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in parts(batches):
             key = row_keys(_ids(batch), range_hashes(data), offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key.view(np.int64)), pa.array((key % U(shards)).astype(np.int32))], ["doc_id", "text", "row_key", "bucket"])
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key.view(np.int64)), pa.array((key % U(shards)).astype(np.int32))], ["doc_id", "text", "row_key", "bucket"])
+            if only is not None:
+                slot = (key >> U(64 - SLOT_BITS)).astype(np.int64)
+                out = out.filter(pa.array((only[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+            yield out
 
     return _source(docs).mapInArrow(run, "doc_id long, text string, row_key long, bucket int")
 

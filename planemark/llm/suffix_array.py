@@ -11,7 +11,7 @@ SWEPT = 2048
 def _classes(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one. The last value is the only smallest."""
     step = np.sign(np.diff(t.astype(np.int32)))
-    change = np.where(step != 0, np.arange(len(step)), len(step))
+    change = np.where(step != 0, np.arange(len(step), dtype=np.int32), np.int32(len(step)))
     following = np.minimum.accumulate(change[::-1])[::-1]
     out = np.ones(len(t), bool)
     out[:-1] = step[following] > 0
@@ -162,8 +162,8 @@ def shared_windows(raw: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarra
         return np.zeros(0, bool)
     ends = np.cumsum(lengths)
     # Bytes from 2, 1 after each string, and 0 at the end.
-    number = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(n) + number
+    number = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    place = np.arange(n, dtype=np.int32) + number
     t = np.ones(n + len(lengths) + 1, np.int16)
     t[place] = raw.astype(np.int16) + 2
     t[-1] = 0
@@ -173,13 +173,14 @@ def shared_windows(raw: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarra
     to_raw[place] = np.arange(n)
     order = to_raw[sa]
     order = order[order >= 0]
+    del sa, to_raw, t, place
     phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
     left = (ends[number] - np.arange(n)).astype(np.int32)
     starts = np.zeros(n, bool)
     starts[(ends - lengths)[lengths > 0]] = True
     # A prefix is reducible if the places before also agree: then it is one shorter than theirs.
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     before = np.maximum(phi - 1, 0)
     reducible = ~starts & (phi > 0) & ~starts[np.maximum(phi, 0)]
     reducible[1:] &= raw[:-1] == raw[before[1:]]

@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import U, mix, parts, range_hashes, ranged, read, ship, stored
 from .packed import text_bytes, _arrow
-from .substrings import _ids, _shard
+from .substrings import _ids, _shard, row_filter
 from .suffix_array import shared_windows
 
 GRAM = 48
 PLACE_BITS = 28
 PLACE = U((1 << PLACE_BITS) - 1)
 #: Different segments of one anchor up to which they go into one shard; beyond, windows in blocks of BLOCKS are cut apart.
-MOST, BLOCKS = 2000, (32, 1)
-SHARD_BYTES = 1_200_000
+MOST, BLOCKS = 1200, (32, 1)
+SHARD_BYTES = 700_000
+#: Bytes of text hashed at a time.
+PART = 1 << 20
 SEGMENTS = "anchor long, content long, row_key long, row_id long, start long, windows long, before long"
 
 
@@ -55,7 +57,7 @@ def _segments(docs: DataFrame, size: int) -> DataFrame:
     width = size - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in parts(batches):
+        for batch, data, offsets in parts(batches, PART):
             if len(data) < size:
                 continue
             total = range_hashes(data)
@@ -102,7 +104,7 @@ def _cut(sharded: DataFrame, segments: DataFrame, shards: int, size: int, block:
         out = []
         rows = _rows(given)
         starts, windows, before, anchors = (given.column(c).to_numpy() for c in ("start", "windows", "before", "anchor"))
-        for batch, data, offsets in parts(iter(own.to_batches())):
+        for batch, data, offsets in parts(iter(own.to_batches()), PART):
             doc, r = _own_rows(batch, rows)
             if not len(r):
                 continue
@@ -147,7 +149,7 @@ def _fetched(sharded: DataFrame, reps: DataFrame, shards: int, arrays: int, size
         names = [given.column(c).to_numpy() for c in ("array", "anchor", "content", "copies")]
         starts, lengths = given.column("start").to_numpy(), given.column("windows").to_numpy() + size - 1
         seen = set()
-        for batch, data, offsets in parts(iter(own.to_batches())):
+        for batch, data, offsets in parts(iter(own.to_batches()), PART):
             raw = data.tobytes()
             for i, r in zip(*(x.tolist() for x in _own_rows(batch, rows)), strict=True):
                 if r not in seen:  # repeated rows have one representative
@@ -214,13 +216,13 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
         everywhere = few.where("copies > 1").select("anchor", "content", F.array(F.lit(0).cast("long")).alias("run_starts"), F.array("windows").alias("run_lengths"))
         runs = everywhere
         if n_bytes:
-            fetched = _fetched(sharded, reps, shards, max(1, n_bytes // SHARD_BYTES), size)
+            fetched = _fetched(_shard(docs, shards, row_filter(reps)), reps, shards, max(1, n_bytes // SHARD_BYTES), size)
             runs = runs.unionByName(_sorted_shards(fetched, size))
         marked.append(stored(segments.join(runs, ["anchor", "content"]).select("row_key", "row_id", "start", "run_starts", "run_lengths"), "marked"))
         if many.isEmpty():
             break
         hot = segments.join(many.select("anchor").distinct(), "anchor", "left_semi")
-        segments = stored(_cut(sharded, hot, shards, size, block), "segments")
+        segments = stored(_cut(_shard(docs, shards, row_filter(hot)), hot, shards, size, block), "segments")
         classes = stored(_classes(segments), "classes")
     places = marked[0]
     for m in marked[1:]:
@@ -233,7 +235,7 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
         rows = _rows(found)
         begin = found.column("start").to_numpy() if found.num_rows else np.zeros(0, np.int64)
         firsts, lengths = found.column("run_starts").to_pylist(), found.column("run_lengths").to_pylist()
-        for batch, data, offsets in parts(iter(own.to_batches())):
+        for batch, data, offsets in parts(iter(own.to_batches()), PART):
             raw = data.tobytes()
             for i, k in enumerate(zip(batch.column("row_key").to_numpy().tolist(), _ids(batch).tolist(), strict=True)):
                 text = raw[int(offsets[i]) : int(offsets[i + 1])]
