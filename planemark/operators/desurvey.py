@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..sources.store import written
 
 
 def stations(collars: DataFrame, surveys: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def desurveyed(samples: DataFrame, collars: DataFrame, surveys: DataFrame) -> tu
     collars = unique_collars(collars)
     ends = [("from", "From_m"), ("to", "To_m"), ("mid", "mid_m")]
     asked = samples.select("HoleID", F.explode(F.array("From_m", "To_m", "mid_m")).alias("Depth_m"))
-    path = paths(collars, surveys, asked)
+    path = written(paths(collars, surveys, asked), "paths")
     out = samples
     # The depths were copied, not computed anew, so they are equal to the last bit.
     for prefix, depth in ends:

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matrices import SIX
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table in the shared folder, so that rounds do not repeat earlier ones."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planemark"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.store import written
 
 
 def neighbour_means(values: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from ..operators.desurvey import desurveyed, hole_traces, with_src_index
 from ..operators.estimators import orientations
 from ..operators.score import scored
+from ..sources.store import written
 from ..sources.tables import load_points, load_tables
 
 
 @dataclass
 class Prepared:
-    """scored: all samples with places, score and rank; active: those that take part; paths: hole paths."""
+    """scored: all samples with places, score and rank; active: those that take part, written once; paths: hole paths."""
 
     scored: DataFrame
     active: DataFrame
@@ -30,14 +31,14 @@ def prepare_points(points: DataFrame, cfg: dict[str, Any]) -> Prepared:
     """points: as from load_points, with coordinates of the samples' middles."""
     placed = with_src_index(points).withColumns({"mid_x": F.col("Easting"), "mid_y": F.col("Northing"), "mid_z": F.col("Elevation")})
     all_ = scored(placed, cfg["score_columns"], cfg["log_transform_score"], cfg["active_score_quantile"])
-    return Prepared(all_, all_.where("is_active"), hole_traces(placed))
+    return Prepared(all_, written(all_.where("is_active"), "active"), hole_traces(placed))
 
 
 def prepare_tables(samples: DataFrame, collars: DataFrame, surveys: DataFrame, cfg: dict[str, Any]) -> Prepared:
     """The three tables, as from load_tables."""
     des, paths = desurveyed(samples, collars, surveys)
     all_ = scored(des, cfg["score_columns"], cfg["log_transform_score"], cfg["active_score_quantile"])
-    return Prepared(all_, all_.where("is_active"), paths)
+    return Prepared(all_, written(all_.where("is_active"), "active"), paths)
 
 
 def from_points(spark: SparkSession, source: str | DataFrame, cfg: dict[str, Any]) -> Prepared:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
@@ -20,6 +20,7 @@ from ..operators import smoothing as sm
 from ..operators import validation as va
 from ..sources import tables
 from ..sources.columns import mapping
+from ..sources.store import written
 from ..sources.synthetic import deposit, deposit_config
 from . import fixtures as fx
 from .prepare import prepare_points, prepare_tables
@@ -47,6 +48,10 @@ def _active(spark: SparkSession, d: str, cfg: dict[str, Any] | None = None) -> D
     return prepare_points(_points(spark, d), cfg or fx.config()).active
 
 
+def _field(active: DataFrame, name: str) -> DataFrame:
+    return written(es.orientations(active, fx.config(), name), "field")
+
+
 @query
 def alias_preview(spark: SparkSession, d: str) -> DataFrame:
     return mapping(spark, fx.raw_points(spark, d).columns, "points")
@@ -231,13 +236,13 @@ def export_table(spark: SparkSession, d: str) -> DataFrame:
 @query
 def neighbor_agreement(spark: SparkSession, d: str) -> DataFrame:
     a, cfg = _active(spark, d), fx.config()
-    return rounded(va.neighbor_agreement(es.orientations(a, cfg), a, cfg), agreement_deg=4)
+    return rounded(va.neighbor_agreement(_field(a, "shape_pca"), a, cfg), agreement_deg=4)
 
 
 @query
 def coherence_null(spark: SparkSession, d: str) -> DataFrame:
     a, cfg = _active(spark, d), fx.config()
-    return va.coherence_null(es.orientations(a, cfg), a, cfg)
+    return va.coherence_null(_field(a, "shape_pca"), a, cfg)
 
 
 @query
@@ -278,7 +283,7 @@ def smooth_tensor_2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contacts(spark: SparkSession, d: str) -> DataFrame:
-    return ct.extract_contacts(fx.logged(spark, d), fx.collars(spark, d), fx.surveys(spark, d))
+    return written(ct.extract_contacts(fx.logged(spark, d), fx.collars(spark, d), fx.surveys(spark, d)), "contacts")
 
 
 @query
@@ -295,11 +300,11 @@ def contact_planes(spark: SparkSession, d: str) -> DataFrame:
 
 def _comparison(spark: SparkSession, d: str) -> DataFrame:
     c = _contacts(spark, d)
-    planes = ct.fit_contact_planes(c)
-    a, cfg = _active(spark, d), fx.config()
+    planes = written(ct.fit_contact_planes(c), "planes")
+    a = _active(spark, d)
     out = None
     for name in ("shape_pca", "lsq_gradient", "drill_pattern"):
-        one = ct.compare_to_planes(es.orientations(a, cfg, name), planes, c, max_dist=100.0).withColumn("method", F.lit(name))
+        one = ct.compare_to_planes(_field(a, name), planes, c, max_dist=100.0).withColumn("method", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out  # type: ignore[return-value]
 
@@ -390,8 +395,8 @@ def pole_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def method_summary(spark: SparkSession, d: str) -> DataFrame:
-    a, cfg = _active(spark, d), fx.config()
-    fields = {name: es.orientations(a, cfg, name) for name in ("shape_pca", "lsq_gradient", "drill_pattern")}
+    a = _active(spark, d)
+    fields = {name: _field(a, name) for name in ("shape_pca", "lsq_gradient", "drill_pattern")}
     return va.summary(fields, "drill_pattern", a.count())
 
 
@@ -428,18 +433,14 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     n, rows = nb.nodes(a), None
     for radius in (60.0, 120.0):
         cfg = fx.config(radius_m=radius, distance_sigma_m=0.67 * radius, min_neighbors=max(5, int(10 * (radius / 120) ** 2)))
-        ref = es.orientations(a, cfg, "drill_pattern")
+        ref = written(es.orientations(a, cfg, "drill_pattern"), "field")
         pairs = nb.edge_weights(n, cfg).select("i", "j", "w")
         for rounds, alpha in ((0, 0.0), (1, 0.5)):
             smooth = sm.smooth_scores(n, pairs, rounds, alpha).select(F.col("i").alias("src_index"), F.col("s").alias("min_score"))
-            f = es.orientations(a.drop("min_score").join(smooth, "src_index"), cfg, "lsq_gradient")
+            f = es.orientations(written(a.drop("min_score").join(smooth, "src_index"), "smoothed"), cfg, "lsq_gradient")
             row = f.join(va.versus(f, ref), "src_index", "left").agg(
                 F.lit(radius).alias("radius"), F.lit(f"{rounds}x{alpha}").alias("smooth"), F.count(F.lit(1)).alias("n_valid"),
                 F.median("vs_reference_deg").alias("vs_reference"), F.median("gradient_r2").alias("r2_med"), F.median("sampling_conditioning").alias("cond_med"),
             )
             rows = row if rows is None else rows.unionByName(row)
     return rows  # type: ignore[return-value]
-
-
-def column(text: str) -> Column:
-    return F.expr(text)
