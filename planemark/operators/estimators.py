@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.matrices import SIX, add, eigen, eigen_lapack, eigenvalue_steps, solve_steps
+from ..sources.store import written
 from .neighbors import moments, nodes
 
 CARRIED = ("src_index", "HoleID", "From_m", "To_m", "mid_m", "mid_x", "mid_y", "mid_z", "min_score", "interval_m")
@@ -104,5 +105,8 @@ def orientations(active: DataFrame, cfg: dict[str, Any], name: str | None = None
     name = name or cfg["estimator"]
     est = ESTIMATORS[name]
     m = gated(moments(nodes(active), cfg, est.graded, est.lsq), cfg["min_neighbors"], cfg["min_holes"])
+    if est.lsq:
+        # One row a sample; the long expressions that follow would not fit into one compiled stage with the sums.
+        m = written(m, "moments")
     out = field(est.make(m, cfg), est, lapack).select(F.col("i").alias("src_index"), F.lit(name).alias("estimator"), *FIELD, "local_n", "local_holes", *est.more)
     return active.select(*(c for c in CARRIED if c in active.columns)).join(out, "src_index")

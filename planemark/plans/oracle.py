@@ -162,7 +162,7 @@ compared AS (SELECT method, code, boundary, n_holes, count(*) AS n_nodes, median
 def sql() -> dict[str, str]:
     li = "lineitem"
     half = "CAST(substr(holej, 2) AS INT) % 2"
-    halves = f"(SELECT * FROM {_covariance(f'i, {half}').replace(f'SELECT i, {half},', f'SELECT i, {half} AS half,')} AS c WHERE local_n >= 5 AND local_holes >= 1)"
+    halves = f"(SELECT * FROM {_covariance(f'i, {half}').replace(f'SELECT i, {half},', f'SELECT i, {half} AS half,')} AS c WHERE local_n >= 5 AND local_holes >= 3)"
     six = ", ".join(_r(f"t{k}", 4) for k in SIX)
     x, y = v.equal_area(v.trend(V3), v.plunge(V3))
     pl = ", ".join(f"({a}, {b}, {c})" for a, b, c in PLANES)
@@ -209,11 +209,11 @@ FROM points p JOIN collars c ON c.HoleID = p.HoleID JOIN path f ON f.HoleID = p.
         "drill_pattern_field": f"WITH {UNGRADED}, {SHAPE} SELECT i AS src_index, {_r(strike, 4, 'plane_strike_deg')}, {_r(dip, 4, 'plane_dip_deg')}, {_r('(tl2 - tl3) / tl1', 6, 'planarity')} FROM shape",
         "vs_reference": f"WITH {_weights()}{UNGRADED[len(_edges()):].replace(chr(10) + 'w AS', chr(10) + 'wu AS')}, {SHAPE}, shape_u AS (SELECT * FROM {_eigen('(SELECT * FROM ' + _covariance(table='wu') + ' AS c WHERE local_n >= 10 AND local_holes >= 3)')} AS f) SELECT a.i AS src_index, {_r(_ANGLE, 4, 'vs_reference_deg')} FROM ({_poles('shape', V3)}) a JOIN ({_poles('shape_u', V3)}) b ON a.i = b.i",
         "export_table": f"""WITH {_weights()}, {SHAPE}, f AS (SELECT *, {strike} AS strike, {dip} AS dip FROM shape)
-SELECT HoleID, From_m, To_m, Easting AS X, Northing AS Y, Elevation AS Z, {_r('round_even(dip, 3)', 2, 'Dip')}, {_r(f'round_even({v.dip_azimuth("strike")}, 3)', 2, 'DipAzimuth')},
-{_r(f'round_even(CASE WHEN (tl1 - tl2) / tl1 >= 0.05 THEN {pitch} ELSE 0 END, 3)', 2, 'Pitch')}, {_r('round_even(greatest(0, least(1, (tl2 - tl3) / tl1)), 4)', 2, 'Planarity')}, {_r('round_even(greatest(0, least(1, (tl1 - tl2) / tl1)), 4)', 2, 'Linearity')},
+SELECT HoleID, From_m, To_m, Easting AS X, Northing AS Y, Elevation AS Z, {_r('round_even(dip, 3)', 9, 'Dip')}, {_r(f'round_even({v.dip_azimuth("strike")}, 3)', 9, 'DipAzimuth')},
+{_r(f'round_even(CASE WHEN (tl1 - tl2) / tl1 >= 0.05 THEN {pitch} ELSE 0 END, 3)', 9, 'Pitch')}, {_r('round_even(greatest(0, least(1, (tl2 - tl3) / tl1)), 4)', 9, 'Planarity')}, {_r('round_even(greatest(0, least(1, (tl1 - tl2) / tl1)), 4)', 9, 'Linearity')},
 local_n AS LocalN, local_holes AS LocalHoles, NULL::DOUBLE AS VsReferenceDeg, 'shape_pca' AS Estimator FROM f JOIN active ON src_index = i""",
         "neighbor_agreement": f"WITH {_weights()}, {SHAPE}, p AS ({_poles('shape', V3)}) SELECT e.i AS src_index, {_r(f'median({_ANGLE})', 4, 'agreement_deg')} FROM e JOIN p a ON e.i = a.i JOIN p b ON e.j = b.i GROUP BY e.i",
-        "split_half": f"WITH {_weights()}, halves AS (SELECT * FROM {_eigen(halves)} AS f), p AS (SELECT i, half, v3x AS px, v3y AS py, v3z AS pz FROM halves) SELECT a.i AS src_index, {_r(_ANGLE, 4, 'angle_deg')} FROM p a JOIN p b ON a.i = b.i AND a.half = 0 AND b.half = 1",
+        "split_half": f"WITH {_weights()}, halves AS (SELECT * FROM {_eigen(halves)} AS f), p AS (SELECT i, half, v3x AS px, v3y AS py, v3z AS pz FROM halves) SELECT a.i AS src_index, {_r(_ANGLE, 3, 'angle_deg')} FROM p a JOIN p b ON a.i = b.i AND a.half = 0 AND b.half = 1",
         "smooth_scores_1": _smooth(1, 0.5),
         "smooth_scores_3": _smooth(3, 0.7),
         "smooth_tensor_2": _smooth_tensors(2),

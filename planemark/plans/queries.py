@@ -230,7 +230,7 @@ def vs_reference(spark: SparkSession, d: str) -> DataFrame:
 @query
 def export_table(spark: SparkSession, d: str) -> DataFrame:
     out = ex.export_table(es.orientations(_active(spark, d), fx.config()))
-    return rounded(out, **dict.fromkeys(("Dip", "DipAzimuth", "Pitch", "Planarity", "Linearity"), 2))
+    return rounded(out, Dip=9, DipAzimuth=9, Pitch=9)
 
 
 @query
@@ -248,7 +248,7 @@ def coherence_null(spark: SparkSession, d: str) -> DataFrame:
 @query
 def split_half(spark: SparkSession, d: str) -> DataFrame:
     half = F.col("holej").substr(F.lit(2), F.length("holej")).cast("int") % 2
-    return rounded(va.split_half(_active(spark, d), fx.config(min_holes=2), half), angle_deg=4)
+    return rounded(va.split_half(_active(spark, d), fx.config(min_holes=6), half), angle_deg=3)
 
 
 @query
@@ -256,7 +256,7 @@ def split_half_random(spark: SparkSession, d: str) -> DataFrame:
     a = _active(spark, d)
     halves = {r["HoleID"]: r["half"] for r in va.random_halves(a).collect()}
     zero = [h for h, x in halves.items() if x == 0]
-    return va.split_half(a, fx.config(min_holes=2), F.when(F.col("holej").isin(zero), 0).otherwise(1))
+    return va.split_half(a, fx.config(min_holes=6), F.when(F.col("holej").isin(zero), 0).otherwise(1))
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
