@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import U, mix, parts, range_hashes, ranged, read, rolling, ship, stored, within, words
 from .components import components
-from .packed import Gather, bits_for, split, text_bytes, unpack, _arrow
+from .packed import FLUSH, bits_for, pack, text_bytes, unpack, _arrow
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,20 +46,59 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 
 
 LOW = 48
+KINDS = "bucket int, kind int, payload binary"
+#: A gathering of documents is flushed at so many of them at least, as entries name them by 16 bits.
+DOCS = 60_000
+
+
+def _kinded(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows, pa.int32()), b.column(1)], ["bucket", "kind", "payload"])
+
 
+def _one_row(bucket: int, headers: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A packed value whose headers are short and whose entries belong to no document in particular."""
+    payload = pack(headers, np.full(len(headers[0]), 0), columns)
+    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["bucket", "payload"])
 
-def _pack_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """All tokens (kind 0), packed by the upper bits of their hashes, with 48 further bits; headers: two sums of the set's tokens,
-    which name it. And all documents (kind 1), by the bucket of their sets; headers: the sums, their number, doc_id, and whether it
-    is null."""
+
+def _pack_sets(docs: DataFrame, size: int, bits: int, shards: int) -> DataFrame:
+    """The tokens (kind 0) by the upper bits of their hashes, with 48 further bits and the number of their set in its gathering; and
+    the documents of each gathering (kind 1), by the gathering's shard.
+
+    An entry takes eight bytes whatever the number of buckets. Equal sets of a gathering are sent once. A gathering is named by
+    the partition and its number there, so docs must give the same rows in the same order when a task runs again: a stored table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, homes = Gather(), Gather()
+        from pyspark import TaskContext
+
+        name = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        held: list[tuple] = []
+        n_docs = n_keys = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, gather in ((0, tokens), (1, homes)):
-                for b in gather.flush():
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind] * b.num_rows, pa.int32()), b.column(1)], ["bucket", "kind", "payload"])
+            nonlocal name, held, n_docs, n_keys
+            if held:
+                h1, h2, n, ids, null = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
+                lengths = n.astype(np.int64)
+                keys = np.concatenate([x[5] for x in held])
+                both = np.rec.fromarrays([h1, h2])
+                _, first, number = np.unique(both, return_index=True, return_inverse=True)
+                own = np.repeat(np.arange(len(h1)), lengths)
+                sent = (np.bincount(first, minlength=len(h1)) > 0)[own]
+                keys, sets = keys[sent], number[own[sent]].astype(np.uint16)
+                bucket = (keys >> U(64 - bits)).astype(np.int32)
+                order = np.lexsort((sets, bucket))
+                bucket, keys, sets = bucket[order], keys[order], sets[order]
+                cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
+                this = np.array([name], U)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    cols = [(keys[a:b] & U(0xFFFFFFFF)).astype(np.uint32), ((keys[a:b] >> U(32)) & U(0xFFFF)).astype(np.uint16), sets[a:b]]
+                    yield from _kinded(_one_row(int(bucket[a]), [this], cols), 0)
+                yield from _kinded(_one_row(int(mix(this)[0] % U(shards)), [h1, h2, n, ids, null, np.full(len(h1), name, U), number.astype(U)], [np.zeros(0, np.uint16)]), 1)
+            name += 1
+            held, n_docs, n_keys = [], 0, 0
 
         for batch, data, offsets in parts(batches):
             rows, keys = shingle_sets(data, offsets, size)
@@ -69,60 +108,59 @@ def _pack_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
             for codes in (mix(keys ^ U(1)), mix(keys ^ U(2))):
                 all_ = np.concatenate((np.zeros(1, U), np.cumsum(codes, dtype=U)))
                 sums.append(all_[edges[1:]] - all_[edges[:-1]])
-            tokens.add(sums, (keys >> U(64 - bits)).astype(np.int32), rows, [(keys & U(0xFFFFFFFF)).astype(np.uint32), ((keys >> U(32)) & U(0xFFFF)).astype(np.uint16)])
             ids = batch.column("doc_id")
-            number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+            doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
             null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False)).astype(U)
-            homes.add([*sums, np.diff(edges).astype(U), number, null], (mix(sums[0]) >> U(64 - bits)).astype(np.int32), np.arange(n), [np.zeros(n, np.uint16)])
-            if tokens.full():
-                yield from flush()
+            for a in range(0, n, DOCS):
+                if n_docs and (n_docs + min(n - a, DOCS) > DOCS or n_keys >= FLUSH):
+                    yield from flush()
+                c = slice(a, a + DOCS)
+                held.append((sums[0][c], sums[1][c], np.diff(edges)[c].astype(U), doc_ids[c], null[c], keys[edges[a] : edges[min(n, a + DOCS)]]))
+                n_docs += len(doc_ids[c])
+                n_keys += len(held[-1][5])
         yield from flush()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, KINDS)
 
 
-KINDS = "bucket int, kind int, payload binary"
-
-
-def _kinds(table: pa.Table) -> tuple[tuple, tuple]:
-    """What was packed of kind 0 and of kind 1, each as headers, counts and columns."""
-    kind = table.column("kind").to_pylist()
-    payloads = [[p.as_py() for p, k in zip(table.column("payload"), kind, strict=True) if k == want] for want in (0, 1)]
-    none = [np.zeros(0, U)]
-    return tuple(unpack(p) if p else (none * n, np.zeros(0, np.int64), [np.zeros(0, U)] * 3) for p, n in zip(payloads, (2, 5), strict=True))  # type: ignore[return-value]
-
-
 def _shared(packed: DataFrame, bits: int, shards: int) -> DataFrame:
-    """For each set, its tokens that another set has too, with the number of documents that have them, by the set's shard; and the
-    documents, by the same shard."""
+    """Tokens that two sets have, with the number of sets that sent them, by the shard of their gathering. Documents pass through:
+    their bucket is the shard already."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket = U(key[0].as_py())
-        (headers, counts, columns), (homes, _, _) = _kinds(table)
-        out = []
-        if len(columns[0]):
-            low = (columns[1].astype(U) << U(32)) | columns[0].astype(U)
-            rows = np.repeat(np.arange(len(counts)), counts)
-            order = np.argsort(low, kind="stable")
-            new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
-            begins, group = np.flatnonzero(new), np.cumsum(new) - 1
-            # A group of copies is one set: what only they have is not shared.
-            sets = headers[0][rows][order]
-            several = (np.minimum.reduceat(sets, begins) != np.maximum.reduceat(sets, begins))[group]
-            df = np.diff(np.append(begins, len(low)))[group].astype(np.uint32)
-            place = order[several]
-            back = np.argsort(place, kind="stable")
-            place, df = place[back], df[several][back]
-            used, own = np.unique(rows[place], return_inverse=True)
-            heads = [h[used] for h in headers]
-            token = low[place] ^ (bucket << U(LOW) if bits <= 64 - LOW else mix(np.full(1, bucket, U))[0])
-            out += [(0, b) for b in split((heads[0] % U(shards)).astype(np.int32)[own], heads, own, [token, df])]
-        if len(homes[0]):
-            n = np.arange(len(homes[0]))
-            out += [(1, b) for b in split((homes[0] % U(shards)).astype(np.int32), homes, n, [np.zeros(len(n), np.uint16)])]
-        batches = [pa.RecordBatch.from_arrays([b.column(0), pa.array([k] * b.num_rows, pa.int32()), b.column(1)], ["bucket", "kind", "payload"]) for k, b in out]
-        return pa.Table.from_batches(batches, schema=_arrow(KINDS))
+        names, lows, sets, out = [], [], [], []
+        for b in table.to_batches():
+            kind = b.column("kind").to_numpy()
+            if kind.any():
+                out.append(b.filter(pa.array(kind == 1)))
+        for kind, p in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
+            if kind:
+                continue
+            (name,), _, (low, mid, own) = unpack([p.as_py()])
+            names.append(np.full(len(low), name[0], U))
+            lows.append((mid.astype(U) << U(32)) | low.astype(U))
+            sets.append(own.astype(np.uint16))
+        if not lows:
+            return pa.Table.from_batches(out, schema=_arrow(KINDS))
+        name, low, own = np.concatenate(names), np.concatenate(lows), np.concatenate(sets)
+        del names, lows, sets
+        order = np.argsort(low, kind="stable")
+        new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
+        begins = np.flatnonzero(new)
+        df = np.diff(np.append(begins, len(low)))
+        several = np.repeat(df > 1, df)
+        place, df = order[several], np.repeat(df, df)[several].astype(np.uint32)
+        back = np.argsort(place)
+        place, df = place[back], df[back]
+        name, own = name[place], own[place]
+        token = low[place] ^ (bucket << U(LOW) if bits <= 64 - LOW else mix(np.full(1, bucket, U))[0])
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name)) if len(name) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            this = name[a : a + 1]
+            out += _kinded(_one_row(int(mix(this)[0] % U(shards)), [this], [token[a:b], df[a:b], own[a:b]]), 0)
+        return pa.Table.from_batches(out, schema=_arrow(KINDS))
 
     return packed.groupBy("bucket").applyInArrow(run, KINDS)
 
@@ -131,45 +169,56 @@ SETS = "doc_id long, h1 long, h2 long, n_shingles long, n_shared long, n_rare lo
 
 
 def _gathered(shared: DataFrame, percent: int, rare: int) -> DataFrame:
-    """A row for each document. The first of a set also has its shared tokens in the global order, if they can be enough.
+    """A row for each document. The first of a set in its gathering also has its shared tokens in the global order, if they can be
+    enough.
 
-    mass: the mean number of documents that have a token of the set; the source of many near copies has the greatest.
+    mass: the mean number of sets that have a token of the set; the source of many near copies has the greatest.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        (headers, counts, columns), (homes, _, _) = _kinds(table)
-        keys, df = columns[0].astype(U), columns[1].astype(np.int64)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        h1, h2, n, ids, null = homes
-        # One name for equal sums, of the documents and of what came for the sets.
-        both = np.rec.fromarrays([np.concatenate((h1, headers[0])), np.concatenate((h2, headers[1]))])
-        name = np.unique(both, return_inverse=True)[1]
-        of_doc, of_row = name[: len(h1)], name[len(h1) :]
-        # Of the tokens that copies send, one each is kept.
-        entry = np.lexsort((keys, df, of_row[rows]))
-        sets, keys, df = of_row[rows][entry], keys[entry], df[entry]
-        once = np.ones(len(sets), bool)
-        once[1:] = (sets[1:] != sets[:-1]) | (keys[1:] != keys[:-1])
-        sets, keys, df = sets[once], keys[once].view(np.int64), df[once]
-        edges = np.searchsorted(sets, np.arange(len(name) + 2))
-        own = np.lexsort((ids, of_doc))
-        first = np.ones(len(own), bool)
-        first[1:] = of_doc[own][1:] != of_doc[own][:-1]
-        a, b = edges[of_doc[own]], edges[of_doc[own] + 1]
-        size = n[own].astype(np.int64)
-        enough = first & (size > 0) & (100 * (b - a) >= percent * size)
-        all_df = np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
-        n_rare = [int(np.searchsorted(df[x:y], rare, "right")) if e else 0 for x, y, e in zip(a, b, enough, strict=True)]
-        tokens = [keys[x:y] if e else None for x, y, e in zip(a, b, enough, strict=True)]
-        doc = pa.array(ids[own].view(np.int64), mask=null[own] == 1)
-        cols = [doc, *(pa.array(np.ascontiguousarray(x)) for x in (h1[own].view(np.int64), h2[own].view(np.int64), size, b - a)), pa.array(n_rare, pa.int64()), pa.array((all_df[b] - all_df[a]) // np.maximum(size, 1)), pa.array(tokens, pa.list_(pa.int64()))]
-        return pa.Table.from_arrays(cols, names=[x.split()[0] for x in SETS.split(", ")])
+        cols: list[list] = [[] for _ in range(8)]
+        entries, homes = {}, []
+        for kind, p in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
+            headers, _, columns = unpack([p.as_py()])
+            if kind:
+                homes.append(headers)
+            else:
+                entries.setdefault(int(headers[0][0]), []).append(columns)
+        for h1, h2, n, ids, null, names, number in homes:
+            given = entries.get(int(names[0]), [])
+            keys, df, sets = (np.concatenate([c[k] for c in given]) if given else np.zeros(0, U) for k in range(3))
+            order = np.lexsort((keys, df, sets))
+            keys, df, sets = keys[order].view(np.int64), df[order].astype(np.int64), sets[order]
+            edges = np.searchsorted(sets, np.arange(int(number.max()) + 2))
+            own = np.lexsort((ids, number))
+            first = np.concatenate(([True], number[own][1:] != number[own][:-1]))
+            at = number[own].astype(np.int64)
+            a, b, size = edges[at], edges[at + 1], n[own].astype(np.int64)
+            enough = first & (size > 0) & (100 * (b - a) >= percent * size)
+            all_df = np.concatenate(([0], np.cumsum(df)))
+            made = [
+                pa.array(ids[own].view(np.int64), mask=null[own] == 1), pa.array(h1[own].view(np.int64)), pa.array(h2[own].view(np.int64)), pa.array(size), pa.array(b - a),
+                pa.array([int(np.searchsorted(df[x:y], rare, "right")) if e else 0 for x, y, e in zip(a, b, enough, strict=True)], pa.int64()),
+                pa.array((all_df[b] - all_df[a]) // np.maximum(size, 1)), pa.array([keys[x:y] if e else None for x, y, e in zip(a, b, enough, strict=True)], pa.list_(pa.int64())),
+            ]
+            for c, x in zip(cols, made, strict=True):
+                c.append(x)
+        schema = _arrow(SETS)
+        return pa.Table.from_arrays([pa.chunked_array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return shared.groupBy("bucket").applyInArrow(run, SETS)
 
 
+#: Up to so many sets that pairs name are broadcast to fetch their tokens; more meet in a shuffle.
+FEW = 100_000
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar. Tokens that no other set has count in the sizes alone."""
+    pairs = stored(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.limit(FEW + 1).count() <= FEW:
+        reps = reps.join(F.broadcast(ids), "id", "left_semi")
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
@@ -203,7 +252,9 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
     links, labels = None, None
     for turn in range(turns):
         rows = _labelled(index, labels, turn)
-        tops = _several(rows, ["token"]).select("token", "_top")
+        tops = stored(_several(rows, ["token"]).select("token", "_top"), "centres")
+        if tops.isEmpty():
+            return labels
         pairs = rows.join(tops, "token").where(F.col("comp") != F.col("_top.comp")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
         found = stored(_verified(pairs, reps, percent), "links")
         links = found if links is None else links.unionByName(found)
@@ -211,6 +262,7 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
             break
         labels = components(links)
     rows = _labelled(index, labels, 0)
+    # What is still open after the turns.
     rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "open-prefixes")
     if not rows.isEmpty():
         lists = rows.where("NOT rare").groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("mass").alias("mass"), F.first("shuffled").alias("shuffled"), F.sort_array(F.collect_set("token")).alias("ts"))
@@ -239,9 +291,9 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
     ship(docs.sparkSession)
     n_bytes = text_bytes(docs)
     bits, shards = bits_for(n_bytes, 12 << 20), max(8, n_bytes // (16 << 20))
-    sets = stored(_gathered(_shared(_pack_sets(docs, size, bits), bits, shards), percent, rare), "sets")
+    sets = stored(_gathered(_shared(_pack_sets(docs, size, bits, shards), bits, shards), percent, rare), "sets")
     ident = F.struct("h1", "h2").alias("id")
-    reps = sets.where("tokens IS NOT NULL").select(ident, F.col("n_shingles").alias("n"), "n_shared", "n_rare", "mass", "tokens")
+    reps = sets.where("tokens IS NOT NULL").dropDuplicates(["h1", "h2"]).select(ident, F.col("n_shingles").alias("n"), "n_shared", "n_rare", "mass", "tokens")
     labels = similar_sets(reps, percent)
     firsts = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select(ident, "first")
     if labels is not None:
