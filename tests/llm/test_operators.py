@@ -298,14 +298,14 @@ def test_line_rules(spark):
 
 
 def test_classifier_on_held_out_rows(spark, sf):
-    d = sf.replace("0.001", "0.01")
+    d = sf.replace("0.001", "0.1")  # some 4,000 labels; with a few hundred, rare words of toxic texts are not learnt
     labels = quality_classifier.good_labels(spark.read.parquet(f"{d}/labels.parquet"))
     train, held = labels.where("pmod(xxhash64(9, doc_id), 3) > 0"), labels.where("pmod(xxhash64(9, doc_id), 3) = 0")
     docs = spark.read.parquet(f"{d}/documents.parquet")
     out = quality_classifier.classify(docs, train).join(held, "doc_id").select("good", "quality_kept").collect()
     right = sum(bool(r.good) == r.quality_kept for r in out) / len(out)
     good = [r.quality_kept for r in out if r.good]
-    assert right > 0.88 and sum(good) / len(good) > 0.93
+    assert right > 0.9 and sum(good) / len(good) > 0.95, (right, sum(good) / len(good))
 
 
 def test_classifier_edges(spark, docs):
