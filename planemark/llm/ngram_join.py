@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U, mix, parts, range_hashes, ranged, read, rolling, ship, stored, within, words
@@ -225,57 +225,103 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _several(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Keys under which sets of two components or more stand."""
-    return rows.groupBy(*key).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max(F.struct("mass", "shuffled", "id", "comp")).alias("_top")).where("_low <> _high")
+    """Keys under which sets of two components or more stand, with the number of their rows and the set of greatest mass."""
+    return rows.groupBy(*key).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max(F.struct("weight", "shuffled", "id", "comp")).alias("_top"), F.count(F.lit(1)).alias("_rows")).where("_low <> _high").drop("_low", "_high")
 
 
 def _labelled(index: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    index = index.select(*INDEX)
     out = index.withColumn("comp", F.col("id")) if labels is None else index.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     # In the first turn the set of greatest mass is the centre of a key, later any.
-    return out.withColumn("shuffled", F.xxhash64(F.lit(turn), "id")).withColumn("mass", F.col("mass") if turn == 0 else F.lit(0))
+    return out.withColumn("shuffled", F.xxhash64(F.lit(turn), "id")).withColumn("weight", F.col("mass") if turn == 0 else F.lit(0))
 
 
 def _size_fits(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | None:
+INDEX = ("id", "n", "mass", "token", "rare")
+#: Keys with more rows than this are compared by their sets' differences from a centre, not pair by pair.
+HOT = 64
+
+
+def _differences(hot: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For sets (id, n, comp, weight, shuffled) that are to be compared with others of one centre c: certain links (a, b), and the
+    keys k under which the other linked pairs meet.
+
+    Let X be the symmetric difference of a set and the centre, u the number of tokens that no other set has, and
+    S = (100 + percent) (u + |X|) - (100 - percent) n. Two sets are similar exactly if their X share (S + S') / (2 (100 + percent))
+    tokens or more. Where the sum is 0 or less for a set and the one of the least S, both are linked, and so are all such sets
+    with one another. All other pairs must share tokens of X, so prefixes of X in the order of the tokens' rarity in the group find
+    them; sets whose X is too short for any link drop out.
+    """
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("tokens").alias(f"_{x}"))
+    own = hot.join(reps.select("id", "n_shared", "tokens"), "id").join(side("c"), "c")
+    own = own.withColumn("x", F.concat(F.array_except("tokens", "_c"), F.array_except("_c", "tokens"))).withColumn("s", (100 + percent) * (F.col("n") - F.col("n_shared") + F.size("x")) - (100 - percent) * F.col("n"))
+    own = stored(own.drop("tokens", "_c"), "differences")
+    least = own.groupBy("c").agg(F.min(F.struct("s", "id", "comp")).alias("m"))
+    own = own.join(least, "c").withColumn("near", (F.col("s") + F.col("m.s") <= 0) | (F.col("id") == F.col("m.id")))
+    certain = own.where(F.col("near") & (F.col("id") != F.col("m.id")) & (F.col("s") + F.col("m.s") <= 0)).select(F.least("id", F.col("m.id")).alias("a"), F.greatest("id", F.col("m.id")).alias("b"))
+    needed = F.ceil(F.when(F.col("near"), F.col("s") - F.col("m.s") + 1).otherwise(F.col("s") + F.col("m.s")) / (2.0 * (100 + percent)))
+    kept = own.withColumn("long", F.size("x") - F.greatest(needed, F.lit(1)) + 1).where("long > 0").withColumn("comp", F.when(F.col("near"), F.col("m.comp")).otherwise(F.col("comp")))
+    each = kept.select("c", "id", "n", "comp", "weight", "shuffled", "long", F.explode("x").alias("e"))
+    ranked = each.join(each.groupBy("c", "e").agg(F.count(F.lit(1)).alias("df")), ["c", "e"])
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("c", "id").orderBy("df", "e"))).where("at <= long AND df > 1")
+    return certain, ranked.select(F.xxhash64("c", "e").alias("k"), "id", "n", "comp", "weight", "shuffled")
+
+
+def _met(keyed: DataFrame, reps: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, among all that stand under one key k. Keys of many rows are
+    replaced by those of the differences from their centre, at most `rounds` times; then all their pairs are candidates."""
+    pairs = None
+    for turn in range(rounds + 1):
+        keyed = stored(keyed.join(_several(keyed, ["k"]), "k"), "keyed")
+        last = turn == rounds
+        cold = keyed.where(F.lit(last) | (F.col("_rows") <= HOT))
+        other = cold.select("k", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        some = cold.join(other, "k").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_fits("n", "n_b", percent)).select(F.col("id").alias("a"), "b").distinct()
+        pairs = some if pairs is None else pairs.unionByName(some)
+        hot = keyed.where(F.col("_rows") > HOT)
+        if last or hot.isEmpty():
+            return pairs.distinct()
+        hot = hot.groupBy(F.col("_top.id").alias("c"), "id").agg(*(F.min(x).alias(x) for x in ("n", "comp", "weight", "shuffled")))
+        certain, keyed = _differences(hot, reps, percent)
+        pairs = pairs.unionByName(certain)
+    raise AssertionError
+
+
+def similar_sets(reps: DataFrame, percent: int, turns: int = 2) -> DataFrame | None:
     """(id, comp) for the sets (id, n, n_shared, n_rare, mass, tokens) that are linked with others.
 
     Links between sets of one component do not change the components, so candidates are sought between different ones only. In
     each of some turns the sets of an index key are verified against one centre, which costs a pair for each row of the index
-    and joins large groups of near copies; all pairs of different components under a key follow.
+    and joins large groups of near copies; only keys under which several components stand go on. Rare tokens and pairs of frequent
+    ones find all other candidates.
     """
     least = F.ceil(F.col("n") * percent / 100)
     prefix = F.greatest(F.col("n") - least + 2 - (F.col("n") - F.col("n_shared")), F.lit(0)).cast("int")
     index = stored(reps.select("id", "n", "mass", "n_rare", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token")).select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare")), "prefixes")
     links, labels = None, None
-    for turn in range(turns):
-        rows = _labelled(index, labels, turn)
-        tops = stored(_several(rows, ["token"]).select("token", "_top"), "centres")
-        if tops.isEmpty():
+    for turn in range(turns + 1):
+        rows = _labelled(index, labels, turn % turns)
+        rows = stored(rows.join(_several(rows, ["token"]), "token"), "open-prefixes")
+        if rows.isEmpty():
             return labels
-        pairs = rows.join(tops, "token").where(F.col("comp") != F.col("_top.comp")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
-        found = stored(_verified(pairs, reps, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
+        if turn == turns:
             break
-        labels = components(links)
-    rows = _labelled(index, labels, 0)
-    # What is still open after the turns.
-    rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "open-prefixes")
-    if not rows.isEmpty():
-        lists = rows.where("NOT rare").groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("mass").alias("mass"), F.first("shuffled").alias("shuffled"), F.sort_array(F.collect_set("token")).alias("ts"))
-        combos = lists.withColumn("c", F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.struct(t.alias("t"), u.alias("u"))))))
-        common = ["id", "n", "comp", "mass", "shuffled"]
-        keyed = rows.where("rare").select(*common, F.col("token").alias("t"), F.lit(None).cast("long").alias("u")).unionByName(combos.select(*common, F.inline("c")))
-        keyed = keyed.withColumn("u", F.coalesce("u", F.col("t")))
-        open_ = keyed.join(_several(keyed, ["t", "u"]).select("t", "u"), ["t", "u"])
-        other = open_.select("t", "u", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        met = open_.join(other, ["t", "u"]).where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_fits("n", "n_b", percent))
-        found = stored(_verified(met.select(F.col("id").alias("a"), "b").distinct(), reps, percent), "links")
+        index = rows
+        pairs = rows.where(F.col("comp") != F.col("_top.comp")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
+        found = stored(_verified(pairs, reps, percent), "links")
         if not found.isEmpty():
-            labels = components(found if links is None else links.unionByName(found))
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+    common = ["id", "n", "comp", "weight", "shuffled"]
+    lists = rows.where("NOT rare").groupBy("id").agg(*(F.first(x).alias(x) for x in common[1:]), F.sort_array(F.collect_set("token")).alias("ts"))
+    combos = lists.withColumn("c", F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.struct(t.alias("t"), u.alias("u"))))))
+    keyed = rows.where("rare").select(*common, F.xxhash64("token", "token").alias("k")).unionByName(combos.select(*common, F.explode("c").alias("c")).select(*common, F.xxhash64("c.t", "c.u").alias("k")))
+    found = stored(_verified(_met(keyed, reps, percent), reps, percent), "links")
+    if not found.isEmpty():
+        labels = components(found if links is None else links.unionByName(found))
     return labels
 
 
@@ -293,7 +339,7 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
     bits, shards = bits_for(n_bytes, 12 << 20), max(8, n_bytes // (16 << 20))
     sets = stored(_gathered(_shared(_pack_sets(docs, size, bits, shards), bits, shards), percent, rare), "sets")
     ident = F.struct("h1", "h2").alias("id")
-    reps = sets.where("tokens IS NOT NULL").dropDuplicates(["h1", "h2"]).select(ident, F.col("n_shingles").alias("n"), "n_shared", "n_rare", "mass", "tokens")
+    reps = stored(sets.where("tokens IS NOT NULL").dropDuplicates(["h1", "h2"]).select(ident, F.col("n_shingles").alias("n"), "n_shared", "n_rare", "mass", "tokens"), "representatives")
     labels = similar_sets(reps, percent)
     firsts = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select(ident, "first")
     if labels is not None:

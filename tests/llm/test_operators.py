@@ -445,3 +445,19 @@ def test_passage_stage_leaves_clean_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
     out = {r.doc_id: r for r in corpus_pipeline.passage_stage(spark, df, "").collect()}
     assert out[3].text == clean and shared not in out[1].text + out[2].text and out[4].text == "" and out[1].n_chars == len(out[1].text)
+
+
+@pytest.mark.parametrize(("hot", "percent"), [(2, 90), (2, 95), (64, 80)])
+def test_op4_large_groups_without_links(spark, monkeypatch, hot, percent):
+    """Near copies of one text that are often not similar enough to one another, under the same frequent tokens."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(220):
+        words = base.copy()
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 5])):
+            words[rng.choice([rng.randrange(90), rng.randrange(12)])] = rng.choice(["u", "v", f"e{i}"])
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(ngram_join.similarity_classes(df, 3, percent), classes(rows, 3, percent))
