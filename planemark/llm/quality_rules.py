@@ -75,26 +75,31 @@ def bucket(hash_: Column) -> Column:
     return F.shiftrightunsigned(hash_, 50).cast("int")
 
 
-def target_weights(docs: DataFrame, trusted: DataFrame, max_trusted: int = 20_000) -> DataFrame:
+def _bucket_counts(docs: DataFrame, name: str) -> DataFrame:
+    """How many words and word pairs of docs fall in each bucket."""
+    hashed = docs.select(F.transform(word_array(_text()), lambda x: F.xxhash64(x)).alias("hs"))
+    grams = _let(F.col("hs"), lambda hs: F.concat(hs, pair_hashes(hs)))
+    each = hashed.select(F.explode(grams).alias("h")).select(bucket(F.col("h")).alias("bucket"))
+    return each.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+
+def target_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row with `weights`: for each of BUCKETS, the log ratio of its share in trusted documents to that in all, in UNITs.
 
-    Both multinomials have one added to every bucket. The raw one counts all documents. The target is fitted on at most
-    max_trusted trusted ids, those of the smallest hashes: a bounded sample of labelled rows, so its broadcast is bounded too.
+    Both multinomials have one added to every bucket. The raw one counts all documents, the target all those of trusted ids; a
+    shuffle join of any size that rows of null ids do not enter.
     """
     chosen = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("in_target", F.lit(1))
-    hashed = docs.join(F.broadcast(chosen), "doc_id", "left").select(F.transform(word_array(_text()), lambda x: F.xxhash64(x)).alias("hs"), F.coalesce("in_target", F.lit(0)).alias("t"))
-    grams = _let(F.col("hs"), lambda hs: F.concat(hs, pair_hashes(hs)))
-    each = hashed.select("t", F.explode(grams).alias("h")).select("t", bucket(F.col("h")).alias("bucket"))
-    counted = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
+    raw = _bucket_counts(docs, "raw").withColumn("target", F.lit(0).cast("long"))
+    target = _bucket_counts(docs.where("doc_id IS NOT NULL").join(chosen.hint("merge"), "doc_id", "left_semi"), "target").select("bucket", F.lit(0).cast("long").alias("raw"), "target")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
-    whole = counted.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    whole = raw.unionByName(target).unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     row = whole.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("n"), F.sum("target").alias("m"))
     share = lambda x, n: F.log((x + 1).cast("double") / (n + BUCKETS))
     return row.select(F.transform("all", lambda x: F.round(UNIT * (share(x["target"], F.col("m")) - share(x["raw"], F.col("n")))).cast("long")).alias("weights"))
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, min_words: int = 10, max_repeat_percent: int = 20, max_trusted: int = 20_000) -> DataFrame:
+def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """Base counts, base_failed, llr (whole millionths a gram, null without words) and kept of every row of `docs` (doc_id, text).
 
     kept: not base_failed and llr >= threshold. Null text has no words and fails the base; rows with null or repeated ids are
@@ -103,7 +108,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1,
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # One row of BUCKETS numbers, whatever the input's size; as a literal, since lambdas take no scalar subquery.
-    weights = target_weights(source, trusted, max_trusted).first()["weights"]
+    weights = target_weights(source, trusted).first()["weights"]
     w = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     counted = base_counts(source)
     counted = counted.withColumn("pairs", pair_hashes(F.col("word_hashes")))

@@ -363,6 +363,12 @@ def test_op8_against_brute_force(spark, docs):
     assert quality_rules.score_quality(empty(spark), trusted).count() == 0
 
 
+def test_op8_target_counts_every_trusted_document(spark):
+    """With every document trusted both multinomials are one, so no ratio differs from zero."""
+    df = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3000))) for k in range(3)]).alias("text"))
+    assert quality_rules.score_quality(df, df.select("doc_id")).where("llr <> 0").count() == 0
+
+
 # 9
 
 
