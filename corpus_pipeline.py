@@ -33,15 +33,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays.
+    """Of rows linked by a Jaccard similarity of 0.8 of their five-word shingles, the one with the smallest id stays.
 
-    A null id is never the smallest of a group with others. Rows of one id share their fate, and of those with one text one stays.
+    A null id comes after all others; among rows of one id the smallest hash of id and text stays. Rows are told apart by id and
+    text, so rows that share an id, or have none, go only if they are copies themselves; of those with one text one stays.
     """
-    classes = ngram_join.similarity_classes(docs, size=5, percent=80)
-    gone = classes.where("doc_id IS NOT NULL AND component_id <> doc_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id").distinct()
-    key = F.struct("doc_id", F.sha2("text", 256))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.withColumn("_key", key).dropDuplicates(["_key"]).select(*(f"`{c}`" for c in docs.columns))
+    row = F.xxhash64("doc_id", "text").alias("_row")
+    classes = ngram_join.similarity_classes(docs.select(row.alias("doc_id"), "text"), size=5, percent=80)
+    members = classes.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(docs.select(row, "doc_id").distinct(), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    stay = members.groupBy("component_id").agg(first).select("first._row")
+    kept = docs.withColumn("_row", row).join(stay, "_row", "left_semi")
+    return kept.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["_row", "doc_id", "_text"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,6 +443,16 @@ def test_near_duplicate_stage_keeps_one(spark, docs):
     assert sorted(r.doc_id for r in kept) == sorted(want)
 
 
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (None, a + " more"), (None, b), (7, c), (7, a + " other"), (None, d), (None, d + " end"), (None, None), (4, e), (4, e), (None, e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()), key=repr)
+    of_d = [x for x in kept if x[1] in (d, d + " end")]
+    assert len(of_d) == 1 and [x for x in kept if x not in of_d] == sorted([(1, a), (None, b), (7, c), (None, None), (4, e)], key=repr)
+
+
 def test_passage_stage_leaves_clean_text(spark):
     rng = random.Random(8)
     make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
