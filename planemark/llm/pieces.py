@@ -10,17 +10,43 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import BASE, U, mix, read, ship
 
 SPACE = "▁"
 #: No piece has a space mark after another character, or a line end: these parts never merge with one another.
 CHUNK = re.compile(f" *[^ \n{SPACE}]+|\n|{SPACE}| +")
 LONGEST, REMEMBERED = 48, 900_000
+#: Decisions of a chunk that are drawn beforehand; later ones are drawn when they come up.
+DRAWN = 16
+BLOCK = 1 << 15
+
+
+class Skips:
+    """Which candidate merges of a text are skipped: a keyed hash of the text, the chunk's place in it and the candidate's turn."""
+
+    def __init__(self, text: str, dropout: float, seed: int):
+        self.limit = min(int(dropout * 2**64), 2**64 - 1)
+        self.key = xxhash.xxh64_intdigest(text.encode(), seed % 2**64)
+
+    def masks(self, n: int) -> list[int]:
+        """For each of n chunks the first DRAWN decisions as bits."""
+        out: list[int] = []
+        turns = np.arange(DRAWN, dtype=U)
+        for at in range(0, n if self.limit else 0, BLOCK):
+            places = np.arange(at, min(n, at + BLOCK), dtype=U) << U(32)
+            hashes = mix((places[:, None] | turns) * BASE + U(self.key))
+            out += np.packbits(hashes < U(self.limit), axis=1, bitorder="little").view("<u2")[:, 0].tolist()
+        return out or [0] * n
+
+    def later(self, place: int, turn: int) -> bool:
+        """One decision, by the same hash."""
+        return bool(self.limit) and bool(mix(np.array([place << 32 | turn], U) * BASE + U(self.key))[0] < U(self.limit))
 
 
 class PieceModel:
@@ -41,23 +67,24 @@ class PieceModel:
         #: What each id stands for; control ids for nothing.
         self.raw = [b"" if special[i] and not sp.is_byte(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
 
-    def segment(self, chunk: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
-        """Ids of one chunk. A candidate merge is skipped if the hash of its place and pieces, keyed by the seed, is below dropout."""
+    def segment(self, chunk: str, mask: int = 0, skips: Skips | None = None, place: int = 0) -> tuple[list[int], int]:
+        """Ids of one chunk, and how many candidate merges came up. The k-th is skipped if bit k of the mask is set; from DRAWN on skips decides."""
         if chunk == SPACE:  # the mark itself, not a space
-            return [self.bytes[b] for b in chunk.encode()]
+            return [self.bytes[b] for b in chunk.encode()], 0
         parts: list[str | None] = list(chunk.replace(" ", SPACE))
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         order = self.order
         agenda = [(order[p], i, i + 1, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in order]  # type: ignore[operator]
         heapq.heapify(agenda)
-        limit = int(dropout * 2**64)
+        turn = 0
         while agenda:
             _, left, right, piece = heapq.heappop(agenda)
             a, b = parts[left], parts[right]
             if a is None or b is None or after[left] != right or len(a) + len(b) != len(piece):
                 continue  # one of the two has merged with another neighbour
-            if limit and xxhash.xxh64_intdigest(f"{left} {a} {b} {chunk}".encode(), seed) < limit:
+            turn += 1
+            if mask >> (turn - 1) & 1 if turn <= DRAWN else skips is not None and skips.later(place, turn - 1):
                 continue
             parts[left], parts[right] = piece, None
             after[left] = far = after[right]
@@ -74,17 +101,22 @@ class PieceModel:
                     out.append(i)
                 else:
                     out += [self.bytes[b] for b in p.encode()]
-        return out
+        return out, turn
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
-        return [i for c in CHUNK.findall(" " + text) for i in self.segment(c, dropout, seed)] if text else []
+        if not text:
+            return []
+        chunks, skips = CHUNK.findall(" " + text), Skips(text, dropout, seed)
+        return [i for k, (c, m) in enumerate(zip(chunks, skips.masks(len(chunks)), strict=True)) for i in self.segment(c, m, skips, k)[0]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
 _models: dict[str, PieceModel] = {}
-_known: dict[tuple, dict[str, bytes]] = {}
+#: Of each model and chunk the segmentations met so far, by the decisions that came up, and how many these are (as powers of two).
+_known: dict[str, dict[str, tuple[list[int], dict[int, bytes]]]] = {}
+_entries = 0
 
 
 def _model(path: str) -> PieceModel:
@@ -94,29 +126,48 @@ def _model(path: str) -> PieceModel:
 
 
 def encode_cached(model: PieceModel, path: str, text: str, dropout: float, seed: int) -> bytes:
-    """encode() as little-endian 32-bit ids. The segmentation of a chunk hangs on chunk and seed alone, so it is remembered."""
+    """encode() as little-endian 32-bit ids.
+
+    A segmentation hangs on the chunk and the decisions that came up alone, so it is remembered under these (a one above them tells
+    how many they are); the decisions are drawn anew for every place of every text.
+    """
+    global _entries
     if not text:
         return b""
-    known = _known.setdefault((path, dropout, seed), {})
-    chunks = CHUNK.findall(" " + text)
-    for c in set(chunks).difference(known):
-        if sum(map(len, _known.values())) > REMEMBERED:
-            for x in _known.values():
-                x.clear()
-            return b"".join([array("I", model.segment(c, dropout, seed)).tobytes() for c in chunks])
-        if len(c) <= LONGEST:
-            known[c] = array("I", model.segment(c, dropout, seed)).tobytes()
-    return b"".join([known[c] if c in known else array("I", model.segment(c, dropout, seed)).tobytes() for c in chunks])
+    known = _known.setdefault(path, {})
+    chunks, skips, out = CHUNK.findall(" " + text), Skips(text, dropout, seed), []
+    for place, (c, mask) in enumerate(zip(chunks, skips.masks(len(chunks)), strict=True)):
+        own = known.get(c)
+        # No run of decisions is the start of another, so at most one length fits.
+        ids = next((x for t in own[0] if (x := own[1].get(mask & (t - 1) | t)) is not None), None) if own else None
+        if ids is not None:
+            out.append(ids)
+            continue
+        ids_, turns = model.segment(c, mask, skips, place)
+        ids = array("I", ids_).tobytes()
+        out.append(ids)
+        if turns <= DRAWN and len(c) <= LONGEST:
+            if _entries > REMEMBERED:
+                for x in _known.values():
+                    x.clear()
+                _entries = 0
+            top = 1 << turns
+            lengths, made = known.setdefault(c, ([], {}))
+            if top not in lengths:
+                lengths.append(top)
+            made[mask & (top - 1) | top] = ids
+            _entries += 1
+    return b"".join(out)
 
 
 ENCODED = "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_sha256 string, lossless boolean"
 
 
-def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, variants: int = 2, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0, keep_ids: bool = False) -> DataFrame:
     """Encodes every text of `docs` (doc_id, text), decodes the ids again and describes both; keep_ids adds the column ids.
 
-    A text takes one of `variants` keys by its checksum, so equal texts give equal ids and different ones do not always cut a word
-    in the same way; another seed changes all keys. Null or empty text: no ids. Repeated rows, null ids and extra columns do no
+    Merges are skipped by a hash of seed, text, the chunk's place and the candidate's turn: equal texts give equal ids, and a word is
+    cut anew wherever it stands. Null or empty text: no ids. Repeated rows, null ids and extra columns do no
     harm (extra columns are left out); an empty table gives an empty result. A space mark (U+2581) in a text is kept as bytes.
     """
     ship(docs.sparkSession)
@@ -130,7 +181,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
                 cols: list[list] = [[], [], [], [], [], []]
                 for text in some.column("text").to_pylist():
                     raw = (text or "").encode()
-                    ids = array("I", encode_cached(model, model_path, text or "", dropout, seed * variants + zlib.crc32(raw) % variants))
+                    ids = array("I", encode_cached(model, model_path, text or "", dropout, seed))
                     back = b"".join(map(table, ids))[1:]
                     for c, x in zip(cols, (len(ids), zlib.crc32(ids.tobytes()), len(back), hashlib.sha256(back).hexdigest(), back == raw, list(ids) if keep_ids else None), strict=True):
                         c.append(x)

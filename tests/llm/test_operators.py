@@ -394,6 +394,29 @@ def test_op9_is_lossless(spark, docs):
     assert pieces.encode_documents(empty(spark), path).count() == 0
 
 
+def test_op9_cuts_a_word_anew_at_every_place():
+    path = P.path("piece_bpe_32k.model")
+    model = pieces.PieceModel(path)
+    cut = lambda t, dropout: np.frombuffer(pieces.encode_cached(model, path, t, dropout, 1), np.uint32).tolist()
+    text = " ".join(["international"] * 3000)
+    ids, plain = cut(text, 0.1), cut(text, 0.0)
+    words = collections.Counter()
+    word: list[bytes] = []
+    for i in [*ids, None]:
+        if word and (i is None or model.raw[i].startswith(b" ")):
+            words[tuple(word)] += 1
+            word = []
+        if i is not None:
+            word.append(model.raw[i])
+    assert len(words) > 10 and model.decode(ids) == text
+    bits = np.array(pieces.Skips(text, 0.1, 1).masks(20_000))[:, None] >> np.arange(pieces.DRAWN) & 1
+    assert (abs(bits.mean(axis=0) - 0.1) < 0.02).all() and [bool(x) for x in bits[7]] == [pieces.Skips(text, 0.1, 1).later(7, k) for k in range(pieces.DRAWN)]
+    for t in (text, "a b\n c " * 50, "x" * 500, "ab▁ cd  éß"):
+        for dropout in (0.0, 0.1, 0.5, 1.0):
+            assert cut(t, dropout) == model.encode(t, dropout, 1) == cut(t, dropout)
+    assert cut(text, 0.1) != cut(text + " x", 0.1)[: len(ids)] and plain == model.encode(text)
+
+
 # 10
 
 
