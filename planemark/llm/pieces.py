@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, U, mix, read, ship
+from .common import U, mix, read, ship, shipped
 
 SPACE = "▁"
 #: No piece has a space mark after another character, or a line end: these parts never merge with one another.
@@ -25,6 +25,7 @@ LONGEST, REMEMBERED = 48, 900_000
 #: Decisions of a chunk that are drawn beforehand; later ones are drawn when they come up.
 DRAWN = 16
 BLOCK = 1 << 15
+SPREAD = U(0x9E3779B97F4A7C15)
 
 
 class Skips:
@@ -40,13 +41,13 @@ class Skips:
         turns = np.arange(DRAWN, dtype=U)
         for at in range(0, n if self.limit else 0, BLOCK):
             places = np.arange(at, min(n, at + BLOCK), dtype=U) << U(32)
-            hashes = mix((places[:, None] | turns) * BASE + U(self.key))
+            hashes = mix((places[:, None] | turns) * SPREAD + U(self.key))
             out += np.packbits(hashes < U(self.limit), axis=1, bitorder="little").view("<u2")[:, 0].tolist()
         return out or [0] * n
 
     def later(self, place: int, turn: int) -> bool:
         """One decision, by the same hash."""
-        return bool(self.limit) and bool(mix(np.array([place << 32 | turn], U) * BASE + U(self.key))[0] < U(self.limit))
+        return bool(self.limit) and bool(mix(np.array([place << 32 | turn], U) * SPREAD + U(self.key))[0] < U(self.limit))
 
 
 class PieceModel:

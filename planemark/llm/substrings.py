@@ -35,7 +35,7 @@ def _source(docs: DataFrame) -> DataFrame:
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     total = range_hashes(data)
     starts, ends, firsts = words(data, offsets)
-    return total, starts, ends, firsts, mix(ranged(total, starts, ends) + (ends - starts).astype(U))
+    return total, starts, ends, firsts, mix(ranged(total, starts, ends))
 
 
 def _probe(docs: DataFrame, block: int, bits: int) -> DataFrame:

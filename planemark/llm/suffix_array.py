@@ -1,12 +1,13 @@
-"""Suffix arrays by induced sorting and permuted longest common prefixes, with numpy over whole buckets at a time."""
+"""Suffix arrays by induced sorting and permuted longest common prefixes.
+
+The text's own level, of bytes, is induced with numpy over whole buckets at a time. The levels of names below it have about as many
+buckets as suffixes, so they are induced suffix by suffix. Both take time in proportion to the length.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are swept bucket by bucket; larger ones (names of substrings) are ranked by doubling.
-SWEPT = 2048
-
 
 def _classes(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one. The last value is the only smallest."""
@@ -80,36 +81,54 @@ class _Buckets:
         return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by ranks of doubled length, for large alphabets."""
-    rank = t.astype(np.int64)
-    width = 1
-    while True:
-        after = np.zeros(len(t), np.int64)
-        after[:-width] = rank[width:] + 1
-        key = rank * (int(after.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty(len(t), np.int64)
-        rank[order] = new
-        if new[-1] == len(t) - 1:
-            return order.astype(np.int32)
-        width *= 2
-
-
-def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
-    """Order of the suffixes of t, whole numbers below k whose last one is 0 and the only 0."""
+class _Singly:
+    """As _Buckets, suffix by suffix."""
+
+    def __init__(self, t: np.ndarray, k: int, smaller: np.ndarray):
+        self.t, self.ends = t, np.cumsum(np.bincount(t, minlength=k))
+        self.starts = np.append(0, self.ends[:-1])
+        # For each place the character before it if that begins a larger (smaller) suffix, else -1; at the end one more for -1.
+        none = np.full(len(t) + 1, -1, np.int32)
+        self.larger, self.less = none, none.copy()
+        self.larger[1:-1] = np.where(smaller[:-1], -1, t[:-1])
+        self.less[1:-1] = np.where(smaller[:-1], t[:-1], -1)
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        sa = np.full(len(self.t), -1, np.int32)
+        c = self.t[lms]
+        order = np.argsort(c, kind="stable")
+        c = c[order]
+        counts = np.bincount(c, minlength=len(self.ends))
+        sa[(self.ends - counts)[c] + np.arange(len(c)) - (np.cumsum(counts) - counts)[c]] = lms[order]
+        out = sa.tolist()
+        before, at = self.larger.tolist(), self.starts.tolist()
+        for p in out:  # grows as it is read
+            x = before[p]
+            if x >= 0:
+                k = at[x]
+                out[k] = p - 1
+                at[x] = k + 1
+        before, at = self.less.tolist(), self.ends.tolist()
+        for p in reversed(out):
+            x = before[p]
+            if x >= 0:
+                k = at[x] - 1
+                out[k] = p - 1
+                at[x] = k
+        return np.array(out, np.int32)
+
+
+def suffix_array(t: np.ndarray, k: int, top: bool = True) -> np.ndarray:
+    """Order of the suffixes of t, whole numbers below k whose last one is 0 and the only 0. top: the text's own level."""
     if len(t) == 1:
         return np.zeros(1, np.int32)
-    if k > SWEPT:
-        return _doubled(t)
     smaller = _classes(t)
     is_lms = np.zeros(len(t), bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
-    buckets = _Buckets(t, k, smaller, lms)
+    induce = (_Buckets(t, k, smaller, lms) if top else _Singly(t, k, smaller)).induce
     # A first induction from the text's order sorts the leftmost-smaller substrings.
-    sa = buckets.induce(lms)
+    sa = induce(lms)
     ordered = sa[is_lms[sa]]
     size = np.zeros(len(t), np.int32)
     size[lms] = np.append(np.diff(lms), 1)
@@ -126,11 +145,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         if len(open_):
             open_ = open_[np.maximum(a[open_], b[open_]) + at < len(t)]
     names = np.concatenate(([0], np.cumsum(~same))).astype(np.int32)
+    del sa, size, a, b, same, open_
     if names[-1] < len(lms) - 1:
         by_place = np.empty(len(t), np.int32)
         by_place[ordered] = names
-        ordered = lms[suffix_array(by_place[lms], int(names[-1]) + 1)]
-    return buckets.induce(ordered)
+        ordered = lms[suffix_array(by_place[lms], int(names[-1]) + 1, top=False)]
+    return induce(ordered)
 
 
 def _common(raw: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by strings of `size` bytes that also start elsewhere.
 
-Shards are cut by content: every window of `size` bytes is filed under the leftmost smallest hash of its K-grams (its anchor), so
+Shards are cut by content: every window of `size` bytes is filed under the leftmost smallest hash of its shorter grams (its anchor), so
 equal windows meet in one shard wherever they stand. Windows that follow one another under one anchor travel as one segment; of
 equal segments one stands for all. Each shard's segments go into one suffix array made by induced sorting, and permuted common
 prefixes show the windows that stand there twice. Anchors with very many different segments are cut further, by the bytes that a
@@ -17,22 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, mix, parts, range_hashes, ranged, read, ship, stored
+from .common import U, discard, grams, mix, parts, range_hashes, ranged, read, ship, stored
 from .packed import text_bytes, _arrow
-from .substrings import _ids, _shard, row_filter
+from .substrings import _ids, _shard, _source, row_filter, row_keys
 from .suffix_array import shared_windows
 
-GRAM = 48
 PLACE_BITS = 28
 PLACE = U((1 << PLACE_BITS) - 1)
 #: Different segments of one anchor up to which they go into one shard; beyond, windows in blocks of BLOCKS are cut apart.
 MOST, BLOCKS = 1200, (32, 1)
 SHARD_BYTES = 700_000
 #: Bytes of text hashed at a time.
-PART = 1 << 20
+PART = 1 << 19
 SEGMENTS = "anchor long, content long, row_key long, row_id long, start long, windows long, before long"
 
 
+def gram_size(size: int) -> int:
+    """Two fifths of a window: longer grams are rarer, so fewer segments that only share one are sorted; shorter ones make longer and
+    so fewer segments."""
+    return max(32, 2 * size // 5 // 8 * 8)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive values."""
     n = len(values) - width + 1
@@ -53,29 +58,36 @@ def _emit(rows: np.ndarray, anchors: np.ndarray, total: np.ndarray, at: np.ndarr
 
 
 def _segments(docs: DataFrame, size: int) -> DataFrame:
-    """Runs of windows with one anchor: its hash, a hash of the run's bytes, and the place. docs: as from _shard."""
-    width = size - GRAM + 1
+    """Runs of windows with one anchor: its hash, a hash of the run's bytes, and the place."""
+    gram = gram_size(size)
+    width = size - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in parts(batches, PART):
             if len(data) < size:
                 continue
-            total = range_hashes(data)
-            i = np.arange(len(data) - GRAM + 1)
-            hashes = mix(ranged(total, i, i + GRAM))
-            least = sliding_least((hashes & ~PLACE) | i.astype(U), width)
+            hashes = grams(data, gram)
+            least = sliding_least((hashes & ~PLACE) | np.arange(len(hashes), dtype=U), width)
             # Windows that lie within one document.
             counts = np.maximum(np.diff(offsets) - size + 1, 0)
-            s = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(int(counts.sum()))
-            if not len(s):
+            if not counts.any():
                 continue
-            rows = np.repeat(np.arange(len(counts)), counts)
-            anchor = (least[s] & PLACE).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1]))))
-            first, a = s[cut], anchor[cut]
-            yield _emit(rows[cut], hashes[a], total, first, np.diff(np.append(cut, len(s))), a - first, offsets, batch.column("row_key").to_numpy().view(U), _ids(batch), size)
+            base = offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1]))
+            s = np.repeat(base.astype(np.int32), counts) + np.arange(int(counts.sum()), dtype=np.int32)
+            anchor = (least[s] & PLACE).astype(np.int32)
+            del least
+            new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            new[(np.cumsum(counts) - counts)[counts > 0]] = True
+            cut = np.flatnonzero(new)
+            first, a = s[cut].astype(np.int64), anchor[cut].astype(np.int64)
+            windows = np.diff(np.append(cut, len(s)))
+            del s, anchor, new
+            rows = np.searchsorted(offsets, first, "right") - 1
+            total = range_hashes(data)
+            keys, ids = row_keys(_ids(batch), total, offsets), _ids(batch)
+            yield _emit(rows, hashes[a], total, first, windows, a - first, offsets, keys, ids, size)
 
-    return docs.mapInArrow(run, SEGMENTS)
+    return _source(docs).mapInArrow(run, SEGMENTS)
 
 
 def _rows(table: pa.Table) -> dict[tuple[int, int], np.ndarray]:
@@ -199,12 +211,12 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
     Null or empty text has no bytes. Repeated rows repeat one another; null ids are ids. Extra columns are left out; an empty table
     gives an empty result. Segments count as equal by 128 bits of hashes; all else is compared byte by byte in the arrays.
     """
-    if size < GRAM + 16:
-        raise ValueError(f"size must be {GRAM + 16} or more")
+    if size < 48:
+        raise ValueError("size must be 48 or more")
     ship(docs.sparkSession)
     shards = max(8, text_bytes(docs) // (8 << 20))
     sharded = _shard(docs, shards)
-    segments = stored(_segments(sharded, size), "segments")
+    segments = stored(_segments(docs, size), "segments")
     classes = stored(_classes(segments), "classes")
     marked = []
     for block in (*BLOCKS, 0):
@@ -219,10 +231,13 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
             fetched = _fetched(_shard(docs, shards, row_filter(reps)), reps, shards, max(1, n_bytes // SHARD_BYTES), size)
             runs = runs.unionByName(_sorted_shards(fetched, size))
         marked.append(stored(segments.join(runs, ["anchor", "content"]).select("row_key", "row_id", "start", "run_starts", "run_lengths"), "marked"))
+        before = segments, classes
         if many.isEmpty():
+            discard(*before)
             break
         hot = segments.join(many.select("anchor").distinct(), "anchor", "left_semi")
         segments = stored(_cut(_shard(docs, shards, row_filter(hot)), hot, shards, size, block), "segments")
+        discard(*before)
         classes = stored(_classes(segments), "classes")
     places = marked[0]
     for m in marked[1:]:
