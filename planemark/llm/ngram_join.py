@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, mix, parts, range_hashes, ranged, read, rolling, ship, stored, within, words
+from .common import U, discard, mix, parts, range_hashes, ranged, read, rolling, settled, ship, stored, within, words
 from .components import components
 from .packed import FLUSH, bits_for, pack, text_bytes, unpack, _arrow
 
@@ -29,7 +29,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     data = LOWER[data]
     total = range_hashes(data)
     starts, ends, firsts = words(data, offsets)
-    hashes = mix(ranged(total, starts, ends) + (ends - starts).astype(U))
+    hashes = mix(ranged(total, starts, ends))
     at = within(firsts, size)
     keys = rolling(hashes, size)[at] if len(at) else np.zeros(0, U)
     rows = np.searchsorted(firsts, at, "right") - 1
@@ -67,7 +67,7 @@ def _pack_sets(docs: DataFrame, size: int, bits: int, shards: int) -> DataFrame:
     the documents of each gathering (kind 1), by the gathering's shard.
 
     An entry takes eight bytes whatever the number of buckets. Equal sets of a gathering are sent once. A gathering is named by
-    the partition and its number there, so docs must give the same rows in the same order when a task runs again: a stored table.
+    the partition and its number there, so docs must give the same rows in the same order when a task runs again: as from settled().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,8 @@ FEW = 100_000
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. Tokens that no other set has count in the sizes alone."""
+    """Those of the pairs (a, b) whose sets are similar. Tokens that no other set has count in the sizes alone. How the tokens are
+    fetched hangs on the number of pairs, the result does not."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.limit(FEW + 1).count() <= FEW:
@@ -270,33 +271,47 @@ def _differences(hot: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFra
     return certain, ranked.select(F.xxhash64("c", "e").alias("k"), "id", "n", "comp", "weight", "shuffled")
 
 
-def _met(keyed: DataFrame, reps: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar, among all that stand under one key k. Keys of many rows are
-    replaced by those of the differences from their centre, at most `rounds` times; then all their pairs are candidates."""
+def _met(keyed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, among all that stand under one key k.
+
+    Keys of many rows are replaced by those of the sets' differences from their centre, until none is left: the centre itself drops
+    out each time, and only sets that differ from it alike meet again.
+    """
     pairs = None
-    for turn in range(rounds + 1):
+    while True:
         keyed = stored(keyed.join(_several(keyed, ["k"]), "k"), "keyed")
-        last = turn == rounds
-        cold = keyed.where(F.lit(last) | (F.col("_rows") <= HOT))
+        cold = keyed.where(F.col("_rows") <= HOT)
         other = cold.select("k", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
         some = cold.join(other, "k").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_fits("n", "n_b", percent)).select(F.col("id").alias("a"), "b").distinct()
         pairs = some if pairs is None else pairs.unionByName(some)
         hot = keyed.where(F.col("_rows") > HOT)
-        if last or hot.isEmpty():
+        if hot.isEmpty():
             return pairs.distinct()
         hot = hot.groupBy(F.col("_top.id").alias("c"), "id").agg(*(F.min(x).alias(x) for x in ("n", "comp", "weight", "shuffled")))
         certain, keyed = _differences(hot, reps, percent)
         pairs = pairs.unionByName(certain)
-    raise AssertionError
 
 
-def similar_sets(reps: DataFrame, percent: int, turns: int = 2) -> DataFrame | None:
+OWN = ("id", "n", "comp", "weight", "shuffled")
+
+
+def _keyed(rows: DataFrame, every: bool) -> DataFrame:
+    """The index: rows of sets under keys k, which are single rare tokens and combinations of two frequent ones; of these every one,
+    or only those of neighbours in the order of the set's tokens."""
+    lists = rows.where("NOT rare").groupBy("id").agg(*(F.first(x).alias(x) for x in OWN[1:]), F.sort_array(F.collect_set("token")).alias("ts"))
+    following = lambda t, i: F.slice("ts", i + 2, F.size("ts") if every else F.lit(1))
+    combos = F.flatten(F.transform("ts", lambda t, i: F.transform(following(t, i), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+    pairs = lists.select(*OWN, F.explode(combos).alias("c")).select(*OWN, F.xxhash64("c.t", "c.u").alias("k"))
+    return rows.where("rare").select(*OWN, F.xxhash64("token", "token").alias("k")).unionByName(pairs)
+
+
+def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | None:
     """(id, comp) for the sets (id, n, n_shared, n_rare, mass, tokens) that are linked with others.
 
-    Links between sets of one component do not change the components, so candidates are sought between different ones only. In
-    each of some turns the sets of an index key are verified against one centre, which costs a pair for each row of the index
-    and joins large groups of near copies; only keys under which several components stand go on. Rare tokens and pairs of frequent
-    ones find all other candidates.
+    Links between sets of one component do not change the components, so candidates are sought between different ones only, and
+    tokens under which one component stands leave the index. In each of some turns every set is verified against one centre of the
+    keys that it stands under, and the components are found anew: one pair a set, which joins large groups of near copies. Of what
+    then still stands apart under a key, all combinations are indexed and all candidates verified.
     """
     least = F.ceil(F.col("n") * percent / 100)
     prefix = F.greatest(F.col("n") - least + 2 - (F.col("n") - F.col("n_shared")), F.lit(0)).cast("int")
@@ -304,24 +319,22 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 2) -> DataFrame | N
     links, labels = None, None
     for turn in range(turns + 1):
         rows = _labelled(index, labels, turn % turns)
-        rows = stored(rows.join(_several(rows, ["token"]), "token"), "open-prefixes")
+        rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "open-prefixes")
+        discard(index)
         if rows.isEmpty():
             return labels
-        if turn == turns:
-            break
         index = rows
-        pairs = rows.where(F.col("comp") != F.col("_top.comp")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
+        keyed = _keyed(rows, every=turn == turns)
+        if turn < turns:
+            met = keyed.join(_several(keyed, ["k"]).select("k", "_top"), "k").where(F.col("comp") != F.col("_top.comp"))
+            # Of the centres of a set's keys one is verified in this turn.
+            pairs = met.groupBy("id").agg(F.max("_top").alias("_top")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
+        else:
+            pairs = _met(keyed, reps, percent)
         found = stored(_verified(pairs, reps, percent), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-    common = ["id", "n", "comp", "weight", "shuffled"]
-    lists = rows.where("NOT rare").groupBy("id").agg(*(F.first(x).alias(x) for x in common[1:]), F.sort_array(F.collect_set("token")).alias("ts"))
-    combos = lists.withColumn("c", F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 2, F.size("ts")), lambda u: F.struct(t.alias("t"), u.alias("u"))))))
-    keyed = rows.where("rare").select(*common, F.xxhash64("token", "token").alias("k")).unionByName(combos.select(*common, F.explode("c").alias("c")).select(*common, F.xxhash64("c.t", "c.u").alias("k")))
-    found = stored(_verified(_met(keyed, reps, percent), reps, percent), "links")
-    if not found.isEmpty():
-        labels = components(found if links is None else links.unionByName(found))
     return labels
 
 
@@ -332,9 +345,13 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
     more; component_id is the smallest doc_id that links reach, the row's own included. Fewer words than `size` are one shingle;
     rows without words have none and are linked with nothing. Rows with equal sets are linked however many there are. A null
     doc_id is smaller than none: its component_id is that of its links, or null. Repeated rows are linked with one another;
-    extra columns are left out; an empty table gives an empty result. Sets are compared by hashes of their shingles (48 bits and the bucket's).
+    extra columns are left out; an empty table gives an empty result. Sets are compared by hashes of their shingles (48 bits and the
+    bucket's). percent must be over 50: below, sets of one token may be similar to larger ones, and have no combination of two.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
     ship(docs.sparkSession)
+    docs = settled(docs.select("doc_id", "text"))
     n_bytes = text_bytes(docs)
     bits, shards = bits_for(n_bytes, 12 << 20), max(8, n_bytes // (16 << 20))
     sets = stored(_gathered(_shared(_pack_sets(docs, size, bits, shards), bits, shards), percent, rare), "sets")
