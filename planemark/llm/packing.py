@@ -8,9 +8,9 @@ grow with the number of documents. Rows find their places on the executors.
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, ship, stored
+from .common import read, ship, shipped, stored
 
 CAPACITY = 2048
 EOT = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words of up to so many characters are remembered, up to so many of them in a worker.
-LONGEST, REMEMBERED = 48, 900_000
-#: Marks that end a word; letters before them are encoded apart from them.
+LONGEST, REMEMBERED = 48, 250_000
+#: Marks that end a word; plain letters before them are encoded apart from them.
 MARKS = ".,;:!?#*%&$|<>()[]{}\"-_/+=~^@"
 
 _state: dict = {}
@@ -51,11 +51,12 @@ def word_ids(texts: list[str], tokenizer_path: str) -> list[bytes]:
         known[""] = b""
         new = set().union(*split).difference(known)
     order = list(new)
-    # A run of letters is a unit of its own, in lower case: most new words are known ones with a capital or marks.
+    # A run of ASCII letters is a unit of its own, in lower case: most new words are known ones with a capital or marks. Others may
+    # change with what follows them (as a capital I with a dot, whose dot joins the marks), so they are encoded as they stand.
     units = {}
     for w in order:
         core = w.rstrip(MARKS)
-        if core.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core):
+        if core.isascii() and core.isalpha():
             units[w] = (core.lower(), w[len(core) :])
     wanted = {x for pair in units.values() for x in pair}
     wanted.update(w for w in order if w not in units)
@@ -78,7 +79,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     Null or empty text: the end id alone. keep_ids adds the column ids.
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, tokenizer_path)
     end = array("I", [eot]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(some.column("doc_id").to_pylist(), word_ids([x or "" for x in some.column("text").to_pylist()], tokenizer_path), strict=True):
+                for doc, ids in zip(some.column("doc_id").to_pylist(), word_ids([x or "" for x in some.column("text").to_pylist()], shipped(tokenizer_path)), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
@@ -130,21 +131,26 @@ def best_configuration(values: np.ndarray, sizes: list[int], most: list[int], ca
     return float(best[capacity]), out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations with their multiplicities that hold `demand` items of each of a few sizes.
 
-    The linear programme over all configurations is solved by generating columns (the simplex method with a knapsack to price);
-    its solution is rounded down, and what is left is packed by one fullest configuration after another.
+    The linear programme over all configurations is solved by generating columns (the simplex method with a knapsack to price) until
+    less than one sequence could be gained; its solution is rounded down, and what is left is packed by one fullest configuration
+    after another.
     """
     n = len(sizes)
     basis = [[0] * g + [max(1, min(capacity // sizes[g], demand[g]))] + [0] * (n - g - 1) for g in range(n)]
     x = np.array([demand[g] / basis[g][g] for g in range(n)], float)
     free = [capacity] * n
-    for _ in range(rounds):
+    met = set()
+    # A basis that comes again would come for ever: no step gains anything any more.
+    while (key := frozenset(map(tuple, basis))) not in met:
+        met.add(key)
         matrix = np.array(basis, float).T
         prices = np.linalg.solve(matrix.T, np.ones(n))
         value, column = best_configuration(prices, sizes, free, capacity)
-        if value <= 1 + 1e-7:
+        # Prices over value are feasible, so no solution is below sum(x) / value.
+        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) < 0.5:
             break
         step = np.linalg.solve(matrix, np.array(column, float))
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
@@ -170,63 +176,104 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return plan
 
 
+class Rooms:
+    """Like sequences by what is free in them: (how many, what they hold as nested pairs, the last piece outside)."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.by_free: list[list[tuple[int, tuple | None]]] = [[] for _ in range(capacity + 1)]
+        self.filled: list[int] = []  # those that are not empty, without 0
+
+    def put(self, free: int, count: int, held: tuple | None) -> None:
+        if count:
+            if free and not self.by_free[free]:
+                bisect.insort(self.filled, free)
+            self.by_free[free].append((count, held))
+
+    def fit(self, length: int, left: int) -> None:
+        """`left` pieces of a length, each where least stays free; new sequences take as many as they hold."""
+        while left:
+            k = bisect.bisect_left(self.filled, length)
+            if k == len(self.filled):
+                each = self.capacity // length
+                for count, fill in ((left // each, each), (min(1, left % each), left % each)):
+                    held = None
+                    for _ in range(fill):
+                        held = (held, length)
+                    self.put(self.capacity - fill * length, count, held)
+                return
+            free = self.filled[k]
+            count, held = self.by_free[free].pop()
+            if not self.by_free[free]:
+                self.filled.pop(k)
+            now = min(count, left)
+            left -= now
+            self.put(free, count - now, held)
+            self.put(free - length, now, (held, length))
+
+    def sequences(self) -> int:
+        return sum(count for own in self.by_free for count, _ in own)
+
+    def refitted(self, small: int) -> Rooms:
+        """Sequences that are not full, or hold a piece of `small` or less, are dissolved; their pieces, longest first, are fitted anew."""
+        out, loose = Rooms(self.capacity), Counter()
+        for free, own in enumerate(self.by_free):
+            for count, held in own:
+                lengths = []
+                rest = held
+                while rest:
+                    rest, length = rest
+                    lengths.append(length)
+                if free or min(lengths) <= small:
+                    for length in lengths:
+                        loose[length] += count
+                else:
+                    out.put(free, count, held)
+        for length in sorted(loose, reverse=True):
+            out.fit(length, loose[length])
+        return out
+
+
 class Plan:
     """Where the o-th piece of each length goes: slots are (length, first ordinal, count, first sequence, offset)."""
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, large: float = 1 / 8):
+        rooms = Rooms(capacity)
+        cut = int(capacity * large)
+        self._large(rooms, [(n, histogram[n]) for n in sorted(histogram, reverse=True) if n > cut and histogram[n]], groups)
+        for length in sorted((n for n in histogram if n <= cut), reverse=True):
+            rooms.fit(length, histogram[length])
+        # Rounding up left room where no small piece was left to fill it: those sequences are refitted with their actual lengths, and
+        # with them more and more of those that hold the small pieces.
+        bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+        small = 0
+        while rooms.sequences() > bound and small <= 2 * capacity:
+            again = rooms.refitted(small)
+            if again.sequences() < rooms.sequences():
+                rooms = again
+            small = 2 * small or 1
         self.slots: list[tuple[int, int, int, int, int]] = []
         self.taken = dict.fromkeys(histogram, 0)
         self.sequences = 0
-        self.capacity = capacity
-        room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by what is free: (first sequence, count)
-        cut = int(capacity * large)
-        big = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if n > cut and histogram[n]]
-        for first, count, used in self._large(big, groups):
-            room[capacity - used].append((first, count))
-        filled = [k for k in range(1, capacity + 1) if room[k]]
-        for length in sorted((n for n in histogram if n <= cut), reverse=True):
-            left = histogram[length]
-            while left:
-                k = bisect.bisect_left(filled, length)
-                if k == len(filled):  # into new sequences, as many as a whole row of equal pieces needs
-                    each = capacity // length
-                    for count, fill in ((left // each, each), (min(1, left % each), left % each)):
-                        if count:
-                            first = self._open(count)
-                            for j in range(fill):
-                                self._place(length, count, first, j * length)
-                            self._back(room, filled, capacity - fill * length, first, count)
-                    break
-                free = filled[k]
-                first, count = room[free].pop()
-                if not room[free]:
-                    filled.pop(k)
-                now = min(count, left)
-                self._place(length, now, first, capacity - free)
-                left -= now
-                self._back(room, filled, free - length, first, now)
-                if now < count:
-                    self._back(room, filled, free, first + now, count - now)
-
-    def _open(self, count: int) -> int:
-        self.sequences += count
-        return self.sequences - count
-
-    def _place(self, length: int, count: int, first: int, offset: int) -> None:
-        self.slots.append((length, self.taken[length], count, first, offset))
-        self.taken[length] += count
+        for own in rooms.by_free:
+            for count, held in own:
+                lengths = []
+                while held:
+                    held, length = held
+                    lengths.append(length)
+                offset = 0
+                for length in reversed(lengths):
+                    self.slots.append((length, self.taken[length], count, self.sequences, offset))
+                    self.taken[length] += count
+                    offset += length
+                self.sequences += count
 
     @staticmethod
-    def _back(room: list, filled: list[int], free: int, first: int, count: int) -> None:
-        if free and not room[free]:
-            bisect.insort(filled, free)
-        room[free].append((first, count))
-
-    def _large(self, big: list[tuple[int, int]], groups: int) -> list[tuple[int, int, int]]:
-        """Places the large pieces; gives (first sequence, count, used) of the opened sequences."""
+    def _large(rooms: Rooms, big: list[tuple[int, int]], groups: int) -> None:
+        """Puts sequences with the large pieces into rooms."""
         total = sum(c for _, c in big)
         if not total:
-            return []
+            return
         each = -(-total // groups)
         sizes: list[int] = []
         members: list[list[list[int]]] = []  # of each group: [length, count], longest first
@@ -244,27 +291,25 @@ class Plan:
                 count -= now
                 room -= now
         demand = [sum(c for _, c in m) for m in members]
-        out = []
-        for column, times in configurations(sizes, demand, self.capacity):
-            opened = [(self._open(times), times, 0)]
+        for column, times in configurations(sizes, demand, rooms.capacity):
+            opened: list[tuple[int, int, tuple | None]] = [(times, 0, None)]
             for g, k in enumerate(column):
                 for _ in range(k):
                     # The actual pieces, longest first, take this place in all sequences of the configuration.
                     parts = []
-                    for first, count, used in opened:
+                    for count, used, held in opened:
                         while count:
                             length, have = members[g][0]
                             now = min(count, have)
-                            self._place(length, now, first, used)
-                            parts.append((first, now, used + length))
-                            first, count = first + now, count - now
+                            parts.append((now, used + length, (held, length)))
+                            count -= now
                             if now == have:
                                 members[g].pop(0)
                             else:
                                 members[g][0][1] -= now
                     opened = parts
-            out += opened
-        return out
+            for count, used, held in opened:
+                rooms.put(rooms.capacity - used, count, held)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys (length << 44 | first ordinal), first sequences and offsets."""
@@ -307,7 +352,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64) -
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eot: int = EOT, keep_ids: bool = False) -> DataFrame:
-    """Tokenizes `docs` and packs the pieces; the pieces are written once, so no text is encoded twice."""
+    """Tokenizes `docs` (doc_id, text) and packs the pieces; the pieces are written once, so no text is encoded twice.
+
+    Null or empty text is one piece, the end id. Rows with null or repeated ids are rows like any other, each with its own pieces;
+    texts of any length are cut into pieces of `capacity` ids; other columns are left out; an empty table gives an empty result.
+    """
     return pack_pieces(stored(tokenized_pieces(docs, tokenizer_path, capacity, eot, keep_ids), "pieces"), capacity)
 
 
