@@ -305,9 +305,21 @@ def test_classifier_on_held_out_rows(spark, sf):
     out = quality_classifier.classify(docs, train).join(held, "doc_id").select("good", "quality_kept").collect()
     right = sum(bool(r.good) == r.quality_kept for r in out) / len(out)
     good = [r.quality_kept for r in out if r.good]
+    print("accuracy", right, "good kept", sum(good) / len(good))
     assert right > 0.9 and sum(good) / len(good) > 0.95, (right, sum(good) / len(good))
 
 
+def test_views_exchange_labels(spark, sf):
+    """Both views get pseudo-labels of both classes from the other, and are other models for it."""
+    d = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), quality_classifier.good_labels(spark.read.parquet(f"{d}/labels.parquet"))
+    alone, together = quality_classifier.fit(docs, labels, rounds=0), quality_classifier.fit(docs, labels, rounds=2, share=0.1)
+    assert alone.received == [0, 0] and min(together.received) > 10
+    assert all(a != b for a, b in zip(alone.scales, together.scales, strict=True))
+    bounded = quality_classifier.fit(docs, labels, max_labelled=100, max_pseudo=5, rounds=1, share=0.1)
+    assert max(bounded.received) <= 30
+
+
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 0)], "doc_id long, good int")
     out = quality_classifier.classify(docs.withColumn("quality_score", F.lit("x")), labels)
