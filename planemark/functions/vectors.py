@@ -82,6 +82,22 @@ def pitch(strike_: str, dip_: str, line: Vec) -> str:
     return f"CASE WHEN {size} < 1e-9 THEN 0e0 ELSE degrees(acos(greatest(-1e0, least(1e0, {cosine})))) END"
 
 
+def pitch_steps(strike_: str, dip_: str, line: Vec, out: str) -> list[dict[str, str]]:
+    """The same as columns to add, step by step, up to `out`: nested, the text of each part would stand there many times."""
+    n = normal(strike_, dip_)
+    names = lambda k: tuple(f"{out}_{k}{c}" for c in "xyz")
+    u, p, m = names("u"), names("p"), names("n")
+    size = f"{out}_size"
+    return [
+        dict(zip((*u, *m), (*unit(line), *n), strict=True)),
+        {f"{out}_along": dot(u, m)},
+        {k: f"{x} - {out}_along * {y}" for k, x, y in zip(p, u, m, strict=True)},
+        {size: f"sqrt({dot(p, p)})"},
+        {f"{out}_cos": f"(sin(radians({strike_})) * {p[0]} + cos(radians({strike_})) * {p[1]}) / CASE WHEN {size} < 1e-9 THEN 1e0 ELSE {size} END * CASE WHEN {p[2]} > 0 THEN -1e0 ELSE 1e0 END"},
+        {out: f"CASE WHEN {size} < 1e-9 THEN 0e0 ELSE degrees(acos(greatest(-1e0, least(1e0, {out}_cos)))) END"},
+    ]
+
+
 def equal_area(trend_: str, plunge_: str) -> tuple[str, str]:
     """Place of a downward axis on the equal-area disc of radius 1."""
     r = f"(sqrt(2e0) * sin((radians(90e0) - radians({plunge_})) / 2e0))"

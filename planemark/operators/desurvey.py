@@ -38,7 +38,9 @@ def paths(collars: DataFrame, surveys: DataFrame, depths: DataFrame) -> DataFram
     station = F.when(F.col("dx").isNotNull(), F.struct("Depth_m", "dx", "dy", "dz"))
     hole = Window.partitionBy("HoleID").orderBy("Depth_m")
     rows = rows.withColumn("_a", F.last(station, True).over(hole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("_b", F.first(station, True).over(hole.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # Upwards too the frame grows row by row; one that shrinks from below would be summed up anew for every row.
+    upwards = Window.partitionBy("HoleID").orderBy(F.col("Depth_m").desc())
+    rows = rows.withColumn("_b", F.last(station, True).over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.withColumns({"_a": F.coalesce("_a", "_b"), "_b": F.coalesce("_b", "_a")})
     gap = F.col("_b.Depth_m") - F.col("_a.Depth_m")
     share = F.when(gap > 0, (F.col("Depth_m") - F.col("_a.Depth_m")) / F.when(gap > 0, gap).otherwise(1.0)).otherwise(0.0)

@@ -23,7 +23,8 @@ CARRIED = ("src_index", "HoleID", "From_m", "To_m", "mid_m", "mid_x", "mid_y", "
 
 @dataclass(frozen=True)
 class Estimator:
-    """make: (moments, cfg) -> rows with t.. of the matrix and perhaps `planarity`; more: further columns of the result."""
+    """make: (moments, cfg) -> rows with t.. of the matrix and perhaps `planarity`; gate: which of these rows count; more: further
+    columns of the result."""
 
     make: Callable[[DataFrame, dict[str, Any]], DataFrame]
     pole: str
@@ -32,11 +33,21 @@ class Estimator:
     more: tuple[str, ...] = ()
     planarity_ceiling: float = 1.0
     linearity_ceiling: float = 1.0
+    gate: Callable[[DataFrame, dict[str, Any]], DataFrame] | None = None
 
     def __post_init__(self) -> None:
         if self.pole not in ("major", "minor"):
             raise ValueError(f"pole must be 'major' or 'minor', not {self.pole!r}")
 
+    def rows(self, m: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+        """What make gives, past the gate. With lsq both the moments and the result are written, one row a sample: the sums, the
+        solution and the axes together would not fit into one compiled stage, nor a filter that Spark moves below the solution."""
+        made = self.make(written(m, "moments") if self.lsq else m, cfg)
+        if self.lsq:
+            used = {"i", "half", "local_n", "local_holes", "planarity", *(f"t{k}" for k in SIX), *self.more}
+            made = written(made.select(*(c for c in made.columns if c in used)), "gradients")
+        return self.gate(made, cfg) if self.gate else made
+
 
 def covariance(m: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     w = F.when(F.col("m0") > 0, F.col("m0")).otherwise(1.0)
@@ -55,13 +66,17 @@ def gradient(m: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     r2 = F.when(F.col("c") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (2 * gb - gag) / F.when(F.col("c") > 0, F.col("c")).otherwise(1.0)))).otherwise(1.0)
     m = m.withColumns({"gradient_r2": r2, "gradient_magnitude": F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2 + F.col("gz") ** 2)})
     m = m.withColumns({f"t{k}": F.col(f"g{k[0]}") * F.col(f"g{k[1]}") for k in SIX})
-    m = m.withColumn("planarity", F.col("gradient_r2")).where("gradient_magnitude > 0")
+    return m.withColumn("planarity", F.col("gradient_r2"))
+
+
+def sloped(m: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+    m = m.where("gradient_magnitude > 0")
     return m.where(F.col("sampling_conditioning") >= cfg["min_sampling_conditioning"]) if cfg["min_sampling_conditioning"] else m
 
 
 ESTIMATORS = {
     "shape_pca": Estimator(covariance, "minor"),
-    "lsq_gradient": Estimator(gradient, "major", lsq=True, more=("gradient_r2", "sampling_conditioning", "gradient_magnitude")),
+    "lsq_gradient": Estimator(gradient, "major", lsq=True, more=("gradient_r2", "sampling_conditioning", "gradient_magnitude"), gate=sloped),
     # The same as shape_pca without grades: what the drill pattern alone would show.
     "drill_pattern": Estimator(covariance, "minor", graded=False),
 }
@@ -105,8 +120,5 @@ def orientations(active: DataFrame, cfg: dict[str, Any], name: str | None = None
     name = name or cfg["estimator"]
     est = ESTIMATORS[name]
     m = gated(moments(nodes(active), cfg, est.graded, est.lsq), cfg["min_neighbors"], cfg["min_holes"])
-    if est.lsq:
-        # One row a sample; the long expressions that follow would not fit into one compiled stage with the sums.
-        m = written(m, "moments")
-    out = field(est.make(m, cfg), est, lapack).select(F.col("i").alias("src_index"), F.lit(name).alias("estimator"), *FIELD, "local_n", "local_holes", *est.more)
+    out = field(est.rows(m, cfg), est, lapack).select(F.col("i").alias("src_index"), F.lit(name).alias("estimator"), *FIELD, "local_n", "local_holes", *est.more)
     return active.select(*(c for c in CARRIED if c in active.columns)).join(out, "src_index")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..functions.matrices import add
 
 # The columns of an export, in order.
 EXPORT_COLUMNS = ["HoleID", "From_m", "To_m", "X", "Y", "Z", "Dip", "DipAzimuth", "Pitch", "Planarity", "Linearity", "LocalN", "LocalHoles", "VsReferenceDeg", "Estimator"]
@@ -19,7 +20,8 @@ def export_table(field: DataFrame, vs_reference: DataFrame | None = None, decima
         field = field.withColumn("vs_reference_deg", F.lit(None).cast("double"))
     else:
         field = field.join(vs_reference, "src_index", "left")
-    pitch = v.col(v.pitch("plane_strike_deg", "plane_dip_deg", ("line_vec_x", "line_vec_y", "line_vec_z")))
+    field = add(field, v.pitch_steps("plane_strike_deg", "plane_dip_deg", ("line_vec_x", "line_vec_y", "line_vec_z"), "_pitch"))
+    pitch = F.col("_pitch")
     linear = F.coalesce("linearity_norm", F.lit(0.0)) >= MIN_LINEARITY
     r = lambda c: F.bround(c, decimals)
     return field.select(

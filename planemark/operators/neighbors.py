@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matrices import SIX
+from ..sources.store import written
 
 FLOOR = 1e-6
 
@@ -62,8 +63,10 @@ def weighted(e: DataFrame, floor: float, sigma: float, graded: bool = True) -> D
 
 
 def edge_weights(n: DataFrame, cfg: dict[str, Any], graded: bool = True) -> DataFrame:
-    """The pairs with their final weights w, for what needs them one by one."""
+    """The pairs with their final weights w, for what needs them one by one. They are written before declustering, so that the pairs of
+    the radius are found once."""
     e = weighted(edges(n, cfg["radius_m"], cfg["exclude_same_hole_neighbors"]), least_score(n), cfg["distance_sigma_m"], graded)
+    e = written(e, "edges") if cfg["decluster_by_hole"] else e
     if not cfg["decluster_by_hole"]:
         return e.withColumn("w", F.col("w0"))
     factors = e.groupBy("i", "holej").agg(_factor().alias("_f"))

@@ -19,6 +19,7 @@ def neighbour_means(values: DataFrame, pairs: DataFrame, columns: list[str]) ->
 def smooth_scores(scores: DataFrame, pairs: DataFrame, rounds: int = 1, alpha: float = 0.5) -> DataFrame:
     """(i, s) with s moved by alpha towards the mean of its neighbours, some rounds; without neighbours it stays. pairs: i, j, w."""
     out = scores.select("i", "s")
+    pairs = written(pairs.select("i", "j", "w"), "pairs") if rounds > 1 else pairs
     for k in range(rounds):
         mean = neighbour_means(out, pairs, ["s"])
         out = out.join(mean, "i", "left").select("i", F.when(F.col("_w") > 0, (1 - alpha) * F.col("s") + alpha * F.col("_s")).otherwise(F.col("s")).alias("s"))

@@ -89,7 +89,7 @@ raw AS (SELECT HoleID, d, {', '.join(f'{mix(c)} AS q{c}' for c in 'xyz')} FROM m
 units AS (SELECT HoleID, d, {ux} AS ux, {uy} AS uy, {uz} AS uz FROM raw),
 bent AS (SELECT *, acos(greatest(-1, least(1, ux * pux + uy * puy + uz * puz))) AS bend FROM (SELECT *, {prev} FROM units) AS lagged),
 moved AS (SELECT *, {run} FROM bent),
-path AS (SELECT HoleID, d AS Depth_m, Easting + mx AS X, Northing + my AS Y, Elevation + mz AS Z, ux, uy, uz FROM moved JOIN collars USING (HoleID))"""
+path AS MATERIALIZED (SELECT HoleID, d AS Depth_m, Easting + mx AS X, Northing + my AS Y, Elevation + mz AS Z, ux, uy, uz FROM moved JOIN collars USING (HoleID))"""
 
 
 THREE = "SELECT HoleID, From_m AS d FROM points UNION ALL SELECT HoleID, To_m FROM points UNION ALL SELECT HoleID, 0.5e0 * (From_m + To_m) FROM points"
@@ -162,7 +162,8 @@ compared AS (SELECT method, code, boundary, n_holes, count(*) AS n_nodes, median
 def sql() -> dict[str, str]:
     li = "lineitem"
     half = "CAST(substr(holej, 2) AS INT) % 2"
-    halves = f"(SELECT * FROM {_covariance(f'i, {half}').replace(f'SELECT i, {half},', f'SELECT i, {half} AS half,')} AS c WHERE local_n >= 5 AND local_holes >= 3)"
+    halved = lambda half: f"(SELECT * FROM {_covariance(f'i, {half}').replace(f'SELECT i, {half},', f'SELECT i, {half} AS half,')} AS c WHERE local_n >= 5 AND local_holes >= 3)"
+    halves, halves_random = halved(half), halved("ascii(md5('7/' || holej)) % 2")
     six = ", ".join(_r(f"t{k}", 4) for k in SIX)
     x, y = v.equal_area(v.trend(V3), v.plunge(V3))
     pl = ", ".join(f"({a}, {b}, {c})" for a, b, c in PLANES)
@@ -213,7 +214,9 @@ SELECT HoleID, From_m, To_m, Easting AS X, Northing AS Y, Elevation AS Z, {_r('r
 {_r(f'round_even(CASE WHEN (tl1 - tl2) / tl1 >= 0.05 THEN {pitch} ELSE 0 END, 3)', 9, 'Pitch')}, {_r('round_even(greatest(0, least(1, (tl2 - tl3) / tl1)), 4)', 9, 'Planarity')}, {_r('round_even(greatest(0, least(1, (tl1 - tl2) / tl1)), 4)', 9, 'Linearity')},
 local_n AS LocalN, local_holes AS LocalHoles, NULL::DOUBLE AS VsReferenceDeg, 'shape_pca' AS Estimator FROM f JOIN active ON src_index = i""",
         "neighbor_agreement": f"WITH {_weights()}, {SHAPE}, p AS ({_poles('shape', V3)}) SELECT e.i AS src_index, {_r(f'median({_ANGLE})', 4, 'agreement_deg')} FROM e JOIN p a ON e.i = a.i JOIN p b ON e.j = b.i GROUP BY e.i",
+        "coherence_null": f"WITH {_weights()}, {SHAPE}, q AS ({_poles('shape', V3)}), dealt AS (SELECT row_number() OVER (ORDER BY md5('0/' || i), i) AS k, px, py, pz FROM q), p AS (SELECT i, px, py, pz FROM (SELECT i, row_number() OVER (ORDER BY md5(i::VARCHAR), i) AS k FROM q) AS places JOIN dealt USING (k)), one AS (SELECT median({_ANGLE}) AS agreement_deg FROM e JOIN p a ON e.i = a.i JOIN p b ON e.j = b.i GROUP BY e.i) SELECT {_r('median(agreement_deg)', 3, 'null_deg')} FROM one",
         "split_half": f"WITH {_weights()}, halves AS (SELECT * FROM {_eigen(halves)} AS f), p AS (SELECT i, half, v3x AS px, v3y AS py, v3z AS pz FROM halves) SELECT a.i AS src_index, {_r(_ANGLE, 3, 'angle_deg')} FROM p a JOIN p b ON a.i = b.i AND a.half = 0 AND b.half = 1",
+        "split_half_random": f"WITH {_weights()}, halves AS (SELECT * FROM {_eigen(halves_random)} AS f), p AS (SELECT i, half, v3x AS px, v3y AS py, v3z AS pz FROM halves) SELECT a.i AS src_index, {_r(_ANGLE, 3, 'angle_deg')} FROM p a JOIN p b ON a.i = b.i AND a.half = 0 AND b.half = 1",
         "smooth_scores_1": _smooth(1, 0.5),
         "smooth_scores_3": _smooth(3, 0.7),
         "smooth_tensor_2": _smooth_tensors(2),

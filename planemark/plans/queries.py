@@ -242,7 +242,7 @@ def neighbor_agreement(spark: SparkSession, d: str) -> DataFrame:
 @query
 def coherence_null(spark: SparkSession, d: str) -> DataFrame:
     a, cfg = _active(spark, d), fx.config()
-    return va.coherence_null(_field(a, "shape_pca"), a, cfg)
+    return rounded(va.coherence_null(_field(a, "shape_pca"), a, cfg), null_deg=3)
 
 
 @query
@@ -253,10 +253,7 @@ def split_half(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_half_random(spark: SparkSession, d: str) -> DataFrame:
-    a = _active(spark, d)
-    halves = {r["HoleID"]: r["half"] for r in va.random_halves(a).collect()}
-    zero = [h for h, x in halves.items() if x == 0]
-    return va.split_half(a, fx.config(min_holes=6), F.when(F.col("holej").isin(zero), 0).otherwise(1))
+    return rounded(va.split_half(_active(spark, d), fx.config(min_holes=6), va.random_half(7)), angle_deg=3)
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -87,9 +87,7 @@ class Session:
         reference = estimators.orientations(active, cfg, "drill_pattern")
         self.versus = written(validation.versus(self.field, reference), "versus")
         agreement = validation.neighbor_agreement(self.field, active, cfg)
-        halves = validation.random_halves(active)
-        zero = [r["HoleID"] for r in halves.where("half = 0").collect()]
-        stable = validation.split_half(active, cfg, F.when(F.col("holej").isin(zero), 0).otherwise(1))
+        stable = validation.split_half(active, cfg, validation.random_half())
         out = {
             "n_active": active.count(), "n_valid": self.field.count(),
             "vs_reference_deg": self.versus.agg(F.median("vs_reference_deg")).first()[0],

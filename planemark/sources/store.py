@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, name: str) -> DataFrame:
     """df from a table in the shared folder, so that rounds do not repeat earlier ones."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/planemark"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or "/tmp/checkpoints/planemark"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -232,3 +232,24 @@ def test_query_against_sql(spark, sf, name):
     got = REGISTRY[name](spark, sf).toPandas()
     rows = lambda df: sorted((tuple(None if x != x else x for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["lsq_gradient_field", "export_table"])
+def test_no_stage_falls_back_from_compiled_code(spark, sf, name):
+    """Without the fallback a stage that does not compile is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        REGISTRY[name](spark, sf).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_stations_at_one_depth_and_numbers_of_samples(spark):
+    """Doubled depths leave one station, and samples without src_index are numbered by hole and depth."""
+    collars = spark.createDataFrame([("A", 0.0, 0.0, 100.0, 50.0, -90.0, 0.0), ("B", 9.0, 0.0, 100.0, 50.0, -60.0, 90.0)], "HoleID string, Easting double, Northing double, Elevation double, Length_m double, Dip double, Azimuth double")
+    surveys = spark.createDataFrame([("A", 0.0, -80.0, 10.0), ("A", 0.0, -90.0, 0.0), ("A", 20.0, -90.0, 0.0)], "HoleID string, Depth_m double, Dip double, Azimuth double")
+    samples = spark.createDataFrame([("B", 0.0, 2.0, 1.0), ("A", 10.0, 12.0, 11.0), ("A", 0.0, 2.0, 1.0)], "HoleID string, From_m double, To_m double, mid_m double")
+    assert desurvey.stations(collars, surveys).where("HoleID = 'A'").count() == 2
+    out = {(r.HoleID, r.From_m): r for r in desurvey.desurveyed(samples, collars, surveys)[0].collect()}
+    assert [out[k].src_index for k in (("A", 0.0), ("A", 10.0), ("B", 0.0))] == [0, 1, 2]
+    assert abs(out["A", 10.0].mid_z - 89.0) < 1e-9 and abs(out["B", 0.0].mid_x - 9.5) < 1e-9
