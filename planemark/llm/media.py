@@ -252,4 +252,5 @@ def text_media(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as an image, read back and described; nulls and repeats as in text_media."""
     return text_media(read(spark, sf_dir, "documents"))

@@ -369,4 +369,5 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of 3-word sets at a similarity of 0.9; nulls and repeats as in similarity_classes."""
     return similarity_classes(read(spark, sf_dir, "documents"), 3, 90)

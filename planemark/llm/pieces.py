@@ -208,6 +208,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids with a tenth of the merges skipped, and what they decode to; nulls and repeats as in encode_documents."""
     import public_tokenizers
 
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=0)

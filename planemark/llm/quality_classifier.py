@@ -331,5 +331,6 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the co-trained views, fitted on `labels`; nulls and repeats as in classify."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return classify(docs, good_labels(read(spark, sf_dir, "labels"))).select("doc_id", "quality_score", F.col("quality_kept").alias("kept"))

@@ -128,5 +128,6 @@ def score_quality(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1,
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts and verdict, the trusted ones being those labelled good; nulls and repeats as in score_quality."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
     return score_quality(read(spark, sf_dir, "documents"), trusted)

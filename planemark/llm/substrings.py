@@ -224,4 +224,5 @@ def repeated_spans(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that start in an earlier one; nulls and repeats as in repeated_spans."""
     return repeated_spans(read(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -204,12 +204,13 @@ def _sorted_shards(fetched: DataFrame, size: int) -> DataFrame:
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept_sha256 string"
 
 
-def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False, least_words: int = 0) -> DataFrame:
     """For every row of `docs` (doc_id, text) the maximal runs of bytes that lie in `size`-byte strings which also start elsewhere,
     in this or another row, and what is kept; with keep_text also kept_text, where bytes that no longer make UTF-8 are dropped, and given_sha256 of the whole text.
 
-    Null or empty text has no bytes. Repeated rows repeat one another; null ids are ids. Extra columns are left out; an empty table
-    gives an empty result. Segments count as equal by 128 bits of hashes; all else is compared byte by byte in the arrays.
+    Runs of fewer than least_words words stay. Null or empty text has no bytes; texts of any length are read whole. Repeated rows repeat
+    one another; null ids are ids. Extra columns, whatever their names, are left out; an empty table gives an empty result. Segments
+    count as equal by the hash of their gram and one over a prime field of 2**61 - 1; all else is compared byte by byte in the arrays.
     """
     if size < 48:
         raise ValueError("size must be 48 or more")
@@ -262,6 +263,11 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
                 gone = np.cumsum(edge[:-1]) > 0
                 step = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                if least_words and len(first):
+                    stay = np.array([len(text[a:b].split()) < least_words for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                    for a, b in zip(first[stay].tolist(), last[stay].tolist(), strict=True):
+                        gone[a:b] = False
+                    first, last = first[~stay], last[~stay]
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(first) else text
                 for c, x in zip(cols, (len(text), int(gone.sum()), len(first), first, last - first, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, hashlib.sha256(text).hexdigest() if keep_text else None), strict=True):
                     c.append(x)
@@ -274,4 +280,5 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False) ->
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start elsewhere too; nulls and repeats as in repeated_bytes."""
     return repeated_bytes(read(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -104,6 +104,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS) ->
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule or by its host's trust; nulls and repeats as in judge_urls."""
     return judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -271,9 +271,10 @@ def test_plans_are_whole_and_tight():
                 assert offset == at
                 at += length
             assert at <= 2048
-        total = sum(k * c for k, c in lengths.items())
-        pairs = n if shape[0] > 1024 else -(-n // 2) if shape[0] == 1024 else 0
-        assert len(used) <= max(1.06 * total / 2048, pairs) + 70
+        plain = packing.Rooms(2048)  # best fit, longest first
+        for length in sorted(lengths, reverse=True):
+            plain.fit(length, lengths[length])
+        assert len(used) == plan.sequences <= plain.sequences()
 
 
 # 6
@@ -471,6 +472,99 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in packed.collect()} == set(left)
 
 
+def test_pipeline_runs(spark, sf):
+    """run() is the stages one after another: whole pieces in full sequences, of documents that all stages kept."""
+    got = corpus_pipeline.run(spark, sf).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    ids = {r.doc_id for r in got}
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert 0.5 * n < len(ids) < n
+
+
+CLASHING = ("_row_id", "_key", "_row", "row", "given", "kept_text", "n_lines", "quality_score", "quality_kept", "digest", "component_id", "span_starts", "_text", "id", "none", "drops")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_on_odd_tables(spark, sf, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    rng = random.Random(4)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    shared, long = make(70), make(20000)
+    rows = [(1, make(40) + " " + shared), (1, shared + " " + make(40)), (None, make(50)), (None, None), (3, None), (4, ""), (5, long), (6, make(30)), (6, "tie"), (7, "tie\n\n")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    odd = plain.withColumns({c: F.lit("clash") for c in CLASHING})
+    key = lambda df: sorted((str(r.doc_id), r.text or "", r.n_chars or 0) for r in df.collect())
+    a, b = stage(spark, plain, sf), stage(spark, odd, sf)
+    assert a.columns == plain.columns and b.columns == odd.columns
+    assert key(a) == key(b)
+    assert b.where(" AND ".join(f"`{c}` = 'clash'" for c in CLASHING)).count() == b.count()
+    if name != "quality_classifier":
+        assert (5 in {r.doc_id for r in a.collect()}) and any(r.doc_id is None for r in a.collect())
+    assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_packing_stage_on_odd_tables(spark, sf):
+    df = spark.createDataFrame([(None, None), (1, ""), (1, "word " * 5000)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("length", "piece", "_place", "_part")})
+    out = corpus_pipeline.packing_stage(spark, df, sf).collect()
+    assert sorted((str(r.doc_id), r.length) for r in out) == [("1", 1), ("1", 905), ("1", 2048), ("1", 2048), ("None", 1)]
+    assert corpus_pipeline.packing_stage(spark, df.limit(0), sf).count() == 0
+
+
+# Hashes
+
+
+def test_words_of_thue_and_morse_do_not_collide(spark):
+    """The word of 1,024 letters and its complement share every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    common = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{word} {common}"), (2, f"{other} {common}")], "doc_id long, text string")
+    assert substrings.repeated_spans(df).agg(F.sum("n_removed")).first()[0] == 0
+    one = spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.similarity_classes(one, 3, 90).collect()} == {1, 2}
+    want = removed_bytes([(1, word), (2, other)], 400)
+    same(suffixes.repeated_bytes(one, 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), want)
+
+
+def test_similarity_of_half_or_less_is_refused(spark):
+    with pytest.raises(ValueError):
+        ngram_join.similarity_classes(empty(spark), 3, 50)
+
+
+def test_long_shards_against_sorting():
+    """Real recursion: a text of many names on the second level."""
+    rng = random.Random(2)
+    words_ = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    t = np.append(np.frombuffer(" ".join(rng.choices(words_, k=110_000)).encode()[:700_000], np.uint8).astype(np.int16) + 2, 0).astype(np.int16)
+    sa = suffix_array(t, 258)
+    assert (np.sort(sa) == np.arange(len(t))).all()
+    rank = np.empty(len(t), np.int64)
+    rank[sa] = np.arange(len(t))
+    a, b = sa[:-1], sa[1:]
+    # By definition: the first character decides, and where it is equal the order of the rests.
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[np.minimum(a + 1, len(t) - 1)] < rank[np.minimum(b + 1, len(t) - 1)]))).all()
+
+
+def test_ids_of_odd_unicode_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(0)
+    pool = [chr(c) for c in (*range(0x21, 0x250), *range(0x300, 0x330))] + list("İıſÅΣς’…—ﬁ١éñ.,;:!?#%&") + ["'s", "\t", "\x0b", "\xa0", " ", " ", "\n"]
+    odd = ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(3000)] + ["İ+", "aİ+ b", "Abc... DEF'S"]
+    assert packing.word_ids(odd, path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+
+
 def test_near_duplicate_stage_keeps_one(spark, docs):
     plain = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     kept = corpus_pipeline.near_duplicate_stage(spark, plain, "").collect()
