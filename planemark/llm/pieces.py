@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from array import array
@@ -24,6 +25,8 @@ CHUNK = re.compile(f" *[^ \n{SPACE}]+|\n|{SPACE}| +")
 LONGEST, REMEMBERED = 48, 900_000
 #: Decisions of a chunk that are drawn beforehand; later ones are drawn when they come up.
 DRAWN = 16
+#: Chunks of up to so many characters are scanned for the next merge; longer ones keep a heap. Both give the same.
+SCANNED = 48
 BLOCK = 1 << 15
 SPREAD = U(0x9E3779B97F4A7C15)
 
@@ -74,6 +77,8 @@ class PieceModel:
             return [self.bytes[b] for b in chunk.encode()], 0
         parts: list[str | None] = list(chunk.replace(" ", SPACE))
         n = len(parts)
+        if n <= SCANNED:
+            return self._scanned(parts, mask, skips, place)  # type: ignore[arg-type]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         order = self.order
         agenda = [(order[p], i, i + 1, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in order]  # type: ignore[operator]
@@ -95,14 +100,36 @@ class PieceModel:
                     heapq.heappush(agenda, (order[p], left, far, p))
             if (near := before[left]) >= 0 and (p := parts[near] + piece) in order:  # type: ignore[operator]
                 heapq.heappush(agenda, (order[p], near, left, p))
+        return self._named([p for p in parts if p is not None]), turn
+
+    def _scanned(self, parts: list[str], mask: int, skips: Skips | None, place: int) -> tuple[list[int], int]:
+        """The same for few parts: the agenda is a list with an entry for each gap, whose least is looked for; a gap that was skipped
+        comes back when a side of it merges."""
+        get, none = self.order.get, math.inf
+        agenda = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        turn = 0
+        while agenda and (least := min(agenda)) < none:
+            k = agenda.index(least)
+            turn += 1
+            if mask >> (turn - 1) & 1 if turn <= DRAWN else skips is not None and skips.later(place, turn - 1):
+                agenda[k] = none
+                continue
+            parts[k] += parts.pop(k + 1)
+            del agenda[k]
+            if k:
+                agenda[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(agenda):
+                agenda[k] = get(parts[k] + parts[k + 1], none)
+        return self._named(parts), turn
+
+    def _named(self, parts: list[str]) -> list[int]:
         out: list[int] = []
         for p in parts:
-            if p is not None:
-                if (i := self.ids.get(p)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.bytes[b] for b in p.encode()]
-        return out, turn
+            if (i := self.ids.get(p)) is not None:
+                out.append(i)
+            else:
+                out += [self.bytes[b] for b in p.encode()]
+        return out
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
         if not text:
@@ -115,9 +142,11 @@ class PieceModel:
 
 
 _models: dict[str, PieceModel] = {}
-#: Of each model and chunk the segmentations met so far, by the decisions that came up, and how many these are (as powers of two).
-_known: dict[str, dict[str, tuple[list[int], dict[int, bytes]]]] = {}
-_entries = 0
+#: The segmentations met so far, by the chunk and a character that stands for the decisions that came up (a one above them tells how
+#: many); and of each chunk, how many these can be. Plain strings and bytes, so that Python's collector has nothing to walk through.
+_known: dict[str, bytes] = {}
+_turns: dict[str, bytes] = {}
+_of = ""
 
 
 def _model(path: str) -> PieceModel:
@@ -132,32 +161,34 @@ def encode_cached(model: PieceModel, path: str, text: str, dropout: float, seed:
     A segmentation hangs on the chunk and the decisions that came up alone, so it is remembered under these (a one above them tells
     how many they are); the decisions are drawn anew for every place of every text.
     """
-    global _entries
+    global _of
     if not text:
         return b""
-    known = _known.setdefault(path, {})
+    if _of != path:
+        _known.clear()
+        _turns.clear()
+        _of = path
     chunks, skips, out = CHUNK.findall(" " + text), Skips(text, dropout, seed), []
     for place, (c, mask) in enumerate(zip(chunks, skips.masks(len(chunks)), strict=True)):
-        own = known.get(c)
         # No run of decisions is the start of another, so at most one length fits.
-        ids = next((x for t in own[0] if (x := own[1].get(mask & (t - 1) | t)) is not None), None) if own else None
-        if ids is not None:
-            out.append(ids)
-            continue
-        ids_, turns = model.segment(c, mask, skips, place)
-        ids = array("I", ids_).tobytes()
-        out.append(ids)
-        if turns <= DRAWN and len(c) <= LONGEST:
-            if _entries > REMEMBERED:
-                for x in _known.values():
-                    x.clear()
-                _entries = 0
+        for turns in _turns.get(c, b""):
             top = 1 << turns
-            lengths, made = known.setdefault(c, ([], {}))
-            if top not in lengths:
-                lengths.append(top)
-            made[mask & (top - 1) | top] = ids
-            _entries += 1
+            ids = _known.get(c + chr(mask & (top - 1) | top))
+            if ids is not None:
+                out.append(ids)
+                break
+        else:
+            found, turns = model.segment(c, mask, skips, place)
+            ids = array("I", found).tobytes()
+            out.append(ids)
+            if turns <= DRAWN and len(c) <= LONGEST:
+                if len(_known) > REMEMBERED:
+                    _known.clear()
+                    _turns.clear()
+                top, lengths = 1 << turns, _turns.get(c, b"")
+                if turns not in lengths:
+                    _turns[c] = lengths + bytes([turns])
+                _known[c + chr(mask & (top - 1) | top)] = ids
     return b"".join(out)
 
 
@@ -171,10 +202,11 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
     cut anew wherever it stands. Null or empty text: no ids. Repeated rows, null ids and extra columns do no
     harm (extra columns are left out); an empty table gives an empty result. A space mark (U+2581) in a text is kept as bytes.
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
+        path = shipped(model_path)
+        model = _model(path)
         table = model.raw.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -182,7 +214,7 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
                 cols: list[list] = [[], [], [], [], [], []]
                 for text in some.column("text").to_pylist():
                     raw = (text or "").encode()
-                    ids = array("I", encode_cached(model, model_path, text or "", dropout, seed))
+                    ids = array("I", encode_cached(model, path, text or "", dropout, seed))
                     back = b"".join(map(table, ids))[1:]
                     for c, x in zip(cols, (len(ids), zlib.crc32(ids.tobytes()), len(back), hashlib.sha256(back).hexdigest(), back == raw, list(ids) if keep_ids else None), strict=True):
                         c.append(x)
@@ -197,11 +229,11 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """Adds `text` to a table with a column ids (array<int>); null ids give null."""
-    ship(encoded.sparkSession)
+    ship(encoded.sparkSession, model_path)
 
     @F.pandas_udf("string")
     def text(ids):  # type: ignore[no-untyped-def]
-        model = _model(model_path)
+        model = _model(shipped(model_path))
         return ids.map(lambda x: None if x is None else model.decode(list(x)))
 
     return encoded.withColumn("text", text("ids"))

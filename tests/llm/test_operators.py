@@ -399,6 +399,38 @@ def test_pieces_equal_the_library_without_dropout(texts):
     assert len(model.encode(texts[0], 1.0)) > len(model.encode(texts[0]))
 
 
+def dropped_out(model, text, dropout, seed):
+    """By definition: the best candidate of all is decided on, chunk by chunk, until none is left."""
+    out, skips = [], pieces.Skips(text, dropout, seed)
+    for place, chunk in enumerate(pieces.CHUNK.findall(" " + text)):
+        parts, shut, turn = [(k, c) for k, c in enumerate(chunk.replace(" ", pieces.SPACE))], set(), 0
+        while chunk != pieces.SPACE:
+            open_ = [(model.order[a + b], i, a + b) for (i, a), (j, b) in zip(parts, parts[1:], strict=False) if a + b in model.order and (i, j, a + b) not in shut]
+            if not open_:
+                break
+            _, left, piece = min(open_)
+            k = next(k for k, (i, _) in enumerate(parts) if i == left)
+            if skips.later(place, turn):
+                shut.add((left, parts[k + 1][0], piece))
+            else:
+                parts[k : k + 2] = [(left, piece)]
+            turn += 1
+        for _, p in parts if chunk != pieces.SPACE else []:
+            out += [model.ids[p]] if p in model.ids else [model.bytes[b] for b in p.encode()]
+        out += [model.bytes[b] for b in chunk.encode()] if chunk == pieces.SPACE else []
+    return out
+
+
+def test_op9_dropout_against_brute_force(texts, monkeypatch):
+    path = P.path("piece_bpe_32k.model")
+    model = pieces.PieceModel(path)
+    some = [t[:1500] for t in texts if t][:25] + ["a  b▁ c\n\n Straßenbahn 😀", "internationalization " * 9, "x" * 90]
+    for scanned in (0, 48):
+        monkeypatch.setattr(pieces, "SCANNED", scanned)
+        for dropout in (0.0, 0.1, 0.6):
+            assert [model.encode(t, dropout, 5) for t in some] == [dropped_out(model, t, dropout, 5) for t in some]
+
+
 def test_op9_is_lossless(spark, docs):
     path = P.path("piece_bpe_32k.model")
     out = pieces.encode_documents(docs, path, 0.1, 1, keep_ids=True)
