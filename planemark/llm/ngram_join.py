@@ -371,3 +371,26 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of 3-word sets at a similarity of 0.9; nulls and repeats as in similarity_classes."""
     return similarity_classes(read(spark, sf_dir, "documents"), 3, 90)
+
+
+OP4_SQL = """
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents
+), words AS (SELECT rid, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT rid, said FROM (
+    SELECT rid, n, pos, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS said FROM words
+  ) WHERE pos + 2 <= greatest(n, 3)
+), sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+entries AS MATERIALIZED (SELECT s.rid, z.n, s.said FROM shingles s JOIN sizes z ON z.rid = s.rid),
+common AS (
+  SELECT a.rid AS x, b.rid AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS met
+  FROM entries a JOIN entries b ON b.said = a.said AND b.rid <> a.rid AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n GROUP BY a.rid, b.rid
+), links AS MATERIALIZED (SELECT x, y FROM common WHERE 100 * met >= 90 * (nx + ny - met)),
+reached AS (
+  SELECT rid, rid AS other FROM docs UNION SELECT r.rid, l.y FROM reached r JOIN links l ON l.x = r.other
+), least AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.rid = r.other GROUP BY r.rid)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM docs d JOIN least c ON c.rid = d.rid LEFT JOIN sizes z ON z.rid = d.rid
+"""

@@ -15,4 +15,10 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
-SQL = {"op6_line_dedup": lines.OP6_SQL, "op10_url_filters": url_filters.OP10_SQL}
+SQL = {
+    "op2_substring_dedup": substrings.OP2_SQL,
+    "op3_suffix_array_dedup": suffixes.OP3_SQL,
+    "op4_ngram_jaccard_join": ngram_join.OP4_SQL,
+    "op6_line_dedup": lines.OP6_SQL,
+    "op10_url_filters": url_filters.OP10_SQL,
+}

@@ -226,3 +226,21 @@ def repeated_spans(docs: DataFrame, size: int = 13, keep_text: bool = False) ->
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that start in an earlier one; nulls and repeats as in repeated_spans."""
     return repeated_spans(read(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents
+), words AS MATERIALIZED (SELECT rid, id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM docs),
+windows AS MATERIALIZED (
+  SELECT * FROM (SELECT rid, id, n, pos, string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS said FROM words) WHERE pos + 12 <= n
+), earliest AS (SELECT said, min(id) AS id FROM windows GROUP BY said),
+gone AS (
+  SELECT DISTINCT rid, pos + g.k AS pos FROM windows w JOIN earliest e ON e.said = w.said AND e.id < w.id, generate_series(0, 12) g(k)
+), kept AS (
+  SELECT w.rid, count(g.pos) AS n_removed, string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS stays
+  FROM words w LEFT JOIN gone g ON g.rid = w.rid AND g.pos = w.pos GROUP BY w.rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(stays, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.rid = docs.rid
+"""

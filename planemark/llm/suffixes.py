@@ -282,3 +282,23 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False, le
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 400-byte strings that start elsewhere too; nulls and repeats as in repeated_bytes."""
     return repeated_bytes(read(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = """
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS MATERIALIZED (
+  SELECT rid, pos, hex(b[pos:pos]) AS byte, CASE WHEN pos + 399 <= octet_length(b) THEN md5(b[pos:pos + 399]) END AS said
+  FROM (SELECT rid, b, unnest(range(1, octet_length(b) + 1)) AS pos FROM docs)
+), repeated AS (SELECT said FROM bytes WHERE said IS NOT NULL GROUP BY said HAVING count(*) > 1),
+marked AS (
+  SELECT rid, pos, byte, coalesce(pos - max(CASE WHEN r.said IS NOT NULL THEN pos END) OVER (PARTITION BY rid ORDER BY pos) < 400, false) AS gone
+  FROM bytes LEFT JOIN repeated r ON r.said = bytes.said
+), edged AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY rid ORDER BY pos) AS opens FROM marked),
+kept AS (
+  SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone) AS stays
+  FROM edged GROUP BY rid
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(stays, ''))) AS kept_sha256
+FROM docs LEFT JOIN kept ON kept.rid = docs.rid
+"""
