@@ -9,13 +9,16 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import discard, read, stored
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 10
 MARGIN = 1e-9
+#: Rounds between two looks at how far the scores still move.
+STRIDE = 5
+#: Rounds of the SQL, which cannot stop by convergence: beyond them less than 1e-14 of the seeds moves.
+SQL_ROUNDS = 200
 
 
 def _ascii_lower(x: Column) -> Column:
@@ -55,39 +58,55 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("all_n")).alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score) after some rounds of score = (1 - damping) * seed + damping * sum(w * score of the sources).
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = MARGIN, damping: float = DAMPING) -> DataFrame:
+    """(host, score) of score = (1 - damping) * seed + damping * sum(w * score of the sources), each within tolerance of the limit.
 
-    edges: src, dst, w with weights of a source adding up to 1. Every few rounds the scores are written to cut the lineage.
+    edges: src, dst, w with weights of a source adding up to 1; what reaches a host without links stays there. So all changes of a
+    round together are at most damping times those of the round before, and the rest of the series is known: rounds end when it is
+    under the tolerance, after a number that grows with the logarithm of the number of seeds. Scores are written every few rounds,
+    which cuts the lineage, and only the sum of the changes comes to the driver.
     """
     own = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-    scores = own
-    for k in range(rounds):
-        moved = edges.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
-        scores = moved.unionByName(own).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 5 == 4 and k + 1 < rounds:
-            scores = stored(scores, "host-scores")
-    return scores
 
+    def moved(scores: DataFrame) -> DataFrame:
+        along = edges.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("w") * F.col("score")).alias("score"))
+        return along.unionByName(own).groupBy("host").agg(F.sum("score").alias("score"))
 
-def host_scores(pages: DataFrame, judged: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    scores = own
+    while True:
+        read_from = scores
+        for _ in range(STRIDE - 1):
+            scores = moved(scores)
+        before = stored(scores, "host-scores")
+        both = moved(before).withColumn("change", F.col("score")).unionByName(before.select("host", F.lit(0.0).alias("score"), (-F.col("score")).alias("change")))
+        last = stored(both.groupBy("host").agg(F.sum("score").alias("score"), F.abs(F.sum("change")).alias("change")), "host-scores")
+        change = last.agg(F.sum("change")).first()[0] or 0.0
+        discard(before, read_from)
+        if change * damping / (1 - damping) <= tolerance:
+            return last.select("host", "score")
+        scores = last.select("host", "score")
+        scores._stored_at = last._stored_at  # type: ignore[attr-defined]
+
+
+def host_scores(pages: DataFrame, judged: DataFrame) -> DataFrame:
     """(host, trust, distrust). judged: host and the verdict of a rule, one row a url.
 
     A host is a trusted seed if rules allow more of its urls than they block, and a blocked seed the other way round. Trust moves
     along links; distrust moves against them, as a page that links to blocked hosts is suspect.
+    A seed weighs 1, whatever the number of seeds: scores are personalised PageRank times that number, and MARGIN is in its units.
     """
     edges = stored(host_edges(pages), "host-edges")
     into = edges.groupBy("dst").agg(F.sum("w").alias("all_w"))
     back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("w") / F.col("all_w")).alias("w"))
     votes = judged.where("verdict IS NOT NULL AND host <> ''").groupBy("host").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(-1)).alias("votes"))
     votes = stored(votes, "host-votes")
-    trust = propagate(edges, votes.where("votes > 0").select("host", F.lit(1.0).alias("seed")), rounds)
-    distrust = propagate(back, votes.where("votes < 0").select("host", F.lit(1.0).alias("seed")), rounds)
+    trust = propagate(edges, votes.where("votes > 0").select("host", F.lit(1.0).alias("seed")))
+    distrust = propagate(back, votes.where("votes < 0").select("host", F.lit(1.0).alias("seed")))
     both = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every row of `pages` (page_id, url, html).
 
     A fitting rule decides; else the page's host is blocked if its distrust exceeds its trust by more than MARGIN. Hosts without
@@ -97,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = ROUNDS) ->
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = source.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     judged = parsed.withColumn("_fit", fitting_rule(rules)).select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.verdict").alias("verdict"))
-    scores = stored(host_scores(source, judged, rounds), "host-judged")
+    scores = stored(host_scores(source, judged), "host-judged")
     joined = judged.join(scores, "host", "left")
     bad = F.coalesce(F.col("distrust") - F.col("trust") > MARGIN, F.lit(False))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -112,27 +131,32 @@ def _op10_sql() -> str:
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p} {v}'" for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
     sql = f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{lower}'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
 ), fitted AS (SELECT *, CASE {cases} END AS fit FROM parsed),
 judged AS (SELECT page_id, html, host, path, split_part(fit, ' ', 1) AS rule, split_part(fit, ' ', 2) AS verdict FROM fitted),
 links AS (
-  SELECT host AS src, unnest(regexp_extract_all(html, 'href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')) AS link FROM judged
+  SELECT host AS src, unnest(regexp_extract_all(html, '\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')) AS link FROM judged
 ), counted AS (
   SELECT src, dst, count(*) AS n FROM (SELECT src, translate(link, '{upper}', '{lower}') AS dst FROM links)
   WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
-), edges AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM counted),
-back AS (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS w FROM edges),
-votes AS (SELECT host, sum(CASE WHEN verdict = 'allow' THEN 1 ELSE -1 END) AS votes FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY host)"""
+), edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM counted),
+back AS MATERIALIZED (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS w FROM edges),
+votes AS MATERIALIZED (SELECT host, sum(CASE WHEN verdict = 'allow' THEN 1 ELSE -1 END) AS votes FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY host)"""
     for name, graph, sign in (("t", "edges", ">"), ("d", "back", "<")):
         own = f"SELECT host, {1 - DAMPING!r}::DOUBLE AS score FROM votes WHERE votes {sign} 0"
-        sql += f",\n{name}0 AS ({own})"
-        for k in range(ROUNDS):
-            sql += f",\n{name}{k + 1} AS (SELECT host, sum(score) AS score FROM (SELECT e.dst AS host, {DAMPING} * e.w * s.score AS score FROM {graph} e JOIN {name}{k} s ON s.host = e.src UNION ALL ({own})) GROUP BY host)"
+        sql += f""",
+{name}(k, host, score) AS (
+  SELECT 0, host, score FROM ({own}) UNION ALL
+  SELECT k + 1, host, sum(score) FROM (
+    SELECT s.k, e.dst AS host, {DAMPING} * e.w * s.score AS score FROM {name} s JOIN {graph} e ON e.src = s.host
+    UNION ALL SELECT r.k, o.host, o.score FROM (SELECT DISTINCT k FROM {name}) r, ({own}) o
+  ) WHERE k < {SQL_ROUNDS} GROUP BY k, host
+)"""
     return sql + f"""
 SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d.score, 0) - coalesce(t.score, 0) > {MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN t{ROUNDS} t ON t.host = j.host LEFT JOIN d{ROUNDS} d ON d.host = j.host
+FROM judged j LEFT JOIN (FROM t WHERE k = {SQL_ROUNDS}) t ON t.host = j.host LEFT JOIN (FROM d WHERE k = {SQL_ROUNDS}) d ON d.host = j.host
 """
 
 

@@ -638,3 +638,27 @@ def test_op4_large_groups_without_links(spark, monkeypatch, hot, percent):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     same(ngram_join.similarity_classes(df, 3, percent), classes(rows, 3, percent))
+
+
+def test_op10_scores_reach_the_limit(spark):
+    """Distrust comes back along a chain of 30 links, beyond any few rounds; scores are those of the linear system."""
+    hosts = [f"h{k}.net" for k in range(30)] + ["bad.com"]
+    pages = [(k, f"https://{h}/", f'<a href="https://{hosts[k + 1]}/">t</a><a href="https://{hosts[(7 * k) % 30]}/">t</a>') for k, h in enumerate(hosts[:-1])]
+    pages.append((30, "https://bad.com/de/", None))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.host: r for r in url_filters.judge_urls(df).collect()}
+    assert all(r.verdict == "block" for r in out.values())
+    n = len(hosts)
+    links = np.zeros((n, n))
+    for k in range(30):
+        for to in {k + 1, (7 * k) % 30} - {k}:
+            links[k, to] += 1
+    out_shares = links / np.maximum(links.sum(1, keepdims=True), 1)
+    back = (out_shares / np.maximum(out_shares.sum(0, keepdims=True), 1e-300)).T
+    seed = np.eye(n)[30]
+    want = np.linalg.solve(np.eye(n) - url_filters.DAMPING * back.T, (1 - url_filters.DAMPING) * seed)
+    assert max(abs(out[h].distrust - want[k]) for k, h in enumerate(hosts)) <= url_filters.MARGIN
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(x) for x in pages])
+    same(df.transform(url_filters.judge_urls).select("page_id", "host", "path", "rule", "verdict"), [tuple(r) for r in con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_filters.OP10_SQL})").fetchall()])
