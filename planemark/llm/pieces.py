@@ -5,11 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
+import itertools
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,14 @@ from .common import U, mix, read, ship, shipped
 SPACE = "▁"
 #: No piece has a space mark after another character, or a line end: these parts never merge with one another.
 CHUNK = re.compile(f" *[^ \n{SPACE}]+|\n|{SPACE}| +")
-LONGEST, REMEMBERED = 48, 900_000
-#: Decisions of a chunk that are drawn beforehand; later ones are drawn when they come up.
-DRAWN = 16
-#: Chunks of up to so many characters are scanned for the next merge; longer ones keep a heap. Both give the same.
+#: Chunks of up to so many characters are merged side by side in arrays; longer ones, one by one, keep a heap. Both give the same.
 SCANNED = 48
-BLOCK = 1 << 15
+#: Upper ends of the lengths that are merged together.
+WIDTHS = (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 48)
+#: Characters of texts that are encoded together, and chunks that are merged together.
+TOGETHER, ROWS = 1 << 19, 1 << 16
+#: Decisions of a long chunk that are drawn at once.
+DRAWN = 256
 SPREAD = U(0x9E3779B97F4A7C15)
 
 
@@ -38,19 +39,59 @@ class Skips:
         self.limit = min(int(dropout * 2**64), 2**64 - 1)
         self.key = xxhash.xxh64_intdigest(text.encode(), seed % 2**64)
 
-    def masks(self, n: int) -> list[int]:
-        """For each of n chunks the first DRAWN decisions as bits."""
-        out: list[int] = []
-        turns = np.arange(DRAWN, dtype=U)
-        for at in range(0, n if self.limit else 0, BLOCK):
-            places = np.arange(at, min(n, at + BLOCK), dtype=U) << U(32)
-            hashes = mix((places[:, None] | turns) * SPREAD + U(self.key))
-            out += np.packbits(hashes < U(self.limit), axis=1, bitorder="little").view("<u2")[:, 0].tolist()
-        return out or [0] * n
-
     def later(self, place: int, turn: int) -> bool:
-        """One decision, by the same hash."""
-        return bool(self.limit) and bool(mix(np.array([place << 32 | turn], U) * SPREAD + U(self.key))[0] < U(self.limit))
+        """One decision."""
+        return bool(skipped(U(self.key), np.array([place], U), U(turn), self.limit)[0])
+
+    def drawn(self, place: int) -> Iterator[bool]:
+        """All decisions of one place, in order."""
+        for at in itertools.count(0, DRAWN):
+            yield from skipped(U(self.key), U(place), np.arange(at, at + DRAWN, dtype=U), self.limit).tolist()
+
+
+def skipped(keys: U | np.ndarray, places: U | np.ndarray, turns: U | np.ndarray, limit: int) -> np.ndarray:
+    """Decisions by text key, place and turn; any two of the three may be single values."""
+    return mix((places << U(32) | turns) * SPREAD + keys) < U(limit)
+
+
+class Pairs:
+    """Which two symbols merge, into which symbol and how early: an open hash table in arrays."""
+
+    def __init__(self, found: dict[tuple[int, int], tuple[int, int]]):
+        self.bits = max(10, (4 * len(found)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        wanted = np.array([a << 24 | b for a, b in found], np.int64)
+        self.ranks, self.made = (np.array([v[k] for v in found.values()] + [x], np.int32) for k, x in ((0, NEVER), (1, 0)))
+        waiting, slot = np.arange(wanted.size), self._first(wanted)
+        while waiting.size:
+            free = self.keys[slot] < 0
+            self.slots[slot[free]] = waiting[free]
+            self.keys[slot[free]] = wanted[self.slots[slot[free]]]
+            late = self.slots[slot] != waiting
+            waiting, slot = waiting[late], slot[late] + 1 & (1 << self.bits) - 1
+
+    def _first(self, wanted: np.ndarray) -> np.ndarray:
+        return (wanted.astype(U) * SPREAD >> U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in ranks and made; the last place for pairs that do not merge."""
+        wanted = left.astype(np.int64) << 24 | right
+        slot = self._first(wanted)
+        there = self.keys[slot]
+        out = np.where(there == wanted, self.slots[slot], -1)
+        waiting = np.flatnonzero((there != wanted) & (there >= 0))
+        while waiting.size:
+            slot[waiting] = slot[waiting] + 1 & (1 << self.bits) - 1
+            there = self.keys[slot[waiting]]
+            hit = there == wanted[waiting]
+            out[waiting[hit]] = self.slots[slot[waiting[hit]]]
+            waiting = waiting[~hit & (there >= 0)]
+        return out
+
+
+#: Order of a gap that does not merge; others are rank << 6 | place of the gap.
+NEVER = np.int32(2**31 - 1)
 
 
 class PieceModel:
@@ -70,83 +111,158 @@ class PieceModel:
             raise ValueError("the model has no byte fallback")
         #: What each id stands for; control ids for nothing.
         self.raw = [b"" if special[i] and not sp.is_byte(i) else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
-
-    def segment(self, chunk: str, mask: int = 0, skips: Skips | None = None, place: int = 0) -> tuple[list[int], int]:
-        """Ids of one chunk, and how many candidate merges came up. The k-th is skipped if bit k of the mask is set; from DRAWN on skips decides."""
-        if chunk == SPACE:  # the mark itself, not a space
-            return [self.bytes[b] for b in chunk.encode()], 0
-        parts: list[str | None] = list(chunk.replace(" ", SPACE))
-        n = len(parts)
-        if n <= SCANNED:
-            return self._scanned(parts, mask, skips, place)  # type: ignore[arg-type]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        order = self.order
-        agenda = [(order[p], i, i + 1, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in order]  # type: ignore[operator]
+        # Symbols are the pieces, then other characters that pieces hold, then one for all other characters.
+        symbols = {p: k for k, p in enumerate(self.ids)}
+        for c in sorted({c for p in self.ids for c in p} - symbols.keys()):
+            symbols[c] = len(symbols)
+        self.other = len(symbols)
+        self.id_of = np.full(self.other + 1, -1, np.int64)
+        self.id_of[: len(self.ids)] = list(self.ids.values())
+        self.symbol_of = np.full(0x110000, self.other, np.int32)
+        for c, k in symbols.items():
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = k
+        self.symbol_of[ord(" ")] = self.symbol_of[ord(SPACE)]
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int64)
+        ranks = {x: k for k, x in enumerate(sorted(set(self.order.values())))}
+        self.pairs = Pairs({(symbols[p[:k]], symbols[p[k:]]): (ranks[self.order[p]] << 6, symbols[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols})
+
+    def _merge(self, sym: np.ndarray, places: np.ndarray, keys: np.ndarray, limit: int) -> None:
+        """Merges the chunks in the columns of sym in place, of which a merged part's later places become -1. The row below the last is
+        spare. In turn t each column's first gap in order is decided on; one that was skipped comes back when a side of it merges."""
+        width = len(sym) - 1
+        after = np.repeat(np.arange(1, width + 2, dtype=np.int32)[:, None], sym.shape[1], axis=1)
+        before = after - np.int32(2)
+        agenda, made = np.full(sym.shape, NEVER), np.zeros(sym.shape, np.int32)
+        for k in range(width - 1):
+            at = self.pairs(sym[k], sym[k + 1])
+            agenda[k] = np.where(at < 0, NEVER, self.pairs.ranks[at] | k)
+            made[k] = self.pairs.made[at]
+        cols = np.arange(sym.shape[1])
+        for turn in itertools.count():
+            least = agenda.min(axis=0)
+            row = np.flatnonzero(least != NEVER)
+            if not row.size:
+                return
+            if 2 * row.size < cols.size:
+                agenda, cols, least = agenda[:, row], cols[row], least[row]
+                row = np.arange(cols.size)
+            gap = least[row] & 63
+            agenda[gap, row] = NEVER
+            if limit:
+                stay = ~skipped(keys[cols[row]], places[cols[row]], U(turn), limit)
+                row, gap = row[stay], gap[stay]
+            col = cols[row]
+            right = after[gap, col]
+            far, near, new = after[right, col], before[gap, col], made[gap, col]
+            agenda[right, row] = NEVER
+            sym[gap, col], sym[right, col] = new, -1
+            after[gap, col], before[far, col] = far, gap
+            # The spare row is of no known symbol: a gap that leads there, or comes from there, never merges.
+            at = self.pairs(np.concatenate([new, sym[near, col]]), np.concatenate([sym[far, col], new]))
+            for gap, at in ((gap, at[: gap.size]), (near, at[gap.size :])):  # noqa: B020, PLW2901
+                agenda[gap, row] = np.where(at < 0, NEVER, self.pairs.ranks[at] | gap)
+                made[gap, col] = self.pairs.made[at]
+
+    def _heaped(self, sym: np.ndarray, skips: Iterator[bool]) -> None:
+        """The same for one long chunk: an agenda that is a heap."""
+        n = len(sym)
+        parts, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def candidates(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+            at = self.pairs(left, right)
+            return np.where(at < 0, -1, self.pairs.ranks[at]).tolist(), self.pairs.made[at].tolist()
+
+        ranks, made = candidates(sym[:-1], sym[1:])
+        #: Order, left and right place, the two parts and what they become; out of date once one of the two has changed.
+        agenda = [(r, i, i + 1, parts[i], parts[i + 1], m) for i, (r, m) in enumerate(zip(ranks, made, strict=True)) if r >= 0]
         heapq.heapify(agenda)
-        turn = 0
+        known: dict[tuple[int, int], tuple[int, int]] = {}
         while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            a, b = parts[left], parts[right]
-            if a is None or b is None or after[left] != right or len(a) + len(b) != len(piece):
-                continue  # one of the two has merged with another neighbour
-            turn += 1
-            if mask >> (turn - 1) & 1 if turn <= DRAWN else skips is not None and skips.later(place, turn - 1):
+            _, left, right, a, b, new = heapq.heappop(agenda)
+            if parts[left] != a or parts[right] != b or after[left] != right or next(skips):
                 continue
-            parts[left], parts[right] = piece, None
+            parts[left], parts[right] = new, -1
             after[left] = far = after[right]
             if far < n:
                 before[far] = left
-                if (p := piece + parts[far]) in order:  # type: ignore[operator]
-                    heapq.heappush(agenda, (order[p], left, far, p))
-            if (near := before[left]) >= 0 and (p := parts[near] + piece) in order:  # type: ignore[operator]
-                heapq.heappush(agenda, (order[p], near, left, p))
-        return self._named([p for p in parts if p is not None]), turn
-
-    def _scanned(self, parts: list[str], mask: int, skips: Skips | None, place: int) -> tuple[list[int], int]:
-        """The same for few parts: the agenda is a list with an entry for each gap, whose least is looked for; a gap that was skipped
-        comes back when a side of it merges."""
-        get, none = self.order.get, math.inf
-        agenda = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        turn = 0
-        while agenda and (least := min(agenda)) < none:
-            k = agenda.index(least)
-            turn += 1
-            if mask >> (turn - 1) & 1 if turn <= DRAWN else skips is not None and skips.later(place, turn - 1):
-                agenda[k] = none
-                continue
-            parts[k] += parts.pop(k + 1)
-            del agenda[k]
-            if k:
-                agenda[k - 1] = get(parts[k - 1] + parts[k], none)
-            if k < len(agenda):
-                agenda[k] = get(parts[k] + parts[k + 1], none)
-        return self._named(parts), turn
-
-    def _named(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in parts:
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
-            else:
-                out += [self.bytes[b] for b in p.encode()]
-        return out
+            for i, j in ((left, far), (before[left], left)):
+                if i < 0 or j >= n:
+                    continue
+                pair = parts[i], parts[j]
+                if pair not in known:
+                    (r,), (m,) = candidates(np.array([pair[0]]), np.array([pair[1]]))
+                    known[pair] = r, m
+                r, m = known[pair]
+                if r >= 0:
+                    heapq.heappush(agenda, (r, i, j, *pair, m))
+        sym[:] = parts
+
+    def encode_many(self, texts: list[str], dropout: float = 0.0, seed: int = 0) -> list[np.ndarray]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        skips = [Skips(t, dropout, seed) for t in texts]
+        limit = skips[0].limit if skips else 0
+        given = [" " + t if t else "" for t in texts]
+        ends = np.cumsum([len(t) for t in given], dtype=np.int64)
+        chars = np.frombuffer("".join(given).encode("utf-32-le"), "<u4").astype(np.int32)
+        if not chars.size:
+            return [np.zeros(0, "<u4") for _ in texts]
+        # Chunks, as CHUNK has them.
+        alone, space = (chars == ord("\n")) | (chars == ord(SPACE)), chars == ord(" ")
+        opens = alone | space
+        opens[1:] &= ~(space[1:] & space[:-1])
+        opens[1:] |= alone[:-1]
+        begun = ends[:-1][ends[:-1] < chars.size]
+        opens[0] = opens[begun] = True
+        first = np.flatnonzero(opens)
+        length = np.diff(first, append=chars.size)
+        owner = np.searchsorted(ends, first, side="right")
+        place = (np.arange(first.size) - np.searchsorted(first, ends - [len(t) for t in given])[owner]).astype(U)
+        key = np.array([s.key for s in skips], U)[owner]
+        sym = self.symbol_of[chars]
+        sym[chars == ord(SPACE)] = self.other
+        at_once = length <= SCANNED
+        low = 1
+        for width in WIDTHS:
+            some = np.flatnonzero(at_once & (length > low) & (length <= width))
+            for part in (some[k : k + ROWS] for k in range(0, some.size, ROWS)):
+                where = first[part] + np.arange(width)[:, None]
+                there = np.arange(width)[:, None] < length[part]
+                held = np.full((width + 1, part.size), self.other, np.int32)
+                held[:-1][there] = sym[where[there]]
+                self._merge(held, place[part], key[part], limit)
+                sym[where[there]] = held[:-1][there]
+            low = width
+        for k in np.flatnonzero(~at_once & (length > 1)).tolist():
+            self._heaped(sym[first[k] : first[k] + length[k]], skips[owner[k]].drawn(int(place[k])))
+        # Symbols to ids; characters that are no pieces to the ids of their bytes.
+        left = np.flatnonzero(sym >= 0)
+        ids = self.id_of[sym[left]]
+        named = ids >= 0
+        code = chars[left]
+        size = np.where(named, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        stop = np.cumsum(size)
+        out = np.zeros(stop[-1], "<u4")
+        out[(stop - size)[named]] = ids[named]
+        code, size, begin = code[~named], size[~named], (stop - size)[~named]
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
+        for k in range(4):
+            more = k < size
+            shifted = code[more] >> 6 * (size[more] - 1 - k)
+            out[begin[more] + k] = self.byte_ids[shifted | lead[size[more]] if k == 0 else shifted & 0x3F | 0x80]
+        return np.split(out, np.append(0, stop)[np.searchsorted(left, ends[:-1])])
 
     def encode(self, text: str, dropout: float = 0.0, seed: int = 0) -> list[int]:
-        if not text:
-            return []
-        chunks, skips = CHUNK.findall(" " + text), Skips(text, dropout, seed)
-        return [i for k, (c, m) in enumerate(zip(chunks, skips.masks(len(chunks)), strict=True)) for i in self.segment(c, m, skips, k)[0]]
+        return self.encode_many([text], dropout, seed)[0].tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return self.decoded(ids).decode("utf-8", "replace")
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "replace")
+    def decoded(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))[1:]
 
 
 _models: dict[str, PieceModel] = {}
-#: The segmentations met so far, by the chunk and a character that stands for the decisions that came up (a one above them tells how
-#: many); and of each chunk, how many these can be. Plain strings and bytes, so that Python's collector has nothing to walk through.
-_known: dict[str, bytes] = {}
-_turns: dict[str, bytes] = {}
-_of = ""
 
 
 def _model(path: str) -> PieceModel:
@@ -155,41 +271,18 @@ def _model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode_cached(model: PieceModel, path: str, text: str, dropout: float, seed: int) -> bytes:
-    """encode() as little-endian 32-bit ids.
-
-    A segmentation hangs on the chunk and the decisions that came up alone, so it is remembered under these (a one above them tells
-    how many they are); the decisions are drawn anew for every place of every text.
-    """
-    global _of
-    if not text:
-        return b""
-    if _of != path:
-        _known.clear()
-        _turns.clear()
-        _of = path
-    chunks, skips, out = CHUNK.findall(" " + text), Skips(text, dropout, seed), []
-    for place, (c, mask) in enumerate(zip(chunks, skips.masks(len(chunks)), strict=True)):
-        # No run of decisions is the start of another, so at most one length fits.
-        for turns in _turns.get(c, b""):
-            top = 1 << turns
-            ids = _known.get(c + chr(mask & (top - 1) | top))
-            if ids is not None:
-                out.append(ids)
-                break
-        else:
-            found, turns = model.segment(c, mask, skips, place)
-            ids = array("I", found).tobytes()
-            out.append(ids)
-            if turns <= DRAWN and len(c) <= LONGEST:
-                if len(_known) > REMEMBERED:
-                    _known.clear()
-                    _turns.clear()
-                top, lengths = 1 << turns, _turns.get(c, b"")
-                if turns not in lengths:
-                    _turns[c] = lengths + bytes([turns])
-                _known[c + chr(mask & (top - 1) | top)] = ids
-    return b"".join(out)
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """texts in runs of about TOGETHER characters; a longer text stands alone."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        if group and size + len(t) > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
 
 ENCODED = "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, decoded_sha256 string, lossless boolean"
@@ -207,17 +300,15 @@ def encode_documents(docs: DataFrame, model_path: str, dropout: float = 0.1, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = shipped(model_path)
         model = _model(path)
-        table = model.raw.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 cols: list[list] = [[], [], [], [], [], []]
-                for text in some.column("text").to_pylist():
-                    raw = (text or "").encode()
-                    ids = array("I", encode_cached(model, path, text or "", dropout, seed))
-                    back = b"".join(map(table, ids))[1:]
-                    for c, x in zip(cols, (len(ids), zlib.crc32(ids.tobytes()), len(back), hashlib.sha256(back).hexdigest(), back == raw, list(ids) if keep_ids else None), strict=True):
-                        c.append(x)
+                for group in _groups([t or "" for t in some.column("text").to_pylist()]):
+                    for text, ids in zip(group, model.encode_many(group, dropout, seed), strict=True):
+                        raw, back = text.encode(), model.decoded(ids.tolist())
+                        for c, x in zip(cols, (ids.size, zlib.crc32(ids.tobytes()), len(back), hashlib.sha256(back).hexdigest(), back == raw, ids.tolist() if keep_ids else None), strict=True):
+                            c.append(x)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 names = ["doc_id", "n_ids", "ids_crc32", "decoded_bytes", "decoded_sha256", "lossless", "ids"]
                 n = 6 if keep_ids else 5
