@@ -6,6 +6,8 @@ buckets as suffixes, so they are induced suffix by suffix. Both take time in pro
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -81,6 +83,10 @@ class _Buckets:
         return sa
 
 
+def _plain(x: np.ndarray) -> array:
+    return array("i", x.astype(np.int32).tobytes())
+
+
 class _Singly:
     """As _Buckets, suffix by suffix."""
 
@@ -100,22 +106,22 @@ class _Singly:
         c = c[order]
         counts = np.bincount(c, minlength=len(self.ends))
         sa[(self.ends - counts)[c] + np.arange(len(c)) - (np.cumsum(counts) - counts)[c]] = lms[order]
-        out = sa.tolist()
-        before, at = self.larger.tolist(), self.starts.tolist()
+        # Arrays of plain numbers take a sixth of a list's memory, and Python reads them as they stand.
+        out, before, at = _plain(sa), _plain(self.larger), _plain(self.starts)
         for p in out:  # grows as it is read
             x = before[p]
             if x >= 0:
                 k = at[x]
                 out[k] = p - 1
                 at[x] = k + 1
-        before, at = self.less.tolist(), self.ends.tolist()
+        before, at = _plain(self.less), _plain(self.ends)
         for p in reversed(out):
             x = before[p]
             if x >= 0:
                 k = at[x] - 1
                 out[k] = p - 1
                 at[x] = k
-        return np.array(out, np.int32)
+        return np.frombuffer(out, np.int32)
 
 
 def suffix_array(t: np.ndarray, k: int, top: bool = True) -> np.ndarray:
