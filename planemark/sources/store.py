@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The folder of one machine's session that names none, made when first needed.
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Unset, it is a new folder of this machine's, if driver and executors are one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="planemark-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df from a table in the shared folder, so that rounds do not repeat earlier ones."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    folder = folder or "/tmp/checkpoints/planemark"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() gave and that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if t is not None and path:
+            context = t.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
