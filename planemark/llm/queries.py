@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import lines, media, ngram_join, packing, pieces, quality_classifier, quality_rules, substrings, suffixes, url_filters
+from . import fill_in, lines, media, mixing, ngram_join, packing, pieces, quality_classifier, quality_rules, substrings, suffixes, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_fill_in_middle": fill_in.op11_fill_in_middle,
+    "op12_mixing": mixing.op12_mixing,
 }
 
 SQL = {
@@ -21,4 +23,6 @@ SQL = {
     "op4_ngram_jaccard_join": ngram_join.OP4_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
+    "op11_fill_in_middle": fill_in.OP11_SQL,
+    "op12_mixing": mixing.OP12_SQL,
 }
