@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fill_in, lines, media, mixing, ngram_join, packing, pieces, quality_classifier, quality_rules, substrings, suffixes, url_filters
+from . import fill_in, lines, media, mixing, ngram_join, packing, pieces, quality_classifier, quality_rules, spelling, substrings, suffixes, url_filters
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_fill_in_middle": fill_in.op11_fill_in_middle,
     "op12_mixing": mixing.op12_mixing,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 SQL = {
