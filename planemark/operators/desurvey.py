@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..sources.store import written
+from .ordering import numbered
 
 
 def stations(collars: DataFrame, surveys: DataFrame) -> DataFrame:
@@ -87,15 +88,8 @@ def desurveyed(samples: DataFrame, collars: DataFrame, surveys: DataFrame) -> tu
 
 
 def with_src_index(df: DataFrame) -> DataFrame:
-    """df with src_index; made from hole and depths by range partitions, so that no task orders all rows."""
-    if "src_index" in df.columns:
-        return df
-    per_hole = df.groupBy("HoleID").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("HoleID").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One small row a hole meets in the global window.
-    starts = per_hole.select("HoleID", before.alias("_before"))
-    k = F.row_number().over(Window.partitionBy("HoleID").orderBy("From_m", "To_m"))
-    return df.withColumn("_k", k).join(starts, "HoleID").withColumn("src_index", F.col("_before") + F.col("_k") - 1).drop("_k", "_before")
+    """df with src_index, from 0 in the order of hole and depths; no task orders all rows or holes."""
+    return df if "src_index" in df.columns else numbered(df, ["HoleID", "From_m", "To_m"], "src_index")
 
 
 def hole_traces(points: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matrices import SIX
 from ..sources.store import written
+from .ordering import quantiles_of
 
 FLOOR = 1e-6
 
@@ -25,30 +26,78 @@ def nodes(active: DataFrame) -> DataFrame:
     ).where("hole IS NOT NULL")
 
 
-def near(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+#: Points of one cell that meet others in one task, and points around it that meet them there. Cells with more are cut into blocks.
+DENSE, AROUND = 4096, 1 << 17
+#: Up to so many dense cells, some 50 bytes each, are broadcast; more meet the points in a shuffle.
+BROADCAST_CELLS = 200_000
+CELL = ("_cx", "_cy", "_cz")
+_STEPS = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+
+
+def _cells(df: DataFrame, place: tuple[str, str, str], radius: float) -> DataFrame:
+    # A little wider than the radius, so that rounding never puts a pair two cells apart.
+    return df.withColumns({c: F.floor(F.col(p) / (radius * (1 + 1e-9))).cast("long") for c, p in zip(CELL, place, strict=True)})
+
+
+def _around(cells: DataFrame, steps: list[tuple[int, int, int]], own: str = "_own") -> DataFrame:
+    """Each row once for every step from its cell; `own` marks the one that stays."""
+    given = [c for c in cells.columns if c not in CELL]
+    to = F.array(*(F.struct(*((F.col(c) + d).alias(c) for c, d in zip(CELL, step, strict=True)), F.lit(step == (0, 0, 0)).alias(own)) for step in steps))
+    return cells.select(*given, F.inline(to))
+
+
+def _blocks(left: DataFrame, right: DataFrame, steps: list[tuple[int, int, int]], dense: int, around: int) -> DataFrame | None:
+    """(cell, _ka, _kb): into how many blocks the points of a cell, and those that come to it, are cut; cells that are cut alone. None if
+    there are none."""
+    here = left.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_a"))
+    come = _around(right.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_b")), steps).groupBy(*CELL).agg(F.sum("_b").alias("_b"))
+    cut = here.join(come, list(CELL)).where((F.col("_a") > dense) | (F.col("_b") > around))
+    table = written(cut.select(*CELL, F.ceil(F.col("_a") / dense).cast("int").alias("_ka"), F.ceil(F.col("_b") / around).cast("int").alias("_kb")), "dense-cells")
+    n = table.count()
+    return None if n == 0 else F.broadcast(table) if n <= BROADCAST_CELLS else table
+
+
+def _in_blocks(df: DataFrame, cut: DataFrame, mine: str, theirs: str, block: str, other: str) -> DataFrame:
+    """Rows with their own block in a cut cell, once for each block of the other side."""
+    df = df.join(cut, list(CELL), "left")
+    spread = F.pmod(F.xxhash64(*(c for c in df.columns if c not in (*CELL, "_ka", "_kb"))), F.coalesce(F.col(mine), F.lit(1))).cast("int")
+    return df.withColumn(block, spread).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(theirs), F.lit(1)) - 1))).drop("_ka", "_kb")
+
+
+def near(a: DataFrame, b: DataFrame, radius: float, same: bool = False, dense: int | None = None, around: int | None = None) -> DataFrame:
     """All columns of a (x, y, z, ..) and b (xj, yj, zj, ..) for pairs at most radius apart, with dx, dy, dz (b - a) and d2.
 
-    Space is cut into cubes with sides of the radius; b goes to the 27 cubes around its own, a to its own, and cubes are the key.
+    Space is cut into cubes with sides of the radius; b goes to the 27 cubes around its own, a to its own, and cubes are the key. With
+    `same`, a and b are the same points, numbered i and j: b goes to its own and 13 other cubes and each pair comes once, as i < j or in
+    some other order. A cube with more than `dense` points of a, or to which more than `around` come, is cut into blocks that meet one
+    another in tasks of their own.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    left = a.select("*", cell("x").alias("_cx"), cell("y").alias("_cy"), cell("z").alias("_cz"))
-    right = b.select("*", cell("xj").alias("_jx"), cell("yj").alias("_jy"), cell("zj").alias("_jz"))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for c in "xyz":
-        right = right.withColumn(f"_o{c}", F.explode(step))
-    right = right.select("*", *((F.col(f"_j{c}") + F.col(f"_o{c}")).alias(f"_c{c}") for c in "xyz")).drop(*(f"_{k}{c}" for k in "jo" for c in "xyz"))
-    both = left.join(right, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
-    both = both.withColumns({f"d{c}": F.col(f"{c}j") - F.col(c) for c in "xyz"})
+    steps = [s for s in _STEPS if s >= (0, 0, 0)] if same else _STEPS
+    left, right = _cells(a, ("x", "y", "z"), radius), _cells(b, ("xj", "yj", "zj"), radius)
+    cut = _blocks(left, right, steps, dense or DENSE, around or AROUND)
+    right, keys = _around(right, steps), list(CELL)
+    if cut is not None:
+        left, right = _in_blocks(left, cut, "_ka", "_kb", "_block_a", "_block_b"), _in_blocks(right, cut, "_kb", "_ka", "_block_b", "_block_a")
+        keys += ["_block_a", "_block_b"]
+    both = right.join(left, keys)
+    if same:
+        both = both.where("NOT _own OR i < j")
+    both = both.drop(*keys, "_own").withColumns({f"d{c}": F.col(f"{c}j") - F.col(c) for c in "xyz"})
     return both.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("d2") <= radius * radius)
 
 
 def edges(n: DataFrame, radius: float, exclude_same_hole: bool = True) -> DataFrame:
-    """Directed pairs (i, hole, s, j, holej, sj, lenj, dx, dy, dz, d2) of different places, as a rule of different holes."""
+    """Directed pairs (i, hole, s, j, holej, sj, lenj, dx, dy, dz, d2) of different places, as a rule of different holes. Each pair is found
+    once and mirrored."""
     other = n.select(*(F.col(c).alias(f"{c}j") for c in ("hole", "x", "y", "z", "s", "len")), F.col("i").alias("j"))
-    pairs = near(n, other, radius).where("i <> j AND d2 > 0")
+    pairs = near(n, other, radius, same=True).where("i <> j AND d2 > 0")
     if exclude_same_hole:
         pairs = pairs.where("hole <> holej")
-    return pairs.select("i", "hole", "s", "j", "holej", "sj", "lenj", "dx", "dy", "dz", "d2")
+    out = ("i", "hole", "s", "j", "holej", "sj", "lenj", "dx", "dy", "dz", "d2")
+    turned = {"i": "j", "hole": "holej", "s": "sj", "j": "i", "holej": "hole", "sj": "s", "lenj": "len"}
+    there = F.struct(*(F.col(c).alias(c) for c in out))
+    back = F.struct(*((-F.col(c) if c in ("dx", "dy", "dz") else F.col(turned.get(c, c))).alias(c) for c in out))
+    return pairs.select(F.inline(F.array(there, back)))
 
 
 def least_score(n: DataFrame) -> float:
@@ -110,12 +159,12 @@ def moments(n: DataFrame, cfg: dict[str, Any], graded: bool = True, lsq: bool =
 
 
 def gate_diagnosis(n: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """One row: how many samples fail which gate, and medians of what they have."""
+    """One row: how many samples fail which gate, and what they have: medians, the tenth, the most."""
     e = edges(n, cfg["radius_m"], cfg["exclude_same_hole_neighbors"]).groupBy("i", "holej").agg(F.count(F.lit(1)).alias("k"))
     counts = e.groupBy("i").agg(F.sum("k").alias("local_n"), F.count(F.lit(1)).alias("local_holes"))
-    all_ = n.select("i").join(counts, "i", "left").fillna(0)
+    all_ = written(n.select("i").join(counts, "i", "left").fillna(0), "counts")
     fails = lambda c, least: F.coalesce(F.sum(F.when(F.col(c) < least, 1).otherwise(0)), F.lit(0)).alias(f"failed_{c}")
-    return all_.agg(
-        F.count(F.lit(1)).alias("n_active"), F.median("local_n").alias("median_local_n"), F.max("local_n").alias("max_local_n"),
-        fails("local_n", cfg["min_neighbors"]), F.median("local_holes").alias("median_local_holes"), fails("local_holes", cfg["min_holes"]),
-    )
+    sums = all_.agg(F.count(F.lit(1)).alias("n_active"), F.max("local_n").alias("max_local_n"), fails("local_n", cfg["min_neighbors"]), fails("local_holes", cfg["min_holes"]))
+    middle = quantiles_of(all_, {"median_local_n": ("local_n", 0.5), "p10_local_n": ("local_n", 0.1), "median_local_holes": ("local_holes", 0.5)})
+    # Two tables of one row.
+    return sums.join(F.broadcast(middle)).select("n_active", "median_local_n", "p10_local_n", "max_local_n", "failed_local_n", "median_local_holes", "failed_local_holes")

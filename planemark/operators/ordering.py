@@ -60,7 +60,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], within: Seque
     keys = [f"_key_{i}" for i in range(len(within))]
     v = F.col(value).cast("double")
     rows = df.select(*(F.col(w).alias(k) for w, k in zip(within, keys, strict=True)), F.when(~F.isnan(v), v).alias("_v"))
-    counted = in_ranges(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).where("_v IS NOT NULL"), [*keys, "_v"])
+    every = in_ranges(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), [*keys, "_v"])
+    counted = every.where("_v IS NOT NULL")
     sizes = counted.groupBy(*keys, RANGE).agg(F.sum("_n").alias("_size"))
     of_key = Window.partitionBy(*keys)
     sizes = sizes.select(*keys, RANGE, "_size", F.coalesce(F.sum("_size").over(of_key.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_size").over(of_key).alias("_all"))
@@ -84,7 +85,7 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], within: Seque
     found = found.select(*keys, *((F.col(f"_lo_{k}") + (at[k] - F.floor(at[k])) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k in shares))
     if not keys:
         return found
-    groups = rows.select(*keys).distinct().select(*(F.col(k).alias(f"{k}_") for k in keys))
+    groups = every.select(*keys).distinct().select(*(F.col(k).alias(f"{k}_") for k in keys))
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))

@@ -6,26 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import name, number
+from .ordering import numbered, running
 
 
-def percentile_rank(df: DataFrame, column: str, out: str, bins: int = 64) -> DataFrame:
+def percentile_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the average rank of `column` over the number of rows that have a value, ties alike.
 
-    Only distinct values are ordered, in bins that are ranges of values, so that no single task sorts them all; of the bins only
-    the counts meet in one place.
+    Only distinct values are ordered, in ranges of values, as many as there are shuffle partitions; of the ranges only the counts meet
+    in one place.
     """
     counts = df.where(name(column).isNotNull()).groupBy(name(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = sorted(set(counts.approxQuantile("_v", [k / bins for k in range(1, bins)], 0.25 / bins)))
-    spread = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda x: x <= F.col("_v")))
-    binned = counts.withColumn("_bin", spread)
-    sums = binned.groupBy("_bin").agg(F.sum("_n").alias("_s"))
-    below = F.coalesce(F.sum("_s").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_s").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    offsets = sums.select("_bin", below.alias("_below"), total.alias("_total"))
-    upto = F.sum("_n").over(Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # At most `bins` rows.
-    ranks = binned.withColumn("_upto", upto).join(F.broadcast(offsets), "_bin")
-    ranks = ranks.select("_v", ((F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_total")).alias(out))
+    ranked = running(counts, ["_v"], {"_upto": "_n"})
+    total = ranked.agg(F.max("_upto")).first()[0] or 1
+    ranks = ranked.select("_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) / total).alias(out))
     return df.join(ranks, name(column) == F.col("_v"), "left").drop("_v")
 
 
@@ -68,4 +61,4 @@ def active_curve(df: DataFrame) -> DataFrame:
 def hole_codes(df: DataFrame) -> DataFrame:
     """(HoleID, hole_code): holes numbered from 0 by their first src_index."""
     firsts = df.groupBy("HoleID").agg(F.min("src_index").alias("first"))
-    return firsts.select("HoleID", (F.row_number().over(Window.orderBy("first", "HoleID")) - 1).cast("long").alias("hole_code"))
+    return numbered(firsts, ["first", "HoleID"], "hole_code").select("HoleID", "hole_code")

@@ -200,7 +200,7 @@ FROM points p JOIN collars c ON c.HoleID = p.HoleID JOIN path f ON f.HoleID = p.
         "edge_weights_raw": _weight_sums(_weights(decluster=False)),
         "edge_weights_ungraded": _weight_sums(UNGRADED),
         "neighbor_counts": f"WITH {_edges()} SELECT i, {COUNTS} FROM e GROUP BY i",
-        "gate_diagnosis": f"WITH {_edges()}, k AS (SELECT n.i, count(e.j) AS c, count(DISTINCT e.holej) AS h FROM n LEFT JOIN e ON n.i = e.i GROUP BY n.i) SELECT count(*) AS n_active, median(c)::DOUBLE AS median_local_n, max(c)::BIGINT AS max_local_n, count(*) FILTER (WHERE c < 300) AS failed_local_n, median(h)::DOUBLE AS median_local_holes, count(*) FILTER (WHERE h < 3) AS failed_local_holes FROM k",
+        "gate_diagnosis": f"WITH {_edges()}, k AS (SELECT n.i, count(e.j) AS c, count(DISTINCT e.holej) AS h FROM n LEFT JOIN e ON n.i = e.i GROUP BY n.i) SELECT count(*) AS n_active, median(c)::DOUBLE AS median_local_n, quantile_cont(c::DOUBLE, 0.1) AS p10_local_n, max(c)::BIGINT AS max_local_n, count(*) FILTER (WHERE c < 300) AS failed_local_n, median(h)::DOUBLE AS median_local_holes, count(*) FILTER (WHERE h < 3) AS failed_local_holes FROM k",
         "shape_pca_tensor": f"WITH {_weights()} SELECT i, local_n, local_holes, {six} FROM {GATED} AS g",
         "shape_pca_field": f"""WITH {_weights()}, {SHAPE} SELECT i AS src_index, 'shape_pca' AS estimator, {', '.join(_r(f'tl{k}', 3, f'eig{k}') for k in (1, 2, 3))}, {_r('(tl2 - tl3) / tl1', 6, 'planarity')}, {_r('(tl1 - tl2) / tl1', 6, 'linearity')},
 {', '.join(_r(e, 4, k) for k, e in (('line_trend_deg', v.trend(V1)), ('line_plunge_deg', v.plunge(V1)), ('pole_trend_deg', v.trend(V3)), ('pole_plunge_deg', v.plunge(V3)), ('plane_strike_deg', strike), ('plane_dip_deg', dip)))}, local_n, local_holes FROM shape""",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import quantiles
 from .columns import find, mapping, renamed
 
 #: Texts that stand for a missing value.
@@ -106,10 +107,9 @@ def preview(spark: SparkSession, source: str | DataFrame, table: str, cfg: dict[
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """n, n_null, min, median, max and mean of each of a few columns; one row a column."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), number(name(c)).alias("v")) for c in columns))).alias("x")).select("x.*")
-    return long.groupBy("column").agg(
-        F.count("v").alias("n"), (F.count(F.lit(1)) - F.count("v")).alias("n_null"), F.min("v").alias("min"),
-        F.median("v").alias("median"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-    )
+    sums = long.groupBy("column").agg(F.count("v").alias("n"), (F.count(F.lit(1)) - F.count("v")).alias("n_null"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    medians = quantiles(long, "v", {"median": 0.5}, ["column"])
+    return sums.join(medians, "column").select("column", "n", "n_null", "min", "median", "max", "mean")
 
 
 def extent(df: DataFrame) -> DataFrame:
