@@ -19,6 +19,8 @@ SURVEYS = f"""SELECT concat('H', user_id) AS HoleID, d AS Depth_m, -60e0 + 0.05e
   (CASE WHEN sgn > 0 THEN 90e0 ELSE 270e0 END) + 0.08e0 * d + user_id % 5 AS Azimuth
   FROM (SELECT DISTINCT user_id, sgn FROM ({_NUMBERED}) AS numbered) AS holes
   CROSS JOIN (SELECT 0e0 AS d UNION ALL SELECT 30e0 UNION ALL SELECT 60e0 UNION ALL SELECT 90e0) AS depths WHERE d > 0 OR user_id % 7 <> 0"""
+#: A plane at every sample that estimates are held against: it turns from section to section.
+TRUTH = f"""SELECT src_index, 0.2e0 * cos(0.1e0 * (Northing - 10000e0) / 60e0) AS true_pole_x, 0.6e0 AS true_pole_y, 0.1e0 + 0.05e0 * sin((Easting - 10000e0) / 100e0) AS true_pole_z FROM ({POINTS}) AS points"""
 #: As text, with marks for missing values, broken intervals and a flag of low recovery; headers as exports have them.
 RAW = f"""SELECT src_index, HoleID AS BHID, CAST(From_m AS VARCHAR(40)) AS "From", CASE WHEN src_index % 31 = 0 THEN CAST(From_m AS VARCHAR(40)) ELSE CAST(To_m AS VARCHAR(40)) END AS "To",
   CASE WHEN src_index % 17 = 0 THEN '-' WHEN src_index % 23 = 0 THEN '<0.01' ELSE CAST(assay AS VARCHAR(40)) END AS assay, CAST(Easting AS VARCHAR(40)) AS X,
@@ -38,6 +40,10 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, RAW)
 
 
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, TRUTH)
+
+
 def collars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, COLLARS)
 

@@ -159,6 +159,44 @@ angles AS (SELECT a.method, k.code, k.boundary, b.n_holes, {v.angle(("a.px", "a.
 compared AS (SELECT method, code, boundary, n_holes, count(*) AS n_nodes, median(g) AS median_err_deg, quantile_cont(g, 0.25) AS p25_err_deg FROM angles GROUP BY ALL HAVING count(*) >= 20)"""
 
 
+def _method_summary() -> str:
+    """The fields as in _comparison; each statistic by method."""
+    w = _weights()
+    ungraded = UNGRADED[len(_edges()) :].replace("\nw AS", "\nwu AS")
+    wu = _covariance(table="wu")
+    shape_u = f"shape_u AS (SELECT * FROM {_eigen(f'(SELECT * FROM {wu} AS c WHERE local_n >= 10 AND local_holes >= 3)')} AS f)"
+    norms = lambda t: f"greatest(0, least(1, (tl2 - tl3) / tl1)) AS plane, greatest(0, least(1, (tl1 - tl2) / tl1)) AS line FROM {t}"
+    every = f"""every AS (SELECT 'shape_pca' AS method, i, {', '.join(f'{e} AS p{c}' for c, e in zip('xyz', V3, strict=True))}, {norms('shape')}
+  UNION ALL SELECT 'lsq_gradient', i, {', '.join(_UNIT_G)}, planarity, 0e0 FROM lsq
+  UNION ALL SELECT 'drill_pattern', i, {', '.join(V3)}, {norms('shape_u')})"""
+    dealt = f"""dealt AS (SELECT a.method, a.i, {', '.join(f'b.p{c}' for c in 'xyz')} FROM (SELECT method, i, row_number() OVER (PARTITION BY method ORDER BY md5(i::VARCHAR), i) AS k FROM every) a
+  JOIN (SELECT method, px, py, pz, row_number() OVER (PARTITION BY method ORDER BY md5('0/' || i), i) AS k FROM every) b USING (method, k))"""
+    agreed = lambda t: f"(SELECT method, median(m) AS deg FROM (SELECT a.method, e.i, median({_ANGLE}) AS m FROM e JOIN {t} a ON e.i = a.i JOIN {t} b ON e.j = b.i AND a.method = b.method GROUP BY a.method, e.i) AS q GROUP BY method)"
+    tensor = lambda t: f"(SELECT method, count(*) AS n, {', '.join(f'avg(p{k[0]} * p{k[1]}) AS t{k}' for k in SIX)} FROM {t} GROUP BY method)"
+    woodcock = lambda t: f"(SELECT method, {S1} AS S1, {S2} AS S2, {S3} AS S3 FROM {in_sql(tensor(t), eigenvalue_steps('t'))} AS q)"
+    half = "ascii(md5('0/' || holej)) % 2"
+
+    def halves(table: str, name: str) -> str:
+        t = _covariance(f"i, {half}", table).replace(f"SELECT i, {half},", f"SELECT i, {half} AS half,")
+        return f"{name} AS (SELECT i, half, v3x AS px, v3y AS py, v3z AS pz FROM {_eigen(f'(SELECT * FROM {t} AS c WHERE local_n >= 5 AND local_holes >= 1)')} AS f)"
+
+    lsq = _lsq().replace("lsq AS (", "half_l AS (").replace("SELECT i, count(*)", f"SELECT i, {half} AS half, count(*)").replace("FROM w GROUP BY i)", f"FROM w GROUP BY i, {half})").replace("local_n >= 10 AND local_holes >= 3", "local_n >= 5 AND local_holes >= 1")
+    stable = "UNION ALL ".join(f"SELECT '{m}' AS method, {_ANGLE} AS deg FROM {t} a JOIN {t} b ON a.i = b.i AND a.half = 0 AND b.half = 1 " for m, t in (("shape_pca", "half_g"), ("lsq_gradient", "half_p"), ("drill_pattern", "half_u")))
+    return f"""WITH {w}{ungraded}, {SHAPE}, {_lsq()}, {shape_u}, {every}, {dealt}, {halves('w', 'half_g')}, {halves('wu', 'half_u')}, {lsq},
+half_p AS (SELECT i, half, {', '.join(f'{e} AS p{c}' for c, e in zip('xyz', _UNIT_G, strict=True))} FROM half_l), stable AS ({stable}),
+truth AS ({fx.TRUTH}), cuts AS (SELECT method, quantile_cont(plane, 0.75) AS cut FROM every GROUP BY method),
+sure AS (SELECT every.* FROM every JOIN cuts USING (method) WHERE plane >= cut),
+base AS (SELECT method, count(*) AS n_valid, median(plane) AS planarity_norm_med, median(line) AS linearity_norm_med FROM every GROUP BY method)
+SELECT method, CASE WHEN method = 'drill_pattern' THEN 'reference' ELSE 'method' END AS role, n_valid, {_r('100e0 * n_valid / (SELECT count(*) FROM active)', 6, 'pct_active')}, {_r('planarity_norm_med', 6)}, {_r('linearity_norm_med', 6)},
+{_r('wa.S1', 6, 'S1_all')}, {_r('ln(wa.S1 / wa.S3)', 5, 'C_all')}, {_r('ln(wa.S1 / wa.S2) / ln(wa.S2 / wa.S3)', 4, 'K_all')}, {_r('ws.S1', 6, 'S1_conf')}, {_r('ln(ws.S1 / ws.S3)', 5, 'C_conf')},
+{_r('vs.deg', 3, 'vs_reference_deg')}, {_r('t.deg', 3, 'true_err_deg')}, {_r('co.deg', 3, 'coherence_deg')}, {_r('nu.deg', 3, 'coherence_null_deg')}, {_r('st.deg', 3, 'stability_deg')}, n_stability
+FROM base JOIN {woodcock('every')} AS wa USING (method) JOIN {woodcock('sure')} AS ws USING (method)
+LEFT JOIN (SELECT a.method, median({_ANGLE}) AS deg FROM every a JOIN every b ON a.i = b.i AND b.method = 'drill_pattern' AND a.method <> 'drill_pattern' GROUP BY a.method) AS vs USING (method)
+LEFT JOIN (SELECT a.method, median({v.angle(("a.px", "a.py", "a.pz"), ("b.true_pole_x", "b.true_pole_y", "b.true_pole_z"))}) AS deg FROM every a JOIN truth b ON a.i = b.src_index GROUP BY a.method) AS t USING (method)
+LEFT JOIN {agreed('every')} AS co USING (method) LEFT JOIN {agreed('dealt')} AS nu USING (method)
+LEFT JOIN (SELECT method, median(deg) AS deg, count(*) AS n_stability FROM stable GROUP BY method) AS st USING (method)"""
+
+
 def sql() -> dict[str, str]:
     li = "lineitem"
     half = "CAST(substr(holej, 2) AS INT) % 2"
@@ -236,6 +274,9 @@ local_n AS LocalN, local_holes AS LocalHoles, NULL::DOUBLE AS VsReferenceDeg, 's
         "pole_density": f"""WITH {_weights()}, {SHAPE}, xy AS (SELECT {x} AS x, {y} AS y FROM shape), cells AS (SELECT (cx + 0.5) * 2 / 50e0 - 1 AS px, (cy + 0.5) * 2 / 50e0 - 1 AS py, count(*) AS n FROM (SELECT floor((x + 1) * 50 / 2) AS cx, floor((y + 1) * 50 / 2) AS cy FROM xy) AS c GROUP BY cx, cy),
 grid AS (SELECT a * 0.1e0 - 1 AS gx, b * 0.1e0 - 1 AS gy FROM generate_series(0, 20) AS s(a), generate_series(0, 20) AS t(b) WHERE (a * 0.1e0 - 1) * (a * 0.1e0 - 1) + (b * 0.1e0 - 1) * (b * 0.1e0 - 1) <= 1)
 SELECT {_r('gx', 6)}, {_r('gy', 6)}, {_r('sum(n * exp(-((gx - px) * (gx - px) + (gy - py) * (gy - py)) / (2 * 0.09e0 * 0.09e0))) / sum(n)', 6, 'density')} FROM grid, cells GROUP BY gx, gy""",
+        # Six holes, three in a half: samples of one hole lie on a line, whose planes hang on rounding.
+        "method_summary": _method_summary().replace("local_holes >= 3", "local_holes >= 6").replace("local_holes >= 1", "local_holes >= 3"),
+        "truth_error": f"WITH {_weights()}, {SHAPE}, truth AS ({fx.TRUTH}) SELECT src_index, {_r(v.angle(V3, ('true_pole_x', 'true_pole_y', 'true_pole_z')), 4, 'error_deg')} FROM shape JOIN truth ON i = src_index",
         "prospects": f"SELECT Prospect, count(*) AS n FROM ({fx.POINTS}) AS p JOIN ({fx.COLLARS}) AS c USING (HoleID) GROUP BY Prospect HAVING count(*) >= 300",
     }
     return out

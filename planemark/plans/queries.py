@@ -22,6 +22,7 @@ from ..sources import tables
 from ..sources.columns import mapping
 from ..sources.store import written
 from ..sources.synthetic import deposit, deposit_config
+from . import compare as co
 from . import fixtures as fx
 from .prepare import prepare_points, prepare_tables
 
@@ -392,9 +393,19 @@ def pole_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def method_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = _active(spark, d)
-    fields = {name: _field(a, name) for name in ("shape_pca", "lsq_gradient", "drill_pattern")}
-    return va.summary(fields, "drill_pattern", a.count())
+    """Both methods and the drill pattern, with neighbours' agreement, its null, halves and the error to known planes."""
+    cfg = fx.config(min_holes=6)
+    a = prepare_points(_points(spark, d).join(fx.truth(spark, d), "src_index"), cfg).active
+    out = co.compared(a, cfg).summary.drop("secs")
+    deg = ("vs_reference_deg", "true_err_deg", "coherence_deg", "coherence_null_deg", "stability_deg")
+    return rounded(out, pct_active=6, planarity_norm_med=6, linearity_norm_med=6, S1_all=6, C_all=5, K_all=4, S1_conf=6, C_conf=5, **dict.fromkeys(deg, 3))
+
+
+@query
+def truth_error(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample's angle to its known plane."""
+    a = prepare_points(_points(spark, d).join(fx.truth(spark, d), "src_index"), fx.config()).active
+    return rounded(va.true_error(es.orientations(a, fx.config()), a), error_deg=4)
 
 
 @query

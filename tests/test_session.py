@@ -2,8 +2,10 @@
 
 import json
 
-from planemark.plans import fixtures
+from planemark.plans import compare, fixtures
+from planemark.plans.prepare import prepare_points
 from planemark.plans.session import Session
+from planemark.sources import tables
 from planemark.streaming.ingest import append_points, point_stream
 
 
@@ -32,3 +34,12 @@ def test_stream(spark, tmp_path):
     append_points(point_stream(spark, str(tmp_path / "in"), ["BHID", "From", "To", "X", "Y", "Z", "Cu"], cfg), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.HoleID, r.mid_m, r.Cu) for r in rows] == [("a", 0.75, 0.5)]
+
+
+def test_comparison_guards(spark, sf):
+    """Too few samples, and no sample past the gates, are reasons and not empty tables."""
+    cfg = fixtures.config()
+    active = prepare_points(tables.intervals(fixtures.points(spark, sf)), cfg).active
+    assert "active samples" in compare.compared(active.limit(3), cfg).skipped
+    out = compare.compared(active, fixtures.config(min_holes=10**6))
+    assert out.summary is None and "neighbours" in out.skipped and set(out.fields) == {"shape_pca", "lsq_gradient", "drill_pattern"}
