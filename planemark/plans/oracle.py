@@ -8,6 +8,7 @@ from ..functions.matrices import SIX, eigenvalue_steps, eigenvector_steps, in_sq
 from ..sources.columns import STANDARD
 from . import fixtures as fx
 from .queries import PLANES
+from .sweep import RADII, SMOOTHINGS, needed
 
 U: v.Vec = ("ux", "uy", "uz")
 MISSING = "('-', '', 'NA', 'N/A', 'null', 'None', 'nan', 'NaN')"
@@ -197,6 +198,52 @@ LEFT JOIN {agreed('every')} AS co USING (method) LEFT JOIN {agreed('dealt')} AS
 LEFT JOIN (SELECT method, median(deg) AS deg, count(*) AS n_stability FROM stable GROUP BY method) AS st USING (method)"""
 
 
+def _sweep() -> str:
+    """Case by case, pair by pair: weights in windows, scores round by round, gradients from differences of the two samples' scores."""
+    ctes = [_edges(max(RADII)).replace("\ne AS (", "\ne AS MATERIALIZED (")]
+    cases, patterns, least = [], [], "greatest(sj - (SELECT min(s) FROM n) + 1e-6, 1e-6)"
+    for q, r in enumerate(RADII):
+        near_term = f"exp(-d2 / {2 * (0.67 * r) ** 2!r})"
+        spread = lambda w: f"{w} * max(near_term) OVER h / sum({w}) OVER h"
+        ctes.append(f"""w{q} AS MATERIALIZED (SELECT i, j, holej, ascii(md5('0/' || holej)) % 2 AS half, dx, dy, dz, d2, {spread('w0')} AS w, {spread('u0')} AS u
+  FROM (SELECT *, {near_term} AS near_term, {least} * {near_term} * greatest(lenj, 0.1) AS w0, {near_term} * greatest(lenj, 0.1) AS u0 FROM e WHERE d2 <= {r * r}) AS t WINDOW h AS (PARTITION BY i, holej))""")
+        ctes.append(f"f{q}_0_0 AS (SELECT i, s AS s_a, s AS s_0, s AS s_1 FROM n)")
+        for alpha, rounds in ((0.5, 2), (0.7, 5)):
+            for k in range(1, rounds + 1):
+                before, name = (f"f{q}_{int(10 * alpha)}_{k - 1}" if k > 1 else f"f{q}_0_0"), f"f{q}_{int(10 * alpha)}_{k}"
+                sums = ", ".join(f"sum(w.w){f} AS t{p}, sum(w.w * b.s_{p}){f} AS m{p}" for p, f in (("a", ""), ("0", " FILTER (WHERE half = 0)"), ("1", " FILTER (WHERE half = 1)")))
+                moved = ", ".join(f"CASE WHEN t{p} > 0 THEN {1 - alpha} * a.s_{p} + {alpha} * m{p} / t{p} ELSE a.s_{p} END AS s_{p}" for p in "a01")
+                ctes.append(f"{name} AS MATERIALIZED (SELECT a.i, {moved} FROM {before} a LEFT JOIN (SELECT w.i, {sums} FROM w{q} w JOIN {before} b ON w.j = b.i GROUP BY w.i) m ON a.i = m.i)")
+        for rounds, alpha in SMOOTHINGS:
+            state, smooth = f"f{q}_{int(10 * alpha)}_{rounds}", f"{rounds}x{alpha}"
+            for part, key in (("'all'", "a"), ("half::VARCHAR", None)):
+                delta = "((b.s_a - a.s_a) / sqrt(d2))" if key else "(CASE half WHEN 0 THEN b.s_0 - a.s_0 ELSE b.s_1 - a.s_1 END / sqrt(d2))"
+                sums = ", ".join(f"sum(w * d{k[0]} * d{k[1]} / d2) / sum(w) AS a{k}" for k in SIX) + ", " + ", ".join(f"sum(w * {delta} * d{c} / sqrt(d2)) / sum(w) AS rh{c}" for c in "xyz")
+                n_least, h_least = (needed(r), 6) if key else (needed(r) // 2, 3)
+                cases.append(f"SELECT {r}::DOUBLE AS radius, '{smooth}' AS smooth, {part} AS part, w.i, {sums}, sum(w * {delta} * {delta}) / sum(w) AS c FROM w{q} w JOIN {state} a ON a.i = w.i JOIN {state} b ON b.i = w.j GROUP BY w.i{'' if key else ', half'} HAVING count(*) >= {n_least} AND count(DISTINCT holej) >= {h_least}")
+        t = _covariance(table=f"(SELECT * EXCLUDE (w), u AS w FROM w{q})")
+        patterns.append(f"SELECT {r}::DOUBLE AS radius, * FROM {t} AS t WHERE local_n >= {needed(r)} AND local_holes >= 6")
+    solved = in_sql("cases", [*eigenvalue_steps("a"), *solve_steps("a", "rh", 1e-3, "g")])
+    fit = " + ".join(f"{1 if k[0] == k[1] else 2} * g{k[0]} * g{k[1]} * a{k}" for k in SIX)
+    size, rest = "sqrt(gx * gx + gy * gy + gz * gz)", PLANES_SQL.split("collars AS", 1)[1]
+    close = "(n.x - c.x) * (n.x - c.x) + (n.y - c.y) * (n.y - c.y) + (n.z - c.z) * (n.z - c.z) <= 10000"
+    ctes += [
+        "cases AS (" + "\nUNION ALL ".join(cases) + ")", "patterns AS (" + "\nUNION ALL ".join(patterns) + ")",
+        f"""field AS MATERIALIZED (SELECT radius, smooth, part, i, gx / {size} AS px, gy / {size} AS py, gz / {size} AS pz, CASE WHEN al1 > 0 THEN al3 / al1 ELSE 0 END AS cond,
+  CASE WHEN c > 0 THEN greatest(0, least(1, (2 * (gx * rhx + gy * rhy + gz * rhz) - ({fit})) / c)) ELSE 1 END AS r2 FROM {solved} AS g WHERE {size} > 0)""",
+        f"drill AS MATERIALIZED (SELECT radius, i, v3x AS px, v3y AS py, v3z AS pz FROM {_eigen('patterns')} AS f)", "whole AS (SELECT * FROM field WHERE part = 'all')", f"collars AS{rest}",
+        f"close_by AS MATERIALIZED (SELECT DISTINCT c.code, c.boundary, n.i FROM contacts c JOIN planes p ON c.code = p.code AND c.boundary = p.boundary AND p.collar_aspect >= 0.15 JOIN n ON {close})",
+        f"surfaces AS (SELECT a.radius, a.smooth, k.code, k.boundary, count(*) AS m, median({v.angle(('a.px', 'a.py', 'a.pz'), ('b.v3x', 'b.v3y', 'b.v3z'))}) AS deg FROM close_by k JOIN whole a ON a.i = k.i JOIN planes b ON b.code = k.code AND b.boundary = k.boundary GROUP BY ALL HAVING count(*) >= 20)",
+    ]
+    least = "CASE radius " + " ".join(f"WHEN {r} THEN {needed(r)}" for r in RADII) + " END::BIGINT"
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT radius, {least} AS min_n, smooth, n_valid, {_r('contact_err', 3)}, {_r('stability', 3)}, {_r('vs_reference', 3)}, {_r('r2_med', 3)}, {_r('cond_med', 3)}
+FROM (SELECT radius, smooth, count(*) AS n_valid, median(r2) AS r2_med, median(cond) AS cond_med FROM whole GROUP BY ALL) AS base
+JOIN (SELECT a.radius, a.smooth, median({_ANGLE}) AS vs_reference FROM whole a JOIN drill b ON a.i = b.i AND a.radius = b.radius GROUP BY ALL HAVING count(*) >= 300) AS vs USING (radius, smooth)
+JOIN (SELECT radius, smooth, sum(m * deg) / sum(m) AS contact_err FROM surfaces GROUP BY ALL) AS errors USING (radius, smooth)
+LEFT JOIN (SELECT a.radius, a.smooth, median({_ANGLE}) AS stability FROM field a JOIN field b ON a.i = b.i AND a.radius = b.radius AND a.smooth = b.smooth AND a.part = '0' AND b.part = '1' GROUP BY ALL) AS stable USING (radius, smooth)"""
+
+
 def sql() -> dict[str, str]:
     li = "lineitem"
     half = "CAST(substr(holej, 2) AS INT) % 2"
@@ -276,6 +323,7 @@ grid AS (SELECT a * 0.1e0 - 1 AS gx, b * 0.1e0 - 1 AS gy FROM generate_series(0,
 SELECT {_r('gx', 6)}, {_r('gy', 6)}, {_r('sum(n * exp(-((gx - px) * (gx - px) + (gy - py) * (gy - py)) / (2 * 0.09e0 * 0.09e0))) / sum(n)', 6, 'density')} FROM grid, cells GROUP BY gx, gy""",
         # Six holes, three in a half: samples of one hole lie on a line, whose planes hang on rounding.
         "method_summary": _method_summary().replace("local_holes >= 3", "local_holes >= 6").replace("local_holes >= 1", "local_holes >= 3"),
+        "parameter_sweep": _sweep(),
         "truth_error": f"WITH {_weights()}, {SHAPE}, truth AS ({fx.TRUTH}) SELECT src_index, {_r(v.angle(V3, ('true_pole_x', 'true_pole_y', 'true_pole_z')), 4, 'error_deg')} FROM shape JOIN truth ON i = src_index",
         "prospects": f"SELECT Prospect, count(*) AS n FROM ({fx.POINTS}) AS p JOIN ({fx.COLLARS}) AS c USING (HoleID) GROUP BY Prospect HAVING count(*) >= 300",
     }

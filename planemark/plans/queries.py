@@ -24,6 +24,7 @@ from ..sources.store import written
 from ..sources.synthetic import deposit, deposit_config
 from . import compare as co
 from . import fixtures as fx
+from . import sweep as sw
 from .prepare import prepare_points, prepare_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,19 +437,7 @@ def synthetic_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """For some radii and smoothings, the gradient field's numbers and its angle to the drill pattern."""
-    a = _active(spark, d)
-    n, rows = nb.nodes(a), None
-    for radius in (60.0, 120.0):
-        cfg = fx.config(radius_m=radius, distance_sigma_m=0.67 * radius, min_neighbors=max(5, int(10 * (radius / 120) ** 2)))
-        ref = written(es.orientations(a, cfg, "drill_pattern"), "field")
-        pairs = nb.edge_weights(n, cfg).select("i", "j", "w")
-        for rounds, alpha in ((0, 0.0), (1, 0.5)):
-            smooth = sm.smooth_scores(n, pairs, rounds, alpha).select(F.col("i").alias("src_index"), F.col("s").alias("min_score"))
-            f = es.orientations(written(a.drop("min_score").join(smooth, "src_index"), "smoothed"), cfg, "lsq_gradient")
-            row = f.join(va.versus(f, ref), "src_index", "left").agg(
-                F.lit(radius).alias("radius"), F.lit(f"{rounds}x{alpha}").alias("smooth"), F.count(F.lit(1)).alias("n_valid"),
-                F.median("vs_reference_deg").alias("vs_reference"), F.median("gradient_r2").alias("r2_med"), F.median("sampling_conditioning").alias("cond_med"),
-            )
-            rows = row if rows is None else rows.unionByName(row)
-    return rows  # type: ignore[return-value]
+    """Four radii and five smoothings of the gradient, judged by contacts, halves and the drill pattern."""
+    c = _contacts(spark, d)
+    out = sw.sweep(_active(spark, d), fx.config(min_holes=6), written(ct.fit_contact_planes(c), "planes"), c)
+    return rounded(out, **dict.fromkeys(("contact_err", "stability", "vs_reference", "r2_med", "cond_med"), 3))
