@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, discard, grams, mix, parts, range_hashes, ranged, read, ship, stored
+from .common import IS_SPACE, U, discard, grams, mix, parts, range_hashes, ranged, read, ship, stored
 from .packed import text_bytes, _arrow
 from .substrings import _ids, _shard, _source, row_filter, row_keys
 from .suffix_array import shared_windows
@@ -204,11 +204,22 @@ def _sorted_shards(fetched: DataFrame, size: int) -> DataFrame:
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept_sha256 string"
 
 
+def whole_words(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The range without a part of a word at either end."""
+    if a and not IS_SPACE[text[a - 1]]:
+        while a < b and not IS_SPACE[text[a]]:
+            a += 1
+    if b < len(text) and not IS_SPACE[text[b]]:
+        while b > a and not IS_SPACE[text[b - 1]]:
+            b -= 1
+    return a, b
+
+
 def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False, least_words: int = 0) -> DataFrame:
     """For every row of `docs` (doc_id, text) the maximal runs of bytes that lie in `size`-byte strings which also start elsewhere,
     in this or another row, and what is kept; with keep_text also kept_text, where bytes that no longer make UTF-8 are dropped, and given_sha256 of the whole text.
 
-    Runs of fewer than least_words words stay. Null or empty text has no bytes; texts of any length are read whole. Repeated rows repeat
+    With least_words, runs lose the parts of words at their ends, and those of fewer whole words stay. Null or empty text has no bytes; texts of any length are read whole. Repeated rows repeat
     one another; null ids are ids. Extra columns, whatever their names, are left out; an empty table gives an empty result. Segments
     count as equal by the hash of their gram and one over a prime field of 2**61 - 1; all else is compared byte by byte in the arrays.
     """
@@ -264,10 +275,12 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False, le
                 step = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
                 first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
                 if least_words and len(first):
-                    stay = np.array([len(text[a:b].split()) < least_words for a, b in zip(first.tolist(), last.tolist(), strict=True)])
-                    for a, b in zip(first[stay].tolist(), last[stay].tolist(), strict=True):
-                        gone[a:b] = False
-                    first, last = first[~stay], last[~stay]
+                    whole = [whole_words(text, a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    whole = [(a, b) for a, b in whole if len(text[a:b].split()) >= least_words]
+                    gone[:] = False
+                    for a, b in whole:
+                        gone[a:b] = True
+                    first, last = (np.array([w[k] for w in whole], np.int64) for k in (0, 1))
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(first) else text
                 for c, x in zip(cols, (len(text), int(gone.sum()), len(first), first, last - first, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None, hashlib.sha256(text).hexdigest() if keep_text else None), strict=True):
                     c.append(x)
