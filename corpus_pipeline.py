@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from planemark.llm import lines, ngram_join, packing, quality_classifier, suffixes
 from planemark.llm.common import read, stored
 
-#: A repeated passage has more words than this. Its candidates are strings of PASSAGE_BYTES that repeat: 51 words have as many unless
-#: they are of two letters or so.
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 160
+#: A repeated passage has more words than this. Its candidates are strings of PASSAGE_BYTES that repeat: 51 words have 101 bytes at least,
+#: and hashes of strings take a multiple of 8.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 96
 
 
 def _nested(docs: DataFrame, *columns: str) -> DataFrame:
@@ -63,7 +63,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of more than PASSAGE_WORDS words that stand twice or more in the corpus go, in every place; every document stays.
+    """Passages of more than PASSAGE_WORDS words, in strings that stand twice or more in the corpus, go in every place; every document
+    stays, and no word is torn.
 
     Null text becomes empty. Null and repeated ids and texts of any length are treated like others; equal rows repeat one another. An
     empty table stays empty. Any other columns stay; n_chars, if there, is counted anew.
