@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from planemark.llm import fill_in, mixing, spelling
 from planemark.llm.queries import QUERIES, SQL
 
@@ -220,3 +221,16 @@ def test_op13_words_of_documents(spark, rows, sf, monkeypatch):
     want = counted(docs)
     assert {tuple(r) for r in QUERIES["op13_spelling_variants"](spark, sf).collect()} == grouped(want) and len(want) > 500
     assert spelling.spelling_variants(spelling.word_counts(table(spark, rows).limit(0))).collect() == []
+
+
+def test_passages_of_short_words_and_whole_words(spark):
+    """51 words of one or two letters are a passage, and 49 words between torn ones are none."""
+    rng = random.Random(5)
+    make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    short = " ".join(rng.choice(["a", "b", "c", "de"]) for _ in range(51))
+    torn = make(49)
+    rows = [(1, f"{make(9)} {short} {make(3)}"), (2, f"{short}\n{make(5)}"), (3, f"{make(4)} preone {torn} zone {make(2)}"), (4, f"{make(3)} paeone {torn} zonf"), (5, make(120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    out = {r.doc_id: r.text for r in corpus_pipeline.passage_stage(spark, df, "").collect()}
+    assert short not in out[1] and short not in out[2] and out[1].split() == rows[0][1].replace(short, "").split()
+    assert [out[k] for k in (3, 4, 5)] == [t for i, t in rows if i in (3, 4, 5)]
