@@ -43,8 +43,9 @@ def settings(**given: Any) -> dict[str, Any]:
 
 
 def settings_from_payload(payload: dict[str, Any]) -> dict[str, Any]:
-    """Settings of an application request: score_column is one column's name; columns names some point columns, others stay automatic."""
-    out = settings(**{k: v for k, v in payload.items() if k in DEFAULTS and k != "columns"})
+    """Settings of an application request: under cfg or beside it; score_column is one column's name; columns names some point columns,
+    others stay automatic. An unknown name under cfg is a KeyError."""
+    out = settings(**({k: v for k, v in payload.items() if k in DEFAULTS and k != "columns"} | (payload.get("cfg") or {})))
     if payload.get("score_column"):
         out["score_columns"] = [payload["score_column"]]
     for key, name in (payload.get("columns") or {}).items():

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..functions.matrices import add
+from .ordering import numbered, running
+from .score import hole_codes
 
 # The columns of an export, in order.
 EXPORT_COLUMNS = ["HoleID", "From_m", "To_m", "X", "Y", "Z", "Dip", "DipAzimuth", "Pitch", "Planarity", "Linearity", "LocalN", "LocalHoles", "VsReferenceDeg", "Estimator"]
@@ -62,8 +69,71 @@ def pole_density(field: DataFrame, size: int = 60, sigma: float = 0.09, bins: in
     return rows.groupBy("gx", "gy").agg((F.sum(F.col("n") * F.exp(-d2 / (2 * sigma * sigma))) / F.sum("n")).alias("density"))
 
 
-def geometry_floats(field: DataFrame) -> DataFrame:
-    """Places as 32-bit offsets from the field's centre box, with the origin in each row, for viewers."""
-    origin = field.agg(*(F.floor(F.min(f"mid_{c}")).cast("double").alias(f"origin_{c}") for c in "xyz"))
-    joined = field.withColumn("_one", F.lit(1)).join(F.broadcast(origin.withColumn("_one", F.lit(1))), "_one")
-    return joined.select("src_index", *((F.col(f"mid_{c}") - F.col(f"origin_{c}")).cast("float").alias(f"f{c}") for c in "xyz"), "origin_x", "origin_y", "origin_z")
+# The arrays of a viewer's payload, each of how many numbers a sample, 32-bit floats but for the last.
+ARRAYS = {"coords": 3, "poles": 3, "dip": 1, "dip_azimuth": 1, "trend": 1, "plunge": 1, "planarity": 1, "score": 1, "vs_reference": 1, "hole_index": 1}
+
+
+def origin_of(active: DataFrame) -> tuple[float, float, float]:
+    """The least coordinates of the active samples, from which 32-bit offsets are exact enough."""
+    return tuple(active.agg(*(F.min(f"mid_{c}") for c in "xyz")).first())  # type: ignore[return-value]
+
+
+def geometry_floats(field: DataFrame, origin: tuple[float, float, float], vs_reference: DataFrame | None = None) -> DataFrame:
+    """(src_index and numbers of ARRAYS as 32-bit floats, hole_index as int), one row a sample with a pole: fx, fy, fz from the origin; px,
+    py, pz; dip, dip_azimuth, trend, plunge, planarity, score; vs_reference, null where the reference has no pole; hole_index numbers
+    the field's holes by their first sample."""
+    field = field.withColumn("vs_reference_deg", F.lit(None).cast("double")) if vs_reference is None else field.join(vs_reference, "src_index", "left")
+    field = field.join(hole_codes(field), "HoleID")
+    made = {f"f{c}": F.col(f"mid_{c}") - o for c, o in zip("xyz", origin, strict=True)} | {f"p{c}": F.col(f"pole_vec_{c}") for c in "xyz"}
+    made |= {"dip": F.col("plane_dip_deg"), "dip_azimuth": v.col(v.dip_azimuth("plane_strike_deg")), "trend": F.col("pole_trend_deg"), "plunge": F.col("pole_plunge_deg")}
+    made |= {"planarity": F.col("planarity_norm"), "score": F.col("min_score"), "vs_reference": F.col("vs_reference_deg")}
+    return field.select("src_index", *(e.cast("float").alias(k) for k, e in made.items()), F.col("hole_code").cast("int").alias("hole_index"))
+
+
+def packed(rows: DataFrame, order: str, arrays: dict[str, list[str]], integers: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of rows in the order of a column: (first, n, and for each of `arrays` the columns' numbers row by row as little-endian bytes,
+    32-bit integers for those of `integers` and else floats, null as NaN). Blocks in the order of `first` are the whole arrays. A block
+    is a batch of a range of the order, so no task holds more."""
+    columns = list(dict.fromkeys(c for cs in arrays.values() for c in cs))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out: list[pa.Array] = [pa.array([b.column(order)[0].as_py()], pa.int64()), pa.array([b.num_rows], pa.int64())]
+            for name, cs in arrays.items():
+                kind = "<i4" if name in integers else "<f4"
+                out.append(pa.array([np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(kind) for c in cs], 1).tobytes()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["first", "n", *arrays])
+
+    sorted_ = rows.select(order, *(c for c in columns if c != order)).repartitionByRange(order).sortWithinPartitions(order)
+    return sorted_.mapInArrow(pack, "first long, n long, " + ", ".join(f"{k} binary" for k in arrays))
+
+
+def geometry_blocks(floats: DataFrame) -> DataFrame:
+    """ARRAYS of geometry_floats() as packed blocks in the order of src_index."""
+    of = {"coords": ["fx", "fy", "fz"], "poles": ["px", "py", "pz"]}
+    return packed(floats, "src_index", {k: of.get(k, [k]) for k in ARRAYS}, ("hole_index",))
+
+
+def trace_points(traces: DataFrame, origin: tuple[float, float, float]) -> DataFrame:
+    """(HoleID, start, n, xyz): traces as from hole_traces() with their places as 32-bit offsets from the origin, one after the other; start:
+    how many points the holes before have, by name, so that all traces are one array."""
+    long = traces.select("HoleID", F.size("trace").cast("long").alias("n"), F.transform("trace", lambda p: F.array(*((p[c] - o).cast("float") for c, o in zip("xyz", origin, strict=True)))).alias("xyz"))
+    ends = running(long, ["HoleID"], {"end": "n"})
+    return ends.select("HoleID", (F.col("end") - F.col("n")).alias("start"), "n", F.flatten("xyz").alias("xyz"))
+
+
+def thinned(field: DataFrame, every: int = 5, order: str = "src_index") -> DataFrame:
+    """Each k-th row, from the first, in the order of a column, for a view of so many discs; below 1 is like 1."""
+    return numbered(field, [order], "_nth").where(F.col("_nth") % max(1, every) == 0).drop("_nth")
+
+
+def colour_range(field: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """One row (low, high): the values at these shares of the places, the nearest below, so that single values do not flatten a ramp of
+    colours. If they are equal, high is one more; without values both are null."""
+    counted = running(field.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), ["v"], {"upto": "n"})
+    total = counted.agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]
+    at = {k: min(total - 1, math.floor(q * total)) for k, q in (("low", low), ("high", high))}
+    ends = counted.agg(*(F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v"))).alias(name) for name, k in at.items()))
+    return ends.select("low", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1).alias("high"))

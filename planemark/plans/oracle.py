@@ -324,6 +324,14 @@ SELECT {_r('gx', 6)}, {_r('gy', 6)}, {_r('sum(n * exp(-((gx - px) * (gx - px) +
         # Six holes, three in a half: samples of one hole lie on a line, whose planes hang on rounding.
         "method_summary": _method_summary().replace("local_holes >= 3", "local_holes >= 6").replace("local_holes >= 1", "local_holes >= 3"),
         "parameter_sweep": _sweep(),
+        "geometry_floats": f"""WITH {_weights()}{UNGRADED[len(_edges()) :].replace(chr(10) + 'w AS', chr(10) + 'wu AS')}, {SHAPE}, shape_u AS (SELECT * FROM {_eigen('(SELECT * FROM ' + _covariance(table='wu') + ' AS c WHERE local_n >= 10 AND local_holes >= 3)')} AS f),
+vs AS (SELECT a.i, {_ANGLE} AS deg FROM ({_poles('shape', V3)}) a JOIN ({_poles('shape_u', V3)}) b ON a.i = b.i), holes AS (SELECT HoleID, row_number() OVER (ORDER BY min(i)) - 1 AS code FROM shape JOIN active ON src_index = i GROUP BY HoleID),
+box AS (SELECT min(Easting) AS x0, min(Northing) AS y0, min(Elevation) AS z0 FROM active)
+SELECT i AS src_index, {', '.join(_r(f'({e})::FLOAT::DOUBLE', n, k) for k, n, e in (('fx', 2, 'Easting - x0'), ('fy', 2, 'Northing - y0'), ('fz', 2, 'Elevation - z0'), ('dip', 2, dip), ('dip_azimuth', 2, v.dip_azimuth(strike)), ('trend', 2, v.trend(V3)), ('plunge', 2, v.plunge(V3)), ('planarity', 3, 'greatest(0, least(1, (tl2 - tl3) / tl1))'), ('score', 3, 'min_score'), ('vs_reference', 3, 'vs.deg')))}, code::INT AS hole_index
+FROM shape JOIN active ON src_index = i JOIN holes USING (HoleID) LEFT JOIN vs USING (i), box""",
+        "trace_offsets": f"WITH {SCORED}, box AS (SELECT min(Easting) AS x0, min(Elevation) AS z0 FROM active), h AS (SELECT HoleID, count(*) AS n, arg_min(Easting, From_m) AS x, arg_max(Elevation, From_m) AS z FROM points GROUP BY HoleID) SELECT HoleID, (sum(n) OVER (ORDER BY HoleID) - n)::BIGINT AS start, n, (x - x0)::FLOAT::DOUBLE AS first_x, (z - z0)::FLOAT::DOUBLE AS last_z FROM h, box",
+        "thinned_field": f"WITH {_weights()}, {SHAPE}, f AS (SELECT i, min_score, {dip} AS plane_dip_deg, row_number() OVER (ORDER BY i) - 1 AS k, row_number() OVER (ORDER BY min_score) - 1 AS r, count(*) OVER () AS n FROM shape JOIN active ON src_index = i), ends AS (SELECT max(CASE WHEN r = least(n - 1, floor(0.02e0 * n)) THEN min_score END) AS low, max(CASE WHEN r = least(n - 1, floor(0.98e0 * n)) THEN min_score END) AS high FROM f) SELECT i AS src_index, {_r('plane_dip_deg', 4)}, {_r('low', 6)}, {_r('CASE WHEN high > low THEN high ELSE low + 1 END', 6, 'high')} FROM f, ends WHERE k % 5 = 0",
+        "contact_head": f"WITH {PLANES_SQL} SELECT code, boundary, n_holes, {_r(strike, 3, 'strike_deg')}, {_r(dip, 3, 'dip_deg')} FROM planes WHERE collar_aspect >= 0.15 ORDER BY n_holes DESC, code, boundary LIMIT 4",
         "truth_error": f"WITH {_weights()}, {SHAPE}, truth AS ({fx.TRUTH}) SELECT src_index, {_r(v.angle(V3, ('true_pole_x', 'true_pole_y', 'true_pole_z')), 4, 'error_deg')} FROM shape JOIN truth ON i = src_index",
         "prospects": f"SELECT Prospect, count(*) AS n FROM ({fx.POINTS}) AS p JOIN ({fx.COLLARS}) AS c USING (HoleID) GROUP BY Prospect HAVING count(*) >= 300",
     }

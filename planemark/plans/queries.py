@@ -392,6 +392,39 @@ def pole_density(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, gx=6, gy=6, density=6)
 
 
+@query
+def geometry_floats(spark: SparkSession, d: str) -> DataFrame:
+    """What a view gets of each sample, in 32 bits."""
+    a, cfg = _active(spark, d), fx.config()
+    f = _field(a, "shape_pca")
+    out = ex.geometry_floats(f, ex.origin_of(a), va.versus(f, es.orientations(a, cfg, "drill_pattern")))
+    digits = dict.fromkeys(("fx", "fy", "fz", "dip", "dip_azimuth", "trend", "plunge"), 2) | dict.fromkeys(("planarity", "score", "vs_reference"), 3)
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in digits}).drop("px", "py", "pz"), **digits)
+
+
+@query
+def trace_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each hole's points stand in the one array of all traces."""
+    p = prepare_points(_points(spark, d), fx.config())
+    return ex.trace_points(p.paths, ex.origin_of(p.active)).select("HoleID", "start", "n", F.element_at("xyz", 1).cast("double").alias("first_x"), F.element_at("xyz", -1).cast("double").alias("last_z"))
+
+
+@query
+def thinned_field(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth sample of the field, with the range of its scores' colours."""
+    f = _field(_active(spark, d), "shape_pca")
+    ends = ex.colour_range(f, "min_score").first()
+    out = ex.thinned(f, 5).select("src_index", "plane_dip_deg", F.lit(ends["low"]).alias("low"), F.lit(ends["high"]).alias("high"))
+    return rounded(out, plane_dip_deg=4, low=6, high=6)
+
+
+@query
+def contact_head(spark: SparkSession, d: str) -> DataFrame:
+    """The report's lines: usable planes of the most holes."""
+    out = ct.head(ct.fit_contact_planes(_contacts(spark, d)), 4)
+    return rounded(out.select("code", "boundary", "n_holes", "strike_deg", "dip_deg"), strike_deg=3, dip_deg=3)
+
+
 @query
 def method_summary(spark: SparkSession, d: str) -> DataFrame:
     """Both methods and the drill pattern, with neighbours' agreement, its null, halves and the error to known planes."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import quantiles
-from .columns import find, mapping, renamed
+from .columns import STANDARD, clean, find, mapping, renamed
 
 #: Texts that stand for a missing value.
 MISSING = ["-", "", "NA", "N/A", "null", "None", "nan", "NaN", "-nan", "-NaN", "#N/A", "#N/A N/A", "#NA", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "NULL", "<NA>", "n/a"]
@@ -92,16 +92,20 @@ def chosen_holes(samples: DataFrame, collars: DataFrame, surveys: DataFrame, cfg
 
 
 def preview(spark: SparkSession, source: str | DataFrame, table: str, cfg: dict[str, Any], rows: int = 2000) -> dict[str, Any]:
-    """How the first rows would be read: the mapping, and columns that look like assays (over half numbers, not all alike)."""
+    """How the first rows would be read: the mapping and whether all key columns are there, and columns that look like assays (over half
+    numbers, not all alike) with their median and largest value. Key columns of any table are none."""
     df = read_table(spark, source).limit(rows)
-    taken = {find(df.columns, k, n, cfg["auto_detect_columns"]) for k, n in cfg["columns"][table].items()}
+    df = df.toDF(*(clean(c) for c in df.columns))
+    taken = {find(df.columns, k, n, cfg["auto_detect_columns"]) for k, n in cfg["columns"][table].items()} | {*KEYS, STANDARD["hole"]}
     others = [c for c in df.columns if c not in taken]
     aggs = [F.count(F.lit(1)).alias("n")]
     for k, c in enumerate(others):
-        aggs += [F.count(number(name(c))).alias(f"k{k}"), F.stddev_samp(number(name(c))).alias(f"s{k}")]
+        aggs += [F.count(number(name(c))).alias(f"k{k}"), F.stddev_samp(number(name(c))).alias(f"s{k}"), F.median(number(name(c))).alias(f"m{k}"), F.max(number(name(c))).alias(f"x{k}")]
     row = df.agg(*aggs).first()
-    assays = [c for k, c in enumerate(others) if row[f"k{k}"] > 0.5 * row["n"] and (row[f"s{k}"] or 0) > 0]
-    return {"columns": df.columns, "n_rows": row["n"], "assays": assays, "mapping": [r.asDict() for r in mapping(spark, df.columns, table, cfg["columns"][table]).collect()]}
+    assays = [{"name": c, "median": row[f"m{k}"], "max": row[f"x{k}"]} for k, c in enumerate(others) if row[f"k{k}"] > 0.5 * row["n"] and (row[f"s{k}"] or 0) > 0]
+    found = [r.asDict() for r in mapping(spark, df.columns, table, cfg["columns"][table], cfg["auto_detect_columns"]).collect()]
+    missing = [r["internal"] for r in found if r["status"] == "MISSING"]
+    return {"columns": df.columns, "n_preview_rows": row["n"], "numeric_columns": assays, "mapping": found, "missing": missing, "resolved": not missing}
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
