@@ -70,21 +70,24 @@ def unique_collars(collars: DataFrame) -> DataFrame:
 def desurveyed(samples: DataFrame, collars: DataFrame, surveys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Samples with from_, to_ and mid_ x, y, z, the direction at the middle, collar columns and src_index; and the paths.
 
-    src_index, if samples do not bring one, numbers them by hole, from and to.
+    src_index, if samples do not bring one, numbers them by hole, from and to; one that they bring must tell them apart. Every sample is
+    sought in the paths by its three depths at once, in one join, and its rows are put side by side again.
     """
     collars = unique_collars(collars)
-    ends = [("from", "From_m"), ("to", "To_m"), ("mid", "mid_m")]
+    samples = with_src_index(samples)
     asked = samples.select("HoleID", F.explode(F.array("From_m", "To_m", "mid_m")).alias("Depth_m"))
     path = written(paths(collars, surveys, asked), "paths")
-    out = samples
-    # The depths were copied, not computed anew, so they are equal to the last bit.
-    for prefix, depth in ends:
-        more = ["ux", "uy", "uz"] if prefix == "mid" else []
-        side = path.select("HoleID", F.col("Depth_m").alias(depth), *(F.col(c).alias(f"{prefix}_{c.lower()}") for c in "XYZ"), *more)
-        out = out.join(side, ["HoleID", depth], "left")
     carried = [c for c in ("Property", "Prospect", "HoleType") if c in collars.columns and c not in samples.columns]
-    out = out.join(collars.select("HoleID", *carried, F.col("Length_m").alias("hole_length_m")), "HoleID")
-    return with_src_index(out), path
+    whole = samples.join(collars.select("HoleID", *carried, F.col("Length_m").alias("hole_length_m")), "HoleID")
+    given = F.struct(*(F.col(f"`{c}`") for c in whole.columns))
+    # The sample itself goes with one of its depths.
+    roles = F.array(*(F.struct(F.lit(k).alias("_role"), F.col(c).alias("Depth_m"), (given if k == "mid" else F.lit(None).cast(whole.select(given.alias("g")).schema["g"].dataType)).alias("_given")) for k, c in (("from", "From_m"), ("to", "To_m"), ("mid", "mid_m"))))
+    # The depths were copied, not computed anew, so they are equal to the last bit.
+    found = whole.select("HoleID", F.col("src_index").alias("_row"), F.inline(roles)).join(path, ["HoleID", "Depth_m"], "left")
+    at = lambda role, c: F.max(F.when(F.col("_role") == role, F.col(c)))
+    places = [at(k, c).alias(f"{k}_{c.lower()}") for k in ("from", "to", "mid") for c in "XYZ"] + [at("mid", c).alias(c) for c in ("ux", "uy", "uz")]
+    out = found.groupBy("_row").agg(F.first("_given", ignorenulls=True).alias("_given"), *places)
+    return out.select("_given.*", *(c for c in out.columns if c not in ("_row", "_given"))), path
 
 
 def with_src_index(df: DataFrame) -> DataFrame:

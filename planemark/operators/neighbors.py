@@ -141,10 +141,10 @@ def _moments(lsq: bool) -> dict[str, Column]:
     return out
 
 
-def moments(n: DataFrame, cfg: dict[str, Any], graded: bool = True, lsq: bool = False, split: Column | None = None) -> DataFrame:
+def moments(n: DataFrame, cfg: dict[str, Any], graded: bool = True, lsq: bool = False, split: Column | None = None, floor: float | None = None) -> DataFrame:
     """One row for each i (and each value of split, a function of holej): local_n, local_holes, m0 (sum of weights), and sums of
-    w times offsets and their products, or with lsq of w times what the normal equations need."""
-    e = weighted(edges(n, cfg["radius_m"], cfg["exclude_same_hole_neighbors"]), least_score(n), cfg["distance_sigma_m"], graded)
+    w times offsets and their products, or with lsq of w times what the normal equations need. floor: the least score, if not that of n."""
+    e = weighted(edges(n, cfg["radius_m"], cfg["exclude_same_hole_neighbors"]), least_score(n) if floor is None else floor, cfg["distance_sigma_m"], graded)
     terms = _moments(lsq)
     by_hole = e.groupBy("i", "holej").agg(
         F.count(F.lit(1)).alias("n"), F.max("near_term").alias("top"), F.sum("w0").alias("_m0"), *(F.sum(F.col("w0") * t).alias(f"_{k}") for k, t in terms.items() if k != "m0")

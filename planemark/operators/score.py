@@ -29,11 +29,8 @@ def prepared(column: str, log: bool) -> Column:
     return F.log1p(v) if log else v
 
 
-def scored(df: DataFrame, columns: list[str], log: bool = True, quantile: float = 0.85) -> DataFrame:
-    """Adds min_score (mean of z-scores, a missing assay at its mean), score_rank and is_active (rank from quantile up).
-
-    Columns that are absent or do not vary are left out; none left is a ValueError.
-    """
+def usable_columns(df: DataFrame, columns: list[str], log: bool = True) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the columns that are there and vary; none is a ValueError."""
     there = [c for c in columns if c in df.columns]
     usable = {}
     if there:
@@ -41,6 +38,15 @@ def scored(df: DataFrame, columns: list[str], log: bool = True, quantile: float
         usable = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(there) if row[f"s{i}"]}
     if not usable:
         raise ValueError(f"no usable score column among {list(columns)}; there are {df.columns[:40]}")
+    return usable
+
+
+def scored(df: DataFrame, columns: list[str], log: bool = True, quantile: float = 0.85) -> DataFrame:
+    """Adds min_score (mean of z-scores, a missing assay at its mean), score_rank and is_active (rank from quantile up).
+
+    Columns that are absent or do not vary are left out; none left is a ValueError.
+    """
+    usable = usable_columns(df, columns, log)
     parts = [F.coalesce((prepared(c, log) - m) / s, F.lit(0.0)) for c, (m, s) in usable.items()]
     total = parts[0]
     for p in parts[1:]:

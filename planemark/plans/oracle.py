@@ -198,6 +198,15 @@ LEFT JOIN {agreed('every')} AS co USING (method) LEFT JOIN {agreed('dealt')} AS
 LEFT JOIN (SELECT method, median(deg) AS deg, count(*) AS n_stability FROM stable GROUP BY method) AS st USING (method)"""
 
 
+def _table_route() -> str:
+    """The field of samples placed by their holes' paths; scores are those of the points, which have the same assays."""
+    nodes = "n AS (SELECT a.src_index AS i, a.HoleID AS hole, X AS x, Y AS y, Z AS z, min_score AS s, To_m - From_m AS len FROM active a JOIN path p ON p.HoleID = a.HoleID AND p.Depth_m = 0.5e0 * (a.From_m + a.To_m))"
+    scored = SCORED.split("logs AS", 1)[1]
+    edges = _edges().split(NODES, 1)[1]
+    strike, dip = v.strike(V3), v.dip(V3)
+    return f"WITH {_desurvey(THREE)}, logs AS{scored}, {nodes}{_weights(edges=edges)}, {SHAPE} SELECT i AS src_index, {_r(strike, 3, 'plane_strike_deg')}, {_r(dip, 3, 'plane_dip_deg')}, local_n, local_holes FROM shape"
+
+
 def _sweep() -> str:
     """Case by case, pair by pair: weights in windows, scores round by round, gradients from differences of the two samples' scores."""
     ctes = [_edges(max(RADII)).replace("\ne AS (", "\ne AS MATERIALIZED (")]
@@ -276,8 +285,9 @@ SELECT "column", count(v) AS n, count(*) - count(v) AS n_null, min(v) AS min, {_
         "rim_exposure": f"WITH points AS ({fx.POINTS}), box AS (SELECT min(Easting) AS x0, max(Easting) AS x1, min(Northing) AS y0, max(Northing) AS y1 FROM points) SELECT count(*) AS n, (count(*) FILTER (WHERE Easting - x0 < 120 OR x1 - Easting < 120 OR Northing - y0 < 120 OR y1 - Northing < 120))::BIGINT AS n_rim, round((count(*) FILTER (WHERE Easting - x0 < 120 OR x1 - Easting < 120 OR Northing - y0 < 120 OR y1 - Northing < 120)) / count(*)::DOUBLE, 9) + 0.0 AS share FROM points, box",
         "hole_code": f"WITH {SCORED} SELECT HoleID, (row_number() OVER (ORDER BY min(src_index)) - 1)::BIGINT AS hole_code FROM active GROUP BY HoleID",
         "desurvey_path": f"WITH {_desurvey(THREE)} SELECT HoleID, Depth_m, {', '.join(_r(c, 5) for c in 'XYZ')}, {', '.join(_r(c, 6) for c in U)} FROM path",
-        "desurvey_samples": f"WITH {_desurvey(THREE)} SELECT p.src_index, p.HoleID, " + ", ".join(_r(f"{t}.{c}", 5, f"{t}_{c.lower()}") for t in ("from", "to", "mid") for c in "XYZ").replace("from.", "f.").replace("to.", "t.").replace("mid.", "m.") + f""", {', '.join(_r('m.' + c, 6, c) for c in U)}, Length_m AS hole_length_m
-FROM points p JOIN collars c ON c.HoleID = p.HoleID JOIN path f ON f.HoleID = p.HoleID AND f.Depth_m = p.From_m JOIN path t ON t.HoleID = p.HoleID AND t.Depth_m = p.To_m JOIN path m ON m.HoleID = p.HoleID AND m.Depth_m = 0.5e0 * (p.From_m + p.To_m)""",
+        "desurvey_samples": f"WITH {_desurvey(THREE)}, sought AS (SELECT src_index, HoleID, unnest(['from', 'to', 'mid']) AS role, unnest([From_m, To_m, 0.5e0 * (From_m + To_m)]) AS Depth_m FROM points), found AS (SELECT * FROM sought JOIN path USING (HoleID, Depth_m)) SELECT src_index, HoleID, " + ", ".join(_r(f"max({c}) FILTER (WHERE role = '{t}')", 5, f"{t}_{c.lower()}") for t in ("from", "to", "mid") for c in "XYZ") + f""", {', '.join(_r(f"max({c}) FILTER (WHERE role = 'mid')", 6, c) for c in U)}, max(Length_m) AS hole_length_m
+FROM found JOIN collars USING (HoleID) GROUP BY src_index, HoleID""",
+        "table_route": _table_route(),
         "hole_traces": f"SELECT HoleID, count(*) AS n, arg_min(Easting, From_m) AS x0, arg_max(Elevation, From_m) AS z1 FROM ({fx.POINTS}) AS p GROUP BY HoleID",
         "edges_radius": _edge_sums(_edges()),
         "edges_same_hole_included": _edge_sums(_edges(60, "true")),

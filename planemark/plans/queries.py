@@ -452,7 +452,7 @@ def table_route(spark: SparkSession, d: str) -> DataFrame:
     cfg = fx.config()
     s, c, u = tables.load_tables(spark, fx.points(spark, d).drop("Easting", "Northing", "Elevation"), fx.collars(spark, d), fx.surveys(spark, d), cfg)
     out = prepare_tables(s, c, u, cfg).orientations(cfg)
-    return out.select("src_index", "plane_strike_deg", "plane_dip_deg", "local_n", "local_holes")
+    return rounded(out.select("src_index", "plane_strike_deg", "plane_dip_deg", "local_n", "local_holes"), plane_strike_deg=3, plane_dip_deg=3)
 
 
 @query

@@ -12,10 +12,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.tables import load_points
 
 
-def point_stream(spark: SparkSession, folder: str, columns: list[str], cfg: dict[str, Any]) -> DataFrame:
-    """Clean points of CSV files as they arrive in folder; columns: the files' header, all read as text."""
+def point_stream(spark: SparkSession, folder: str, columns: list[str], cfg: dict[str, Any], files: int | None = None) -> DataFrame:
+    """Clean points of CSV files as they arrive in folder; columns: the files' header, all read as text; files: at most so many a batch."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return load_points(spark, spark.readStream.option("header", True).schema(schema).csv(folder), cfg)
+    reader = spark.readStream.option("header", True).schema(schema)
+    return load_points(spark, (reader.option("maxFilesPerTrigger", files) if files else reader).csv(folder), cfg)
 
 
 def append_points(stream: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
