@@ -7,7 +7,6 @@ from ..functions import vectors as v
 from ..functions.matrices import SIX, eigenvalue_steps, eigenvector_steps, in_sql, solve_steps
 from ..sources.columns import STANDARD
 from . import fixtures as fx
-from .queries import PLANES
 from .sweep import RADII, SMOOTHINGS, needed
 
 U: v.Vec = ("ux", "uy", "uz")
@@ -260,8 +259,11 @@ def sql() -> dict[str, str]:
     halves, halves_random = halved(half), halved("ascii(md5('7/' || holej)) % 2")
     six = ", ".join(_r(f"t{k}", 4) for k in SIX)
     x, y = v.equal_area(v.trend(V3), v.plunge(V3))
-    pl = ", ".join(f"({a}, {b}, {c})" for a, b, c in PLANES)
-    case = "given AS (SELECT * FROM (VALUES " + pl + ") AS t(dip, dip_azimuth, rake))"
+    # A fold of 400 m along x that plunges by 10 degrees along y, its shell at 930 m and 30 m high.
+    turn, fall = "(2e0 * pi() / 400e0)", "tan(radians(10e0))"
+    slope, middle = f"(-30e0 * {turn} * sin({turn} * (Easting - 10000e0)))", f"(930e0 + 30e0 * cos({turn} * (Easting - 10000e0)) - (Northing - 10000e0) * {fall})"
+    fold = f"""fold AS (SELECT *, 0.02e0 + 1.8e0 * exp(-0.5e0 * (away / 25e0) * (away / 25e0)) AS grade, -sx / size AS nx, {fall} / size AS ny, 1 / size AS nz
+  FROM (SELECT *, (Elevation - {middle}) / size AS away FROM (SELECT src_index, Easting, Northing, Elevation, {slope} AS sx, sqrt(1 + {slope} * {slope} + {fall} * {fall}) AS size FROM ({fx.POINTS}) AS p) AS t1) AS t2)"""
     ex, ey = v.equal_area(v.trend(U), v.plunge(U))
     nx, ny, nz = v.normal(v.strike(U), v.dip(U))
     strike, dip = v.strike(V3), v.dip(V3)
@@ -327,7 +329,16 @@ local_n AS LocalN, local_holes AS LocalHoles, NULL::DOUBLE AS VsReferenceDeg, 's
         "strike_dip_roundtrip": _angles(nx=nx, ny=ny, nz=nz),
         "angular_difference": _angles(to_up=v.angle(U, ("0e0", "0e0", "1e0")), to_axis=v.angle(U, ("1e0", "2e0", "-1e0"))),
         "equal_area_xy": _angles(x=ex, y=ey),
-        "pitch_cases": f"WITH {case} SELECT dip::DOUBLE AS dip, dip_azimuth::DOUBLE AS dip_azimuth, rake::DOUBLE AS rake, dip::DOUBLE AS dip_back, dip_azimuth::DOUBLE AS dip_azimuth_back, rake::DOUBLE AS pitch_back FROM given",
+        # What goes in has to come out.
+        "pitch_cases": f"WITH {VECTORS}, given AS (SELECT vec_id, 5 + floor(abs(vx) * 1000) % 80 AS dip, floor(abs(vy) * 1000) % 360 AS dip_azimuth, 3 + floor(abs(vz) * 1000) % 175 AS rake FROM vecs) SELECT vec_id, dip::DOUBLE AS dip, dip_azimuth::DOUBLE AS dip_azimuth, rake::DOUBLE AS rake, dip::DOUBLE AS dip_back, dip_azimuth::DOUBLE AS dip_azimuth_back, rake::DOUBLE AS pitch_back FROM given",
+        "synthetic_tables": f"WITH {fold} SELECT src_index, {_r('away', 5, 'shell_distance')}, {_r('grade', 6, 'shell_grade')}, {', '.join(_r(f'n{c}', 7, f'true_pole_{c}') for c in 'xyz')} FROM fold",
+        "synthetic_recovery": f"WITH points AS ({fx.POINTS}), {fold}, logs AS (SELECT points.*, ln(1 + greatest(grade, 0)) AS v FROM points JOIN fold USING (src_index))," + _weights().split("AS v FROM points),", 1)[1] + f", {SHAPE} SELECT i AS src_index, {_r(v.angle(V3, ('nx', 'ny', 'nz')), 3, 'error_deg')} FROM shape JOIN fold ON src_index = i",
+        "lsq_conditioned_field": f"WITH {_weights()}, {_lsq()} SELECT i AS src_index, {_r('sampling_conditioning', 6)}, {_r('gradient_magnitude', 6)} FROM lsq WHERE sampling_conditioning >= 0.15",
+        "station_dedupe": f"""WITH collars AS ({fx.COLLARS}), logged AS ({fx.SURVEYS}), given AS (SELECT HoleID, Depth_m, Dip, Azimuth FROM logged UNION ALL SELECT HoleID, Depth_m, Dip - 1.5e0, Azimuth FROM logged WHERE (Depth_m / 30)::INT % 2 = 0),
+one AS (SELECT HoleID, Depth_m, min(Dip) AS Dip, min(Azimuth) AS Azimuth FROM given GROUP BY ALL UNION ALL SELECT HoleID, 0e0, Dip, Azimuth FROM collars WHERE HoleID NOT IN (SELECT HoleID FROM given WHERE Depth_m <= 0))
+SELECT HoleID, Depth_m, {', '.join(_r(e, 6, f'd{c}') for c, e in zip('xyz', v.direction('Dip', 'Azimuth'), strict=True))} FROM one""",
+        "surrogate_ids": f"SELECT HoleID, From_m, (row_number() OVER (ORDER BY HoleID, From_m, To_m) - 1)::BIGINT AS src_index FROM ({fx.POINTS}) AS p",
+        "csv_round_trip": f"SELECT HoleID, From_m, To_m, 0.5e0 * (From_m + To_m) AS mid_m, {_r('assay', 4)}, {', '.join(_r(c, 3) for c in ('Easting', 'Northing', 'Elevation'))} FROM ({fx.POINTS}) AS p",
         "pole_density": f"""WITH {_weights()}, {SHAPE}, xy AS (SELECT {x} AS x, {y} AS y FROM shape), cells AS (SELECT (cx + 0.5) * 2 / 50e0 - 1 AS px, (cy + 0.5) * 2 / 50e0 - 1 AS py, count(*) AS n FROM (SELECT floor((x + 1) * 50 / 2) AS cx, floor((y + 1) * 50 / 2) AS cy FROM xy) AS c GROUP BY cx, cy),
 grid AS (SELECT a * 0.1e0 - 1 AS gx, b * 0.1e0 - 1 AS gy FROM generate_series(0, 20) AS s(a), generate_series(0, 20) AS t(b) WHERE (a * 0.1e0 - 1) * (a * 0.1e0 - 1) + (b * 0.1e0 - 1) * (b * 0.1e0 - 1) <= 1)
 SELECT {_r('gx', 6)}, {_r('gy', 6)}, {_r('sum(n * exp(-((gx - px) * (gx - px) + (gy - py) * (gy - py)) / (2 * 0.09e0 * 0.09e0))) / sum(n)', 6, 'density')} FROM grid, cells GROUP BY gx, gy""",

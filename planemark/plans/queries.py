@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -20,8 +21,8 @@ from ..operators import smoothing as sm
 from ..operators import validation as va
 from ..sources import tables
 from ..sources.columns import mapping
-from ..sources.store import written
-from ..sources.synthetic import deposit, deposit_config
+from ..sources.store import shared_folder, written
+from ..sources.synthetic import folded
 from . import compare as co
 from . import fixtures as fx
 from . import sweep as sw
@@ -376,14 +377,13 @@ def equal_area_xy(spark: SparkSession, d: str) -> DataFrame:
     return _angles(_vectors(spark, d), x=x, y=y)
 
 
-#: dip, dip azimuth, rake
-PLANES = [(dip, az, rake) for dip in (10.0, 35.0, 60.0, 85.0) for az in (0.0, 100.0, 225.0, 359.0) for rake in (15.0, 90.0, 160.0)]
-
-
 @query
 def pitch_cases(spark: SparkSession, d: str) -> DataFrame:
-    out = ex.convention_check(spark.createDataFrame(PLANES, "dip double, dip_azimuth double, rake double"))
-    return rounded(out.select("dip", "dip_azimuth", "rake", "dip_back", "dip_azimuth_back", "pitch_back"), dip_back=6, dip_azimuth_back=6, pitch_back=6)
+    """Planes and rakes by the vectors' bits: what comes back of dip, dip azimuth and rake."""
+    k = lambda n, m: F.pmod(F.floor(F.abs(F.col(f"v{n}")) * 1000), F.lit(m)).cast("double")
+    given = _vectors(spark, d).select("vec_id", (5 + k("x", 80)).alias("dip"), k("y", 360).alias("dip_azimuth"), (3 + k("z", 175)).alias("rake"))
+    out = ex.convention_check(given)
+    return rounded(out.select("vec_id", "dip", "dip_azimuth", "rake", "dip_back", "dip_azimuth_back", "pitch_back"), dip_back=5, dip_azimuth_back=5, pitch_back=5)
 
 
 @query
@@ -455,17 +455,56 @@ def table_route(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("src_index", "plane_strike_deg", "plane_dip_deg", "local_n", "local_holes"), plane_strike_deg=3, plane_dip_deg=3)
 
 
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    p = _points(spark, d)
+    return folded(p.withColumns({"x": F.col("Easting"), "y": F.col("Northing"), "z": F.col("Elevation")}), z0=930.0, amplitude=30.0)
+
+
 @query
 def synthetic_tables(spark: SparkSession, d: str) -> DataFrame:
-    return deposit(spark).samples
+    """The samples beside a folded shell: distance, grade and true plane."""
+    out = _folded(spark, d).select("src_index", "shell_distance", "shell_grade", *(f"true_pole_{c}" for c in "xyz"))
+    return rounded(out, shell_distance=5, shell_grade=6, true_pole_x=7, true_pole_y=7, true_pole_z=7)
 
 
 @query
 def synthetic_recovery(spark: SparkSession, d: str) -> DataFrame:
-    t = deposit(spark)
-    cfg = deposit_config()
-    p = prepare_tables(t.samples, t.collars, t.surveys, cfg)
-    return va.true_error(p.orientations(cfg), p.active)
+    """How well the samples' planes give back a fold's, where grades follow it."""
+    cfg = fx.config(score_columns=["shell_grade"])
+    p = prepare_points(_folded(spark, d).drop("x", "y", "z"), cfg)
+    return rounded(va.true_error(p.orientations(cfg), p.active), error_deg=3)
+
+
+@query
+def lsq_conditioned_field(spark: SparkSession, d: str) -> DataFrame:
+    """Gradients of samples whose neighbours lie all around, by the limit of conditioning."""
+    out = es.orientations(_active(spark, d), fx.config(min_sampling_conditioning=0.15), "lsq_gradient")
+    return rounded(out.select("src_index", "sampling_conditioning", "gradient_magnitude"), sampling_conditioning=6, gradient_magnitude=6)
+
+
+@query
+def station_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Stations where every second one is logged twice, with another dip."""
+    s = fx.surveys(spark, d)
+    twice = s.where("CAST(Depth_m / 30 AS INT) % 2 = 0").withColumn("Dip", F.col("Dip") - 1.5)
+    out = ds.stations(fx.collars(spark, d), s.unionByName(twice))
+    return rounded(out, dx=6, dy=6, dz=6)
+
+
+@query
+def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of samples that bring none."""
+    return ds.with_src_index(_points(spark, d).drop("src_index")).select("HoleID", "From_m", "src_index")
+
+
+@query
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Samples as a CSV of ten digits under other headers, written, read and typed again."""
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}.csv"
+    given = _points(spark, d).selectExpr("HoleID AS ` BHID `", "From_m AS `FROM`", "To_m AS `TO`", "assay", "Easting AS X", "Northing AS Y", "Elevation AS Z")
+    tables.write_csv(tables.ten_digits(given), path)
+    out = tables.load_points(spark, path, fx.config())
+    return rounded(out.select("HoleID", "From_m", "To_m", "mid_m", "assay", "Easting", "Northing", "Elevation"), assay=4, Easting=3, Northing=3, Elevation=3)
 
 
 @query

@@ -56,6 +56,20 @@ def surface(p: dict[str, Any]) -> Column:
     return p["z0"] + p["amplitude"] * F.cos(k * (F.col("x") - ORIGIN[0])) - (F.col("y") - ORIGIN[1]) * math.tan(math.radians(p["plunge_deg"]))
 
 
+def folded(points: DataFrame, **given: Any) -> DataFrame:
+    """points (x, y, z and others) beside the folded shell: shell_distance (along its normal), shell_grade (as copper, without noise) and the
+    plane that the fold has there, true_pole_x, _y, _z. An unknown parameter is a KeyError."""
+    unknown = sorted(set(given) - set(PARAMETERS))
+    if unknown:
+        raise KeyError(f"no such parameters: {unknown}")
+    p = PARAMETERS | given
+    sx, sy = _slope(p)
+    size = F.sqrt(1 + sx * sx + F.lit(sy * sy))
+    away = (F.col("z") - surface(p)) / size
+    grade = p["cu_background"] + p["cu_amplitude"] * F.exp(-0.5 * (away / p["shell_thickness"]) ** 2)
+    return points.withColumns({"shell_distance": away, "shell_grade": grade, "true_pole_x": -sx / size, "true_pole_y": F.lit(-sy) / size, "true_pole_z": 1 / size})
+
+
 def deposit(spark: SparkSession, seed: int = 0, **given: Any) -> Deposit:
     """An unknown parameter is a KeyError."""
     unknown = sorted(set(given) - set(PARAMETERS))
