@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, U, discard, grams, mix, parts, range_hashes, ranged, read, ship, stored
@@ -145,10 +145,17 @@ def _unsigned_mod(column: str, n: int):  # type: ignore[no-untyped-def]
 
 
 def _classes(segments: DataFrame) -> DataFrame:
-    """One row for each different segment of anchors under which any two stand, with a representative and counts."""
-    by_content = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "row_id", "start", "windows", "before")).alias("rep"))
-    kinds = by_content.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all_copies"))
-    return by_content.join(kinds.where("all_copies > 1"), "anchor").select("anchor", "content", "copies", "kinds", "rep.*")
+    """One row for each different segment of anchors under which any two stand, with a representative and counts.
+
+    Segments are counted before they meet by anchor, and then travel once: a window over the anchor counts its kinds. A segment's place,
+    windows and distance from its anchor, which are below 2**31 and 2**16, travel as one number.
+    """
+    place = F.col("start") * (1 << 32) + F.col("windows") * (1 << 16) + F.col("before")
+    by_content = segments.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row_key", "row_id", place.alias("place"))).alias("rep"))
+    of_anchor = Window.partitionBy("anchor")
+    counted = by_content.select("*", F.count(F.lit(1)).over(of_anchor).alias("kinds"), F.sum("copies").over(of_anchor).alias("all_copies")).where("all_copies > 1")
+    at = F.col("rep.place")
+    return counted.select("anchor", "content", "copies", "kinds", "rep.row_key", "rep.row_id", F.shiftright(at, 32).alias("start"), F.shiftright(at, 16).bitwiseAND(F.lit(65535).cast("long")).alias("windows"), at.bitwiseAND(F.lit(65535).cast("long")).alias("before"))
 
 
 def _fetched(sharded: DataFrame, reps: DataFrame, shards: int, arrays: int, size: int) -> DataFrame:
@@ -223,8 +230,8 @@ def repeated_bytes(docs: DataFrame, size: int = 400, keep_text: bool = False, le
     one another; null ids are ids. Extra columns, whatever their names, are left out; an empty table gives an empty result. Segments
     count as equal by the hash of their gram and one over a prime field of 2**61 - 1; all else is compared byte by byte in the arrays.
     """
-    if size < 48:
-        raise ValueError("size must be 48 or more")
+    if not 48 <= size <= 65536:
+        raise ValueError("size must be from 48 to 65536")
     ship(docs.sparkSession)
     shards = max(8, text_bytes(docs) // (8 << 20))
     sharded = _shard(docs, shards)
