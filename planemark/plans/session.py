@@ -19,7 +19,7 @@ from ..config import DEFAULTS, settings_from_payload
 from ..operators import estimators, export, neighbors, score, validation
 from ..operators.ordering import quantiles
 from ..sources import tables
-from ..sources.store import written
+from ..sources.store import Scratch, discard, written
 from .compare import REFERENCE
 from .prepare import Prepared, prepare_points
 
@@ -86,6 +86,17 @@ class Session:
         }
 
     def run(self, payload: dict[str, Any]) -> dict[str, Any]:
+        """As in estimate(); of the tables made on the way those stay that an export needs."""
+        old = (self.field, self.versus, self.prepared and self.prepared.active)
+        with Scratch() as scratch:
+            out = self.estimate(payload)
+            for t in (self.field, self.versus, self.prepared and self.prepared.active):
+                if t is not None:
+                    scratch.keep(t)
+        discard(*old)
+        return out
+
+    def estimate(self, payload: dict[str, Any]) -> dict[str, Any]:
         """The field and what it takes to judge it. Without any sample past the gates: ok false and why. with_stability false leaves out the
         halves of the holes, with_geometry false the arrays of a view."""
         if self.points is None:
@@ -111,7 +122,7 @@ class Session:
         numbers = {"median": seen["median_local_n"], "p10": seen["p10_local_n"], "max": seen["max_local_n"], "holes_median": seen["median_local_holes"], "failed_on_neighbors": seen["failed_local_n"], "failed_on_holes": seen["failed_local_holes"]}
         n_valid = self.field.count()
         if not n_valid:
-            self.field = None
+            self.field = self.versus = None
             return {"ok": False, "empty": True, "diagnosis": {"n_active": n_active, "min_neighbors": cfg["min_neighbors"], "min_holes": cfg["min_holes"]} | numbers}
         reference = timed("reference", estimators.orientations(active, cfg, REFERENCE))
         self.versus = written(validation.versus(self.field, reference), "versus")

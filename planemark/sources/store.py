@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,36 @@ def shared_folder(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="planemark-"))
 
 
+class Scratch:
+    """Within `with Scratch() as s:` tables that written() and bucketed() make are deleted at the end, but for those given to s.keep(): for a
+    caller that takes its results inside. Tables made outside any scope stay, as plans that nobody has run yet read them."""
+
+    _open: ClassVar[list[Scratch]] = []
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, whose own table stays."""
+        self.kept.add(getattr(df, "_written_at", ""))
+        return df
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        Scratch._open.remove(self)
+        discard(*(t for t in self.tables if t._written_at not in self.kept))  # type: ignore[attr-defined]
+
+    @classmethod
+    def note(cls, df: DataFrame) -> DataFrame:
+        if cls._open:
+            cls._open[-1].tables.append(df)
+        return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df from a table in the shared folder, so that rounds do not repeat earlier ones."""
     spark = df.sparkSession
@@ -29,7 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path  # type: ignore[attr-defined]
-    return out
+    return Scratch.note(out)
 
 
 def discard(*tables: DataFrame | None) -> None:
@@ -55,4 +86,4 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out._written_at, out._table = path, table  # type: ignore[attr-defined]
-    return out
+    return Scratch.note(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +23,27 @@ def name(c: str) -> Column:
 
 def read_table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """A CSV file or folder, all columns as text, or a DataFrame; texts for missing values become nulls."""
-    df = source if isinstance(source, DataFrame) else spark.read.option("header", True).option("inferSchema", False).csv(source)
+    df = source if isinstance(source, DataFrame) else spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(source)
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     return df.select(*(F.when(~name(c).isin(MISSING), name(c)).alias(c) if c in text else name(c) for c in df.columns))
 
 
+#: Characters of CSV text that an application may hand over; larger tables are files.
+MOST_TEXT = 256 << 20
+
+
 def csv_text(spark: SparkSession, text: str) -> DataFrame:
-    """A table from CSV text that an application holds."""
-    lines = spark.createDataFrame([(x,) for x in text.splitlines() if x], "value string").repartition(1)
-    return spark.read.option("header", True).csv(lines.rdd.map(lambda r: r[0]))
+    """A table from CSV text that an application holds; more than MOST_TEXT is a ValueError. Rows end with their line; quotes, spaces and
+    doubled headers are read as in a file. Without a header there is no table."""
+    if len(text) > MOST_TEXT:
+        raise ValueError(f"text of more than {MOST_TEXT} characters; write it to a file and give its path")
+    lines = [x for x in text.lstrip("\ufeff").splitlines() if x.strip()]
+    if not lines:
+        raise ValueError("no header in the text")
+    header = next(csv.reader([lines[0]]))
+    rows = spark.createDataFrame([(x,) for x in lines[1:]], "line string")
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    return rows.select(F.from_csv("line", fields.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"'}).alias("r")).select("r.*").toDF(*header)
 
 
 def number(c: Column) -> Column:
