@@ -337,6 +337,8 @@ local_n AS LocalN, local_holes AS LocalHoles, NULL::DOUBLE AS VsReferenceDeg, 's
         "station_dedupe": f"""WITH collars AS ({fx.COLLARS}), logged AS ({fx.SURVEYS}), given AS (SELECT HoleID, Depth_m, Dip, Azimuth FROM logged UNION ALL SELECT HoleID, Depth_m, Dip - 1.5e0, Azimuth FROM logged WHERE (Depth_m / 30)::INT % 2 = 0),
 one AS (SELECT HoleID, Depth_m, min(Dip) AS Dip, min(Azimuth) AS Azimuth FROM given GROUP BY ALL UNION ALL SELECT HoleID, 0e0, Dip, Azimuth FROM collars WHERE HoleID NOT IN (SELECT HoleID FROM given WHERE Depth_m <= 0))
 SELECT HoleID, Depth_m, {', '.join(_r(e, 6, f'd{c}') for c, e in zip('xyz', v.direction('Dip', 'Azimuth'), strict=True))} FROM one""",
+        "filter_prospect": f"SELECT src_index, HoleID FROM ({fx.POINTS}) AS p JOIN ({fx.COLLARS}) AS c USING (HoleID) WHERE Prospect = 'Section 1'",
+        "collar_metadata": f"SELECT src_index, Property, Prospect, Length_m AS hole_length_m FROM ({fx.POINTS}) AS p JOIN ({fx.COLLARS}) AS c USING (HoleID)",
         "surrogate_ids": f"SELECT HoleID, From_m, (row_number() OVER (ORDER BY HoleID, From_m, To_m) - 1)::BIGINT AS src_index FROM ({fx.POINTS}) AS p",
         "csv_round_trip": f"SELECT HoleID, From_m, To_m, 0.5e0 * (From_m + To_m) AS mid_m, {_r('assay', 4)}, {', '.join(_r(c, 3) for c in ('Easting', 'Northing', 'Elevation'))} FROM ({fx.POINTS}) AS p",
         "pole_density": f"""WITH {_weights()}, {SHAPE}, xy AS (SELECT {x} AS x, {y} AS y FROM shape), cells AS (SELECT (cx + 0.5) * 2 / 50e0 - 1 AS px, (cy + 0.5) * 2 / 50e0 - 1 AS py, count(*) AS n FROM (SELECT floor((x + 1) * 50 / 2) AS cx, floor((y + 1) * 50 / 2) AS cy FROM xy) AS c GROUP BY cx, cy),

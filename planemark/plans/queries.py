@@ -79,6 +79,21 @@ def filter_property_hole(spark: SparkSession, d: str) -> DataFrame:
     return s.select("src_index", "HoleID")
 
 
+@query
+def filter_prospect(spark: SparkSession, d: str) -> DataFrame:
+    """A prospect by name, with another whose holes are none: an empty list of holes keeps nothing."""
+    given = tables.load_tables(spark, fx.points(spark, d).drop("Easting", "Northing", "Elevation"), fx.collars(spark, d), fx.surveys(spark, d), fx.config())
+    out = [tables.chosen_holes(*given, fx.config(prospect_filter=p, hole_filter=h))[0] for p, h in (("Section 1", None), (["Section 2"], []))]
+    return out[0].unionByName(out[1]).select("src_index", "HoleID")
+
+
+@query
+def collar_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What samples take from their holes' collars."""
+    out, _ = ds.desurveyed(_points(spark, d).drop("Easting", "Northing", "Elevation"), fx.collars(spark, d), fx.surveys(spark, d))
+    return out.select("src_index", "Property", "Prospect", "hole_length_m")
+
+
 @query
 def score_single(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.scored(_points(spark, d), ["assay"], quantile=0.5).select("src_index", "min_score", "score_rank", "is_active"), min_score=6, score_rank=9)
