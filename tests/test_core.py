@@ -182,9 +182,12 @@ def test_angles_by_hand(spark):
     assert val(v.unit(("0e0", "0e0", "0e0"))[0]) == 0
 
 
-def test_convention_round_trip(spark):
-    for r in REGISTRY["pitch_cases"](spark, "").collect():
-        assert (r.dip_back, r.pitch_back) == (r.dip, r.rake) and (r.dip_azimuth_back - r.dip_azimuth) % 360 == 0
+def test_convention_round_trip(spark, sf):
+    planes = [(dip, az, rake) for dip in (10.0, 35.0, 60.0, 85.0) for az in (0.0, 100.0, 225.0, 359.0) for rake in (15.0, 90.0, 160.0)]
+    fixed = export.convention_check(spark.createDataFrame(planes, "dip double, dip_azimuth double, rake double")).collect()
+    assert len(fixed) == len(planes)
+    for r in (*fixed, *REGISTRY["pitch_cases"](spark, sf).collect()):
+        assert (round(r.dip_back, 5), round(r.pitch_back, 5)) == (r.dip, r.rake) and round(r.dip_azimuth_back - r.dip_azimuth, 5) % 360 == 0
 
 
 def test_point_and_table_routes_agree(spark, sf):
