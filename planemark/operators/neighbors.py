@@ -52,9 +52,10 @@ def _blocks(left: DataFrame, right: DataFrame, steps: list[tuple[int, int, int]]
     here = left.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_a"))
     come = _around(right.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_b")), steps).groupBy(*CELL).agg(F.sum("_b").alias("_b"))
     cut = here.join(come, list(CELL)).where((F.col("_a") > dense) | (F.col("_b") > around))
+    if cut.isEmpty():
+        return None
     table = written(cut.select(*CELL, F.ceil(F.col("_a") / dense).cast("int").alias("_ka"), F.ceil(F.col("_b") / around).cast("int").alias("_kb")), "dense-cells")
-    n = table.count()
-    return None if n == 0 else F.broadcast(table) if n <= BROADCAST_CELLS else table
+    return F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
 
 
 def _in_blocks(df: DataFrame, cut: DataFrame, mine: str, theirs: str, block: str, other: str) -> DataFrame:
@@ -74,7 +75,8 @@ def near(a: DataFrame, b: DataFrame, radius: float, same: bool = False, dense: i
     """
     steps = [s for s in _STEPS if s >= (0, 0, 0)] if same else _STEPS
     left, right = _cells(a, ("x", "y", "z"), radius), _cells(b, ("xj", "yj", "zj"), radius)
-    cut = _blocks(left, right, steps, dense or DENSE, around or AROUND)
+    # The same points have the same counts, which Spark then makes once.
+    cut = _blocks(left, left if same else right, steps, dense or DENSE, around or AROUND)
     right, keys = _around(right, steps), list(CELL)
     if cut is not None:
         left, right = _in_blocks(left, cut, "_ka", "_kb", "_block_a", "_block_b"), _in_blocks(right, cut, "_kb", "_ka", "_block_b", "_block_a")
