@@ -22,7 +22,8 @@ from .packed import text_bytes, _arrow
 from .substrings import _ids, _shard, _source, row_filter, row_keys
 from .suffix_array import shared_windows
 
-PLACE_BITS = 28
+#: As long as a text of Spark can be. The rest of a hash orders grams; of grams alike in it the first one of a window counts, in every text.
+PLACE_BITS = 31
 PLACE = U((1 << PLACE_BITS) - 1)
 #: Different segments of one anchor up to which they go into one shard; beyond, windows in blocks of BLOCKS are cut apart.
 MOST, BLOCKS = 1200, (32, 1)
