@@ -3,8 +3,10 @@ combinations of two for frequent ones, and candidates are verified.
 
 A document is its set of distinct word shingles (the tokens). Tokens stand in one global order, by the number of documents that
 have them and then by hash. Let two sets of at most n tokens be similar: at most n - o of the tokens of either are not shared, o
-being the least overlap that the threshold allows. So of the first n - o + 2 tokens of both, two at least are shared; if one of
-these is rare, the index of single tokens finds the pair, else that of pairs of frequent tokens does.
+being the least overlap that the threshold allows. So of the first n - o + 1 + m tokens of both, m + 1 at least are shared; if one
+of these is rare, the index of single tokens finds the pair. Else, as a hash deals the tokens into m classes, two of them are of
+one class, and the index of pairs of frequent tokens of a class finds it. m grows with n, so that a class has a bounded number of
+tokens and the index grows with the length of the texts, not with its square.
 """
 
 from __future__ import annotations
@@ -213,13 +215,15 @@ def _gathered(shared: DataFrame, percent: int, rare: int) -> DataFrame:
 FEW = 100_000
 
 
+def _only(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ids (id, distinct): how they are fetched hangs on their number, the result does not."""
+    return reps.join(F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. Tokens that no other set has count in the sizes alone. How the tokens are
-    fetched hangs on the number of pairs, the result does not."""
+    """Those of the pairs (a, b) whose sets are similar. Tokens that no other set has count in the sizes alone."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.limit(FEW + 1).count() <= FEW:
-        reps = reps.join(F.broadcast(ids), "id", "left_semi")
+    reps = _only(reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
@@ -230,8 +234,8 @@ def _several(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max(F.struct("weight", "shuffled", "id", "comp")).alias("_top"), F.count(F.lit(1)).alias("_rows")).where("_low <> _high").drop("_low", "_high")
 
 
-def _labelled(index: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    index = index.select(*INDEX)
+def _labelled(index: DataFrame, labels: DataFrame | None, turn: int, *more: str) -> DataFrame:
+    index = index.select(*INDEX, *more)
     out = index.withColumn("comp", F.col("id")) if labels is None else index.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     # In the first turn the set of greatest mass is the centre of a key, later any.
     return out.withColumn("shuffled", F.xxhash64(F.lit(turn), "id")).withColumn("weight", F.col("mass") if turn == 0 else F.lit(0))
@@ -295,14 +299,55 @@ def _met(keyed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 OWN = ("id", "n", "comp", "weight", "shuffled")
 
 
-def _keyed(rows: DataFrame, every: bool) -> DataFrame:
-    """The index: rows of sets under keys k, which are single rare tokens and combinations of two frequent ones; of these every one,
-    or only those of neighbours in the order of the set's tokens."""
+def _singles(rows: DataFrame) -> DataFrame:
+    return rows.where("rare").select(*OWN, F.xxhash64("token", "token").alias("k"))
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Rows of sets under keys k, which are single rare tokens, and two frequent ones that are neighbours in the order of the set's."""
     lists = rows.where("NOT rare").groupBy("id").agg(*(F.first(x).alias(x) for x in OWN[1:]), F.sort_array(F.collect_set("token")).alias("ts"))
-    following = lambda t, i: F.slice("ts", i + 2, F.size("ts") if every else F.lit(1))
-    combos = F.flatten(F.transform("ts", lambda t, i: F.transform(following(t, i), lambda u: F.struct(t.alias("t"), u.alias("u")))))
-    pairs = lists.select(*OWN, F.explode(combos).alias("c")).select(*OWN, F.xxhash64("c.t", "c.u").alias("k"))
-    return rows.where("rare").select(*OWN, F.xxhash64("token", "token").alias("k")).unionByName(pairs)
+    beside = F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("t"), F.slice("ts", 2, F.size("ts")).alias("u"))
+    pairs = lists.where(F.size("ts") > 1).select(*OWN, F.explode(beside).alias("c")).select(*OWN, F.xxhash64("c.t", "c.u").alias("k"))
+    return _singles(rows).unionByName(pairs)
+
+
+def _prefix(percent: int) -> Column:
+    """The first n - o + 2 tokens, without those that no other set has: these come first and are not in the arrays."""
+    return F.greatest(F.col("n_shared") - F.ceil(F.col("n") * percent / 100) + 2, F.lit(0)).cast("int")
+
+
+def _classes(n: str, percent: int) -> Column:
+    """Classes of tokens in sets of n: the power of two next below a quarter of the tokens that similar sets need not share.
+
+    The numbers of two similar sets are equal or one is twice the other, as percent is over 50.
+    """
+    return F.expr(f"CAST(shiftleft(1L, length(bin(greatest(1L, CAST({n} AS BIGINT) * {100 - percent} div 400))) - 1) AS INT)")
+
+
+CLASSED = ("coarse", "fine", "near")
+
+
+def _longer(reps: DataFrame, percent: int) -> DataFrame:
+    """The index of extended prefixes: a row for each of their tokens, with its class and its class among those of the largest similar
+    set. near: in the prefix that the set's own number of classes needs.
+
+    A set whose plain prefix is rare altogether shares a rare token of it with every similar set, and is not extended.
+    """
+    sets = reps.withColumn("own", _classes("n", percent)).withColumn("wide", _classes(f"(n * 100 div {percent})", percent)).withColumn("plain", _prefix(percent))
+    many = F.when(F.col("n_rare") < F.col("plain"), F.col("plain") + F.col("wide") - 1).otherwise(F.col("plain"))
+    rows = sets.select("id", "n", "mass", "n_rare", "own", "wide", "plain", F.posexplode(F.slice("tokens", F.lit(1), many)).alias("at", "token"))
+    of = lambda m: F.pmod(F.xxhash64("token"), m).cast("int")
+    return rows.select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare"), of("own").alias("coarse"), of("wide").alias("fine"), (F.col("at") < F.col("plain") + F.col("own") - 1).alias("near"))
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """Rows of sets under keys k: single rare tokens, and all twos of frequent tokens of one class, with the set's own number of classes
+    or that of the largest similar set. Classes are a power of two, so the finer divide the coarser ones."""
+    lists = rows.where("NOT rare").groupBy("id", "coarse").agg(*(F.first(x).alias(x) for x in OWN[1:]), F.sort_array(F.collect_set(F.struct("token", "fine", "near"))).alias("ts"))
+    fits = lambda t: lambda u: (t["near"] & u["near"]) | (t["fine"] == u["fine"])
+    of_one = lambda t, i: F.transform(F.filter(F.slice("ts", i + 2, F.size("ts")), fits(t)), lambda u: F.xxhash64(t["token"], u["token"]))
+    pairs = lists.where(F.size("ts") > 1).select(*OWN, F.explode(F.flatten(F.transform("ts", of_one))).alias("k"))
+    return _singles(rows).unionByName(pairs)
 
 
 def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | None:
@@ -310,12 +355,11 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
 
     Links between sets of one component do not change the components, so candidates are sought between different ones only, and
     tokens under which one component stands leave the index. In each of some turns every set is verified against one centre of the
-    keys that it stands under, and the components are found anew: one pair a set, which joins large groups of near copies. Of what
-    then still stands apart under a key, all combinations are indexed and all candidates verified.
+    keys that it stands under, and the components are found anew: one pair a set, which joins large groups of near copies. For what
+    then still has a token in common with another component, prefixes are extended, the combinations of each class are indexed and
+    all candidates verified.
     """
-    least = F.ceil(F.col("n") * percent / 100)
-    prefix = F.greatest(F.col("n") - least + 2 - (F.col("n") - F.col("n_shared")), F.lit(0)).cast("int")
-    index = stored(reps.select("id", "n", "mass", "n_rare", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token")).select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare")), "prefixes")
+    index = stored(reps.select("id", "n", "mass", "n_rare", F.posexplode(F.slice("tokens", F.lit(1), _prefix(percent))).alias("at", "token")).select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare")), "prefixes")
     links, labels = None, None
     for turn in range(turns + 1):
         rows = _labelled(index, labels, turn % turns)
@@ -324,13 +368,17 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
         if rows.isEmpty():
             return labels
         index = rows
-        keyed = _keyed(rows, every=turn == turns)
         if turn < turns:
+            keyed = _neighbours(rows)
             met = keyed.join(_several(keyed, ["k"]).select("k", "_top"), "k").where(F.col("comp") != F.col("_top.comp"))
             # Of the centres of a set's keys one is verified in this turn.
             pairs = met.groupBy("id").agg(F.max("_top").alias("_top")).select(F.least("id", F.col("_top.id")).alias("a"), F.greatest("id", F.col("_top.id")).alias("b")).distinct()
         else:
-            pairs = _met(keyed, reps, percent)
+            ids = stored(rows.select("id").distinct(), "open")
+            rows = _labelled(_longer(_only(reps, ids), percent), labels, 0, *CLASSED)
+            rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "extended-prefixes")
+            discard(index)
+            pairs = _met(_combined(rows), reps, percent)
         found = stored(_verified(pairs, reps, percent), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
@@ -345,7 +393,8 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
     more; component_id is the smallest doc_id that links reach, the row's own included. Fewer words than `size` are one shingle;
     rows without words have none and are linked with nothing. Rows with equal sets are linked however many there are. A null
     doc_id is smaller than none: its component_id is that of its links, or null. Repeated rows are linked with one another;
-    extra columns are left out; an empty table gives an empty result. Sets are compared by hashes of their shingles (48 bits and the
+    extra columns are left out; an empty table gives an empty result. Very long texts: the index has a bounded number of rows a shingle,
+    in arrays of one class of them; the shingles of one text are one array. Sets are compared by hashes of their shingles (48 bits and the
     bucket's). percent must be over 50: below, sets of one token may be similar to larger ones, and have no combination of two.
     """
     if not 50 < percent <= 100:

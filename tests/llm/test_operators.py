@@ -226,6 +226,54 @@ def test_pairs_of_frequent_tokens_find_what_centres_miss(spark):
     same(ngram_join.similarity_classes(df, 3, 80, 0), classes(rows, 3, 80))
 
 
+@pytest.mark.parametrize(("percent", "rare"), [(90, 0), (80, 0), (60, 0), (90, 3)])
+def test_similar_sets_share_a_key_of_the_index(spark, percent, rare):
+    """Sets of 1 to 900 tokens beside ones that are just similar enough: every similar pair has a key in common, whatever the sizes'
+    classes, and the index has a bounded number of rows a token."""
+    rng = random.Random(percent)
+    sets = []
+    for n in [1, 2, 3, 7, 15, 16, 31, 40, 64, 100, 130, 250, 255, 256, 400, 512, 600, 800, 900]:
+        for _ in range(3):
+            base = rng.sample(range(1200), n)
+            sets.append(set(base))
+            fewer = n * percent // 100 + (n * percent % 100 > 0)
+            sets.append(set(rng.sample(base, fewer)))
+            most = int(n * (100 - percent) / (100 + percent))
+            other = set(rng.sample(base, n - most))
+            sets.append(other | set(rng.sample(sorted(set(range(1200)) - set(base)), n - len(other))))
+    df = collections.Counter(x for s in sets for x in s)
+    rows = []
+    for i, s in enumerate(sets):
+        shared = sorted((x for x in s if df[x] > 1), key=lambda x: (df[x], x))
+        rows.append((i, len(s), len(shared), sum(df[x] <= rare for x in shared), 0, shared))
+    reps = spark.createDataFrame(rows, "id long, n long, n_shared long, n_rare long, mass long, tokens array<long>")
+    longer = ngram_join._longer(reps, percent)
+    assert longer.where("coarse <> fine").count() > 0
+    index = ngram_join._combined(ngram_join._labelled(longer, None, 0, *ngram_join.CLASSED)).select("id", "k").collect()
+    keys = collections.defaultdict(set)
+    for r in index:
+        keys[r.id].add(r.k)
+    found = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                assert sets[a] == sets[b] or keys[a] & keys[b], (len(sets[a]), len(sets[b]))
+                found += sets[a] != sets[b]
+    assert found > 60 and len(index) < 12 * longer.count()
+
+
+def test_op4_long_texts_under_frequent_words(spark):
+    """Texts of some 5,000 words made of blocks that nearly all of them have: all their words are frequent, and the threshold parts them."""
+    rng = random.Random(8)
+    blocks = [" ".join(f"b{k}x{rng.randrange(10**6)}" for _ in range(100)) for k in range(50)]
+    rows = [(i, " ".join(x for k, x in enumerate(blocks) if k not in left)) for i in range(48) for left in [set(rng.sample(range(50), rng.choice([3, 4, 5])))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent in (88, 90):
+        want = classes(rows, 3, percent)
+        assert len({c for _, _, c in want}) > 1
+        same(ngram_join.similarity_classes(df, 3, percent), want)
+
+
 # 5
 
 
