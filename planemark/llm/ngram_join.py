@@ -317,11 +317,12 @@ def _prefix(percent: int) -> Column:
 
 
 def _classes(n: str, percent: int) -> Column:
-    """Classes of tokens in sets of n: the power of two next below a quarter of the tokens that similar sets need not share.
+    """Classes of tokens in sets of n: the power of two next below a sixteenth of the tokens that similar sets need not share. A class
+    has some 17 to 34 of a prefix's tokens then: fewer would make the index shorter, but prefixes longer and candidates more.
 
     The numbers of two similar sets are equal or one is twice the other, as percent is over 50.
     """
-    return F.expr(f"CAST(shiftleft(1L, length(bin(greatest(1L, CAST({n} AS BIGINT) * {100 - percent} div 400))) - 1) AS INT)")
+    return F.expr(f"CAST(shiftleft(1L, length(bin(greatest(1L, CAST({n} AS BIGINT) * {100 - percent} div 1600))) - 1) AS INT)")
 
 
 CLASSED = ("coarse", "fine", "near")
