@@ -66,3 +66,26 @@ def test_no_task_orders_all_rows(spark, table):
     """Windows stand over ranges and groups; where one has no key, its rows are those of the ranges."""
     plan = ordering.numbered(table, ["v", "id"], "at")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange SinglePartition") <= 1 and "_range_of_order" in plan
+
+
+def test_quantiles_of_many_values(spark):
+    """Ties, infinities, groups of one value and values far apart, with the intervals of the places narrowed by counts; then only few rows are
+    exchanged."""
+    rng = random.Random(9)
+    values = {"even": [rng.random() * 90 for _ in range(9000)], "ties": [float(rng.randrange(3)) for _ in range(4000)], "one": [5.0] * 700, "far": [10.0 ** rng.randrange(-300, 308) * rng.choice([-1, 1]) for _ in range(3000)]}
+    values["ends"] = [float("-inf")] * 10 + values["even"][:500] + [float("inf")] * 10
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("none", None), (None, 3.0)], "g string, v double").repartition(6)
+    shares = {"p25": 0.25, "p50": 0.5, "p99": 0.99}
+    got = {r.g: r for r in ordering.quantiles(df, "v", shares, ["g"], many=0).collect()}
+    assert set(got) == {*values, "none", None} and got["none"].p50 is None and got[None].p50 == 3.0
+    for g, vs in values.items():
+        vs = sorted(vs)
+        for k, p in shares.items():
+            at = p * (len(vs) - 1)
+            a, b = vs[int(at)], vs[-int(-at // 1)]
+            assert got[g][k] == a if a == b else abs(got[g][k] - a - (at - int(at)) * (b - a)) <= 1e-12 * abs(a)
+    one = ordering.quantiles(df.where("g = 'even'"), "v", {"m": 0.5}, many=0)
+    assert one.first().m == statistics.median(values["even"])
+    keys, rows = ["_key_0"], df.select(F.col("g").alias("_key_0"), F.col("v").alias("_v")).where("g = 'even'")
+    places = rows.groupBy("_key_0").agg(F.count("_v").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select("*", F.lit("m").alias("_share"), (0.5 * (F.col("_all") - 1)).alias("_place"), F.lit(0).cast("long").alias("_below"))
+    assert ordering._held(rows, ordering._narrowed(rows, places, keys), keys).count() < 30

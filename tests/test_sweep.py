@@ -67,3 +67,30 @@ def test_a_round_exchanges_values_and_sums_alone(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_sweep_keeps_no_pairs(spark, parts, tmp_path):
+    """What the sweep writes goes with the samples and cases, not with the pairs: here over 100 a sample within 120 m."""
+    cfg, active, contacts, planes = parts
+    kept = []
+    was = sweep.written
+    sweep.written = lambda df, name: kept.append((name, was(df, name))) or kept[-1][1]
+    sums = sweep.discard
+    sweep.discard = lambda *tables: None
+    try:
+        sweep.sweep(active, cfg, planes, contacts, radii=(120.0,), smoothings=((0, 0.0), (1, 0.5)))
+    finally:
+        sweep.written, sweep.discard = was, sums
+    assert {name.split("-")[0] for name, _ in kept} == {"nodes", "cases", "sweep"}
+    assert max(df.count() for _, df in kept) <= 2 * active.count()
+
+
+def test_sweep_of_crowded_cells(spark, parts):
+    """Samples near which too many lie go by joined pairs, and come to the same."""
+    cfg, active, contacts, planes = parts
+    given = dict(radii=(90.0, 120.0), smoothings=((0, 0.0), (1, 0.5)), least_shared=100)
+    a = {(r.radius, r.smooth): r for r in sweep.sweep(active, cfg, planes, contacts, **given).collect()}
+    b = {(r.radius, r.smooth): r for r in sweep.sweep(active, cfg, planes, contacts, **given, around=1).collect()}
+    assert a and a.keys() == b.keys()
+    for k, r in a.items():
+        assert r.n_valid == b[k].n_valid and all(abs(r[c] - b[k][c]) < 1e-6 for c in ("contact_err", "stability", "vs_reference", "r2_med", "cond_med"))
