@@ -87,11 +87,9 @@ def _contacts(spark: SparkSession, a: argparse.Namespace, loaded: tuple[DataFram
     said = [f"{r['code']}/{r['boundary']}: {r['n_holes']} holes, strike {r['strike_deg']:.1f}, dip {r['dip_deg']:.1f}" for r in contacts.head(planes).collect()]
     said += [f"{r['code']}/{r['boundary']}: rejected, from a single fence" for r in contacts.rejected(planes).collect()]
     cfg = _config(a)
-    active, rows = prepare_tables(*loaded, cfg).active, None
-    for name in (*compare.METHODS, compare.REFERENCE):
-        one = contacts.compare_to_planes(estimators.orientations(active, cfg, name), planes, points).withColumn("method", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
-    rows = written(rows, "comparison")
+    active = prepare_tables(*loaded, cfg).active
+    fields = {name: written(estimators.orientations(active, cfg, name), "field") for name in (*compare.METHODS, compare.REFERENCE)}
+    rows = written(contacts.compare_fields(fields, planes, points), "comparison")
     tables.write_csv(rows, f"{a.out}/contact_validation.csv")
     return said + [f"{r['method']}: {r['weighted_err_deg']:.1f} degrees, by samples" for r in contacts.weighted_error(rows, ["method"]).collect()]
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from planemark.operators import neighbors
@@ -56,3 +57,17 @@ def test_no_task_has_more_of_a_cell_than_the_bound(spark, cloud):
 
 def test_no_points(spark, cloud):
     assert neighbors.edges(table(spark, cloud).limit(0), 20.0).collect() == []
+
+
+@pytest.mark.parametrize("dense, around", [(None, None), (40, 30)])
+def test_surfaces_near_samples(spark, dense, around):
+    """Each sample once, with the numbers of the surfaces near it, whether or not cells are cut into blocks; some are near none."""
+    rng = np.random.default_rng(11)
+    samples, points = rng.uniform(0, 90, (300, 3)), rng.uniform(20, 140, (200, 3))
+    surface = rng.integers(0, 5, 200)
+    a = spark.createDataFrame([(i, *(float(x) for x in p)) for i, p in enumerate(samples)], "i long, x double, y double, z double").repartition(3)
+    b = spark.createDataFrame([(int(k), *map(float, p)) for k, p in zip(surface, points, strict=True)], "surface int, x double, y double, z double")
+    got = {r.i: sorted(r.surfaces) for r in neighbors.touched(b, a, 15.0, dense=dense, around=around).collect()}
+    apart = ((samples[:, None] - points) ** 2).sum(axis=2) <= 15.0**2
+    assert got == {i: sorted({int(k) for k in surface[row]}) for i, row in enumerate(apart)} and [] in got.values()
+    assert all(r.surfaces == [] for r in neighbors.touched(b.where("false"), a, 15.0).collect())
