@@ -241,66 +241,94 @@ def _labelled(index: DataFrame, labels: DataFrame | None, turn: int, *more: str)
     return out.withColumn("shuffled", F.xxhash64(F.lit(turn), "id")).withColumn("weight", F.col("mass") if turn == 0 else F.lit(0))
 
 
-def _size_fits(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+#: Words of 64 bits in a set's sketch.
+WORDS = 4
+
+
+def _shape() -> Column:
+    """Of a set (n, n_shared, tokens): alone, the number of its tokens that no other set has; shared, that of the rest; and w0 to w3, a
+    sketch: the parity of the shared tokens' number in each of 256 classes."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    of = lambda k: lambda s, t: F.when(F.shiftright(t, 6).bitwiseAND(F.lit(WORDS - 1).cast("long")) == k, s.bitwiseXOR(bit(t))).otherwise(s)
+    sketch = [x for k in range(WORDS) for x in (F.lit(f"w{k}"), F.aggregate("tokens", F.lit(0).cast("long"), of(k)))]
+    return F.named_struct(F.lit("alone"), F.col("n") - F.col("n_shared"), F.lit("shared"), F.col("n_shared"), *sketch)
+
+
+def _slack(percent: int) -> Column:
+    """Two sets can only be similar if the sum of theirs is not negative."""
+    return (100 - percent) * F.col("n") - (100 + percent) * F.col("shape.alone")
+
+
+def _may_link(percent: int) -> Column:
+    """False only for pairs (n, shape; n_b, shape_b) that are not similar.
+
+    Sets are similar exactly if (100 + percent) times the tokens that only one has are (100 - percent) times all at most. Tokens that no
+    other set has are such, and at least as many of the others as the sketches differ in, since each changes one bit.
+    """
+    differ = sum((F.bit_count(F.col(f"shape.w{k}").bitwiseXOR(F.col(f"shape_b.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("shape.w0").bitwiseXOR(F.col("shape_b.w0"))))
+    apart = F.greatest(differ.cast("long"), F.abs(F.col("shape.shared") - F.col("shape_b.shared")))
+    return (100 + percent) * (F.col("shape.alone") + F.col("shape_b.alone") + apart) <= (100 - percent) * (F.col("n") + F.col("n_b"))
 
 
 INDEX = ("id", "n", "mass", "token", "rare")
+OWN = ("id", "n", "comp", "weight", "shuffled")
+MET = (*OWN, "shape")
 #: Keys with more rows than this are compared by their sets' differences from a centre, not pair by pair.
 HOT = 64
 
 
-def _differences(hot: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """For sets (id, n, comp, weight, shuffled) that are to be compared with others of one centre c: certain links (a, b), and the
+def _differences(hot: DataFrame, reps: DataFrame, percent: int, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """For sets (id, n, comp, weight, shuffled, shape) that are to be compared with others of one centre c: certain links (a, b), and the
     keys k under which the other linked pairs meet.
 
     Let X be the symmetric difference of a set and the centre, u the number of tokens that no other set has, and
     S = (100 + percent) (u + |X|) - (100 - percent) n. Two sets are similar exactly if their X share (S + S') / (2 (100 + percent))
     tokens or more. Where the sum is 0 or less for a set and the one of the least S, both are linked, and so are all such sets
     with one another. All other pairs must share tokens of X, so prefixes of X in the order of the tokens' rarity in the group find
-    them; sets whose X is too short for any link drop out.
+    them; sets whose X is too short for any link drop out. The centre has no X, so for it the first case decides, and the least S'
+    that others have to reckon with is that of the rest: with the centre's, prefixes were longer and turns added rows.
     """
     side = lambda x: reps.select(F.col("id").alias(x), F.col("tokens").alias(f"_{x}"))
     own = hot.join(reps.select("id", "n_shared", "tokens"), "id").join(side("c"), "c")
     own = own.withColumn("x", F.concat(F.array_except("tokens", "_c"), F.array_except("_c", "tokens"))).withColumn("s", (100 + percent) * (F.col("n") - F.col("n_shared") + F.size("x")) - (100 - percent) * F.col("n"))
     own = stored(own.drop("tokens", "_c"), "differences")
-    least = own.groupBy("c").agg(F.min(F.struct("s", "id", "comp")).alias("m"))
+    kept.append(own)
+    least = own.groupBy("c").agg(F.min(F.struct("s", "id", "comp")).alias("m"), F.min(F.when(F.col("id") != F.col("c"), F.col("s"))).alias("rest"))
     own = own.join(least, "c").withColumn("near", (F.col("s") + F.col("m.s") <= 0) | (F.col("id") == F.col("m.id")))
     certain = own.where(F.col("near") & (F.col("id") != F.col("m.id")) & (F.col("s") + F.col("m.s") <= 0)).select(F.least("id", F.col("m.id")).alias("a"), F.greatest("id", F.col("m.id")).alias("b"))
-    needed = F.ceil(F.when(F.col("near"), F.col("s") - F.col("m.s") + 1).otherwise(F.col("s") + F.col("m.s")) / (2.0 * (100 + percent)))
-    kept = own.withColumn("long", F.size("x") - F.greatest(needed, F.lit(1)) + 1).where("long > 0").withColumn("comp", F.when(F.col("near"), F.col("m.comp")).otherwise(F.col("comp")))
-    each = kept.select("c", "id", "n", "comp", "weight", "shuffled", "long", F.explode("x").alias("e"))
+    needed = F.ceil(F.when(F.col("near"), F.col("s") - F.col("m.s") + 1).otherwise(F.col("s") + F.col("rest")) / (2.0 * (100 + percent)))
+    left = own.withColumn("long", F.size("x") - F.greatest(needed, F.lit(1)) + 1).where("long > 0").withColumn("comp", F.when(F.col("near"), F.col("m.comp")).otherwise(F.col("comp")))
+    each = left.select("c", *MET, "long", F.explode("x").alias("e"))
     ranked = each.join(each.groupBy("c", "e").agg(F.count(F.lit(1)).alias("df")), ["c", "e"])
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("c", "id").orderBy("df", "e"))).where("at <= long AND df > 1")
-    return certain, ranked.select(F.xxhash64("c", "e").alias("k"), "id", "n", "comp", "weight", "shuffled")
+    return certain, ranked.select(F.xxhash64("c", "e").alias("k"), *MET)
 
 
-def _met(keyed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _met(keyed: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of different components that may be similar, among all that stand under one key k.
 
     Keys of many rows are replaced by those of the sets' differences from their centre, until none is left: the centre itself drops
-    out each time, and only sets that differ from it alike meet again.
+    out each time, and only sets that differ from it alike meet again. Also the tables that the pairs are read from.
     """
-    pairs = None
+    pairs, kept = None, []
     while True:
-        keyed = stored(keyed.join(_several(keyed, ["k"]), "k"), "keyed")
+        best = keyed.groupBy("k").agg(F.max(_slack(percent)).alias("_best"))
+        keyed = stored(keyed.join(_several(keyed, ["k"]).join(best, "k"), "k").where(_slack(percent) + F.col("_best") >= 0).drop("_best"), "keyed")
+        kept.append(keyed)
         cold = keyed.where(F.col("_rows") <= HOT)
-        other = cold.select("k", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        some = cold.join(other, "k").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _size_fits("n", "n_b", percent)).select(F.col("id").alias("a"), "b").distinct()
+        other = cold.select("k", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("shape").alias("shape_b"))
+        some = cold.join(other, "k").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _may_link(percent)).select(F.col("id").alias("a"), "b").distinct()
         pairs = some if pairs is None else pairs.unionByName(some)
         hot = keyed.where(F.col("_rows") > HOT)
         if hot.isEmpty():
-            return pairs.distinct()
-        hot = hot.groupBy(F.col("_top.id").alias("c"), "id").agg(*(F.min(x).alias(x) for x in ("n", "comp", "weight", "shuffled")))
-        certain, keyed = _differences(hot, reps, percent)
+            return pairs.distinct(), kept
+        hot = hot.groupBy(F.col("_top.id").alias("c"), "id").agg(*(F.min(x).alias(x) for x in MET[1:]))
+        certain, keyed = _differences(hot, reps, percent, kept)
         pairs = pairs.unionByName(certain)
 
 
-OWN = ("id", "n", "comp", "weight", "shuffled")
-
-
-def _singles(rows: DataFrame) -> DataFrame:
-    return rows.where("rare").select(*OWN, F.xxhash64("token", "token").alias("k"))
+def _singles(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return rows.where("rare").select(*columns, F.xxhash64("token", "token").alias("k"))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -308,7 +336,7 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     lists = rows.where("NOT rare").groupBy("id").agg(*(F.first(x).alias(x) for x in OWN[1:]), F.sort_array(F.collect_set("token")).alias("ts"))
     beside = F.arrays_zip(F.slice("ts", F.lit(1), F.size("ts") - 1).alias("t"), F.slice("ts", 2, F.size("ts")).alias("u"))
     pairs = lists.where(F.size("ts") > 1).select(*OWN, F.explode(beside).alias("c")).select(*OWN, F.xxhash64("c.t", "c.u").alias("k"))
-    return _singles(rows).unionByName(pairs)
+    return _singles(rows, OWN).unionByName(pairs)
 
 
 def _prefix(percent: int) -> Column:
@@ -325,7 +353,7 @@ def _classes(n: str, percent: int) -> Column:
     return F.expr(f"CAST(shiftleft(1L, length(bin(greatest(1L, CAST({n} AS BIGINT) * {100 - percent} div 1600))) - 1) AS INT)")
 
 
-CLASSED = ("coarse", "fine", "near")
+CLASSED = ("coarse", "fine", "near", "shape")
 
 
 def _longer(reps: DataFrame, percent: int) -> DataFrame:
@@ -336,19 +364,19 @@ def _longer(reps: DataFrame, percent: int) -> DataFrame:
     """
     sets = reps.withColumn("own", _classes("n", percent)).withColumn("wide", _classes(f"(n * 100 div {percent})", percent)).withColumn("plain", _prefix(percent))
     many = F.when(F.col("n_rare") < F.col("plain"), F.col("plain") + F.col("wide") - 1).otherwise(F.col("plain"))
-    rows = sets.select("id", "n", "mass", "n_rare", "own", "wide", "plain", F.posexplode(F.slice("tokens", F.lit(1), many)).alias("at", "token"))
+    rows = sets.select("id", "n", "mass", "n_rare", "own", "wide", "plain", _shape().alias("shape"), F.posexplode(F.slice("tokens", F.lit(1), many)).alias("at", "token"))
     of = lambda m: F.pmod(F.xxhash64("token"), m).cast("int")
-    return rows.select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare"), of("own").alias("coarse"), of("wide").alias("fine"), (F.col("at") < F.col("plain") + F.col("own") - 1).alias("near"))
+    return rows.select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare"), of("own").alias("coarse"), of("wide").alias("fine"), (F.col("at") < F.col("plain") + F.col("own") - 1).alias("near"), "shape")
 
 
 def _combined(rows: DataFrame) -> DataFrame:
     """Rows of sets under keys k: single rare tokens, and all twos of frequent tokens of one class, with the set's own number of classes
     or that of the largest similar set. Classes are a power of two, so the finer divide the coarser ones."""
-    lists = rows.where("NOT rare").groupBy("id", "coarse").agg(*(F.first(x).alias(x) for x in OWN[1:]), F.sort_array(F.collect_set(F.struct("token", "fine", "near"))).alias("ts"))
+    lists = rows.where("NOT rare").groupBy("id", "coarse").agg(*(F.first(x).alias(x) for x in MET[1:]), F.sort_array(F.collect_set(F.struct("token", "fine", "near"))).alias("ts"))
     fits = lambda t: lambda u: (t["near"] & u["near"]) | (t["fine"] == u["fine"])
     of_one = lambda t, i: F.transform(F.filter(F.slice("ts", i + 2, F.size("ts")), fits(t)), lambda u: F.xxhash64(t["token"], u["token"]))
-    pairs = lists.where(F.size("ts") > 1).select(*OWN, F.explode(F.flatten(F.transform("ts", of_one))).alias("k"))
-    return _singles(rows).unionByName(pairs)
+    pairs = lists.where(F.size("ts") > 1).select(*MET, F.explode(F.flatten(F.transform("ts", of_one))).alias("k"))
+    return _singles(rows, MET).unionByName(pairs)
 
 
 def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | None:
@@ -361,7 +389,7 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
     all candidates verified.
     """
     index = stored(reps.select("id", "n", "mass", "n_rare", F.posexplode(F.slice("tokens", F.lit(1), _prefix(percent))).alias("at", "token")).select("id", "n", "mass", "token", (F.col("at") < F.col("n_rare")).alias("rare")), "prefixes")
-    links, labels = None, None
+    links, labels, kept = None, None, []
     for turn in range(turns + 1):
         rows = _labelled(index, labels, turn % turns)
         rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "open-prefixes")
@@ -379,8 +407,9 @@ def similar_sets(reps: DataFrame, percent: int, turns: int = 3) -> DataFrame | N
             rows = _labelled(_longer(_only(reps, ids), percent), labels, 0, *CLASSED)
             rows = stored(rows.join(_several(rows, ["token"]).select("token"), "token"), "extended-prefixes")
             discard(index)
-            pairs = _met(_combined(rows), reps, percent)
+            pairs, kept = _met(_combined(rows), reps, percent)
         found = stored(_verified(pairs, reps, percent), "links")
+        discard(*kept)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
@@ -415,7 +444,10 @@ def similarity_classes(docs: DataFrame, size: int = 5, percent: int = 80, rare:
         firsts = own.select("id", "comp").join(own.groupBy("comp").agg(F.min("first").alias("first")), "comp")
     firsts = firsts.select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "first")
     joined = sets.select("doc_id", "h1", "h2", "n_shingles").join(firsts, ["h1", "h2"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    # Stored, so that the sets, which have a number a token, need not stay for the result.
+    out = stored(joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first")).alias("component_id")), "classes")
+    discard(sets, reps)
+    return out
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

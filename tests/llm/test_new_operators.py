@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from planemark.llm import fill_in, mixing, spelling
+from planemark.llm import fill_in, mixing, ngram_join, spelling, suffixes
+from planemark.llm.common import shared_dir
 from planemark.llm.queries import QUERIES, SQL
 
 SCHEMA = "doc_id long, text string, source string, size string, copies int, word string, n long, target string"
@@ -234,3 +236,62 @@ def test_passages_of_short_words_and_whole_words(spark):
     out = {r.doc_id: r.text for r in corpus_pipeline.passage_stage(spark, df, "").collect()}
     assert short not in out[1] and short not in out[2] and out[1].split() == rows[0][1].replace(short, "").split()
     assert [out[k] for k in (3, 4, 5)] == [t for i, t in rows if i in (3, 4, 5)]
+
+
+def leftovers(spark):
+    """Kinds of tables in the shared folder, with their number."""
+    folder = shared_dir(spark).removeprefix("file:")
+    return collections.Counter(x.rsplit("-", 1)[0] for x in os.listdir(folder)) if os.path.isdir(folder) else collections.Counter()
+
+
+def test_sets_that_share_a_passage_are_no_candidates(spark, monkeypatch):
+    """Fifty texts of one passage and some words of their own are not similar, which their numbers tell; their pairs are not listed, and
+    tables with a number a token do not stay."""
+    rng = random.Random(3)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, listed, verified = make(60), [], ngram_join._verified
+    rows = [(i, " ".join(passage + make(9))) for i in range(50)]
+    rows += [(50, rows[0][1] + " more"), (51, " ".join(make(70)))]
+
+    def counted(pairs, *more):
+        listed.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    before = leftovers(spark)
+    out = ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: 0 if i == 50 else i for i in range(52)}
+    assert len(listed) == 4 and listed[-1] < 50
+    assert not {"sets", "representatives", "keyed", "differences"} & set(leftovers(spark) - before)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_keep_similar_pairs(spark, percent):
+    rng = random.Random(percent)
+    sets = []
+    for n in [1, 5, 9, 10, 18, 40, 90, 300]:
+        base = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        for most in {0, 1, n * (100 - percent) // (100 + percent), n * (100 - percent) // 100, n // 2}:
+            sets += [set(base[most:]), set(base[most:]) | {rng.randrange(-(2**63), 2**63) for _ in range(most)}]
+    df = collections.Counter(x for s in sets for x in s)
+    rows = [(i, len(s), sum(df[x] > 1 for x in s), [x for x in s if df[x] > 1]) for i, s in enumerate(sets)]
+    shaped = spark.createDataFrame(rows, "id long, n long, n_shared long, tokens array<long>").select("id", "n", ngram_join._shape().alias("shape")).coalesce(1).localCheckpoint()
+    other = shaped.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shape").alias("shape_b"))
+    passed = {(r.id, r.b) for r in shaped.crossJoin(other).where("id < b").where(ngram_join._may_link(percent)).select("id", "b").collect()}
+    similar = {(a, b) for b, t in enumerate(sets) for a, s in enumerate(sets[:b]) if s and 100 * len(s & t) >= percent * len(s | t)}
+    assert similar <= passed and len(similar) > 40 and len(passed) < 300 < len(sets) ** 2 / 8
+
+
+def test_segments_that_stand_once_are_dropped(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    again, kept, classes = make(500), [], suffixes._classes
+
+    def counted(segments):
+        kept.append({r.row_id for r in segments.select("row_id").distinct().collect()})
+        return classes(segments)
+
+    monkeypatch.setattr(suffixes, "_classes", counted)
+    df = spark.createDataFrame([(1, make(900)), (2, make(300) + again), (3, again + make(50)), (4, make(2000))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffixes.repeated_bytes(df, 400).collect()} == {1: 0, 2: 500, 3: 500, 4: 0}
+    assert kept == [{2, 3}]
