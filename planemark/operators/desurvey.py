@@ -32,20 +32,22 @@ def paths(collars: DataFrame, surveys: DataFrame, depths: DataFrame) -> DataFram
     is at the smallest depth of the hole.
     """
     at = stations(collars, surveys)
-    none = F.lit(None).cast("double")
-    asked = depths.select("HoleID", F.col("Depth_m").cast("double").alias("Depth_m")).dropna().distinct()
-    rows = asked.select("HoleID", "Depth_m", none.alias("dx"), none.alias("dy"), none.alias("dz")).unionByName(at)
-    rows = rows.groupBy("HoleID", "Depth_m").agg(*(F.max(c).alias(c) for c in ("dx", "dy", "dz")))
-    station = F.when(F.col("dx").isNotNull(), F.struct("Depth_m", "dx", "dy", "dz"))
     hole = Window.partitionBy("HoleID").orderBy("Depth_m")
-    rows = rows.withColumn("_a", F.last(station, True).over(hole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Upwards too the frame grows row by row; one that shrinks from below would be summed up anew for every row.
-    upwards = Window.partitionBy("HoleID").orderBy(F.col("Depth_m").desc())
-    rows = rows.withColumn("_b", F.last(station, True).over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumns({"_a": F.coalesce("_a", "_b"), "_b": F.coalesce("_b", "_a")})
-    gap = F.col("_b.Depth_m") - F.col("_a.Depth_m")
-    share = F.when(gap > 0, (F.col("Depth_m") - F.col("_a.Depth_m")) / F.when(gap > 0, gap).otherwise(1.0)).otherwise(0.0)
-    rows = rows.withColumn("_t", share).select("HoleID", "Depth_m", *((F.col(f"_a.{c}") + F.col("_t") * (F.col(f"_b.{c}") - F.col(f"_a.{c}"))).alias(f"_{c}") for c in ("dx", "dy", "dz")))
+    given = ("Depth_m", "dx", "dy", "dz")
+    # A station brings the next one of its hole, so that all windows over the hole's depths share one order.
+    at = at.select("HoleID", *given, *(F.lead(c).over(hole).alias(f"next_{c}") for c in given))
+    none = F.lit(None).cast("double")
+    asked = depths.select("HoleID", F.col("Depth_m").cast("double").alias("Depth_m")).dropna()
+    rows = asked.select("HoleID", "Depth_m", *(none.alias(c) for c in at.columns[2:])).unionByName(at)
+    rows = rows.groupBy("HoleID", "Depth_m").agg(*(F.max(c).alias(c) for c in at.columns[2:]))
+    station = F.when(F.col("dx").isNotNull(), F.struct(*at.columns[1:]))
+    upto, whole = hole.rowsBetween(Window.unboundedPreceding, Window.currentRow), hole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("HoleID", "Depth_m", F.last(station, True).over(upto).alias("_last"), F.first(station, True).over(whole).alias("_first"))
+    a = lambda c: F.coalesce(F.col(f"_last.{c}"), F.col(f"_first.{c}"))
+    b = lambda c: F.coalesce(F.col(f"_last.next_{c}"), a(c))
+    gap = b("Depth_m") - a("Depth_m")
+    share = F.when(gap > 0, (F.col("Depth_m") - a("Depth_m")) / F.when(gap > 0, gap).otherwise(1.0)).otherwise(0.0)
+    rows = rows.withColumn("_t", share).select("HoleID", "Depth_m", *((a(c) + F.col("_t") * (b(c) - a(c))).alias(f"_{c}") for c in ("dx", "dy", "dz")))
     rows = rows.select("HoleID", "Depth_m", *(v.col(e).alias(c) for c, e in zip(("ux", "uy", "uz"), v.unit(("_dx", "_dy", "_dz")), strict=True)))
     rows = rows.withColumns({f"_{c}": F.lag(c).over(hole) for c in ("Depth_m", "ux", "uy", "uz")})
     bend = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ux") * F.col("_ux") + F.col("uy") * F.col("_uy") + F.col("uz") * F.col("_uz"))))
@@ -68,15 +70,24 @@ def unique_collars(collars: DataFrame) -> DataFrame:
 
 
 def desurveyed(samples: DataFrame, collars: DataFrame, surveys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples with from_, to_ and mid_ x, y, z, the direction at the middle, collar columns and src_index; and the paths.
-
-    src_index, if samples do not bring one, numbers them by hole, from and to; one that they bring must tell them apart. Every sample is
-    sought in the paths by its three depths at once, in one join, and its rows are put side by side again.
-    """
+    """Samples as from placed(), and the paths. src_index, if samples do not bring one, numbers them by hole, from and to; one that they
+    bring must tell them apart."""
     collars = unique_collars(collars)
     samples = with_src_index(samples)
-    asked = samples.select("HoleID", F.explode(F.array("From_m", "To_m", "mid_m")).alias("Depth_m"))
-    path = written(paths(collars, surveys, asked), "paths")
+    path = written(paths(collars, surveys, all_depths(samples)), "paths")
+    return placed(samples, collars, path), path
+
+
+def all_depths(samples: DataFrame) -> DataFrame:
+    """(HoleID, Depth_m): where samples begin, end and have their middles."""
+    return samples.select("HoleID", F.explode(F.array("From_m", "To_m", "mid_m")).alias("Depth_m"))
+
+
+def placed(samples: DataFrame, collars: DataFrame, path: DataFrame) -> DataFrame:
+    """Samples of holes that have a collar, with from_, to_ and mid_ x, y, z, the direction at the middle and collar columns.
+
+    Every sample is sought in the paths by its three depths at once, in one join, and its rows are put side by side again.
+    """
     carried = [c for c in ("Property", "Prospect", "HoleType") if c in collars.columns and c not in samples.columns]
     whole = samples.join(collars.select("HoleID", *carried, F.col("Length_m").alias("hole_length_m")), "HoleID")
     given = F.struct(*(F.col(f"`{c}`") for c in whole.columns))
@@ -87,7 +98,7 @@ def desurveyed(samples: DataFrame, collars: DataFrame, surveys: DataFrame) -> tu
     at = lambda role, c: F.max(F.when(F.col("_role") == role, F.col(c)))
     places = [at(k, c).alias(f"{k}_{c.lower()}") for k in ("from", "to", "mid") for c in "XYZ"] + [at("mid", c).alias(c) for c in ("ux", "uy", "uz")]
     out = found.groupBy("_row").agg(F.first("_given", ignorenulls=True).alias("_given"), *places)
-    return out.select("_given.*", *(c for c in out.columns if c not in ("_row", "_given"))), path
+    return out.select("_given.*", *(c for c in out.columns if c not in ("_row", "_given")))
 
 
 def with_src_index(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.desurvey import desurveyed, hole_traces, with_src_index
+from ..operators.desurvey import all_depths, hole_traces, paths, placed, unique_collars, with_src_index
 from ..operators.estimators import orientations
 from ..operators.score import scored
 from ..sources.store import written
@@ -34,11 +34,30 @@ def prepare_points(points: DataFrame, cfg: dict[str, Any]) -> Prepared:
     return Prepared(all_, written(all_.where("is_active"), "active"), hole_traces(placed))
 
 
+#: What paths and placed() take of collars and surveys.
+COLLAR = ("HoleID", "Easting", "Northing", "Elevation", "Length_m", "Dip", "Azimuth", "Property", "Prospect", "HoleType")
+SURVEY = ("HoleID", "Depth_m", "Dip", "Azimuth")
+
+
 def prepare_tables(samples: DataFrame, collars: DataFrame, surveys: DataFrame, cfg: dict[str, Any]) -> Prepared:
-    """The three tables, as from load_tables."""
-    des, paths = desurveyed(samples, collars, surveys)
-    all_ = scored(des, cfg["score_columns"], cfg["log_transform_score"], cfg["active_score_quantile"])
-    return Prepared(all_, written(all_.where("is_active"), "active"), paths)
+    """The three tables, as from load_tables. Each is written once, and of the samples only the active ones are placed for `active`; paths
+    go through the depths of all."""
+    collars = unique_collars(written(collars.select(*(c for c in COLLAR if c in collars.columns)), "collars"))
+    samples = written(with_src_index(samples).join(collars.select("HoleID"), "HoleID", "left_semi"), "samples")
+    path = written(paths(collars, written(surveys.select(*SURVEY), "surveys"), all_depths(samples)), "paths")
+    score = lambda df: scored(df, cfg["score_columns"], cfg["log_transform_score"], cfg["active_score_quantile"])
+    if not set(cfg["score_columns"]) <= set(samples.columns):
+        # What is not among the samples' columns may come with their places.
+        all_ = score(placed(samples, collars, path))
+        return Prepared(all_, written(all_.where("is_active"), "active"), path)
+    added = ("min_score", "score_rank", "is_active")
+
+    def place(df: DataFrame) -> DataFrame:
+        out = placed(df, collars, path)
+        return out.select(*(c for c in out.columns if c not in added), *added)
+
+    ranked = score(samples)
+    return Prepared(place(ranked), written(place(ranked.where("is_active")), "active"), path)
 
 
 def from_points(spark: SparkSession, source: str | DataFrame, cfg: dict[str, Any]) -> Prepared:
