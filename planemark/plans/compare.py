@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import estimators, validation
+from ..operators import estimators, neighbors, validation
 from ..sources.store import written
 
 METHODS = ("shape_pca", "lsq_gradient")
@@ -30,12 +31,16 @@ def compared(active: DataFrame, cfg: dict[str, Any], methods: tuple[str, ...] =
     n_active = active.count()
     if n_active < cfg["min_neighbors"]:
         return Comparison({}, {}, None, f"only {n_active} active samples of {cfg['min_neighbors']} that a neighbourhood needs")
-    fields, seconds = {}, {}
+    fields, seconds, sums = {}, {}, {}
+    # One search for neighbours gives an estimator's sums by half, and these the whole. What is in neither half counts for the whole alone.
+    half = validation.random_half() if half is None else half
     for name in (*methods, REFERENCE):
         began = time.perf_counter()
-        fields[name] = written(estimators.orientations(active, cfg, name), "field")
+        est = estimators.ESTIMATORS[name]
+        sums[name] = written(neighbors.moments(neighbors.nodes(active), cfg, est.graded, est.lsq, split=F.coalesce(half.cast("int"), F.lit(-1))), "sums")
+        fields[name] = written(estimators.orientations(active, cfg, name, sums=neighbors.over_halves(sums[name])), "field")
         seconds[name] = time.perf_counter() - began
     if all(f.isEmpty() for f in fields.values()):
         return Comparison(fields, seconds, None, f"no sample has {cfg['min_neighbors']} neighbours from {cfg['min_holes']} holes")
-    more = validation.diagnostics(fields, active, cfg, validation.random_half() if half is None else half)
+    more = validation.diagnostics(fields, active, cfg, half, sums=sums)
     return Comparison(fields, seconds, validation.summary(fields, REFERENCE, n_active, more, active, seconds))
