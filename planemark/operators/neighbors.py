@@ -102,7 +102,7 @@ def near(a: DataFrame, b: DataFrame, radius: float, same: bool = False, dense: i
 #: Sides of the cells in which sums are made, in radii, and pairs of samples that a task holds at once: so many doubles stay in a core's cache.
 SIDE, AT_ONCE = 1.5, 1 << 17
 #: Sides, in radii, of the cubes whose samples look for their neighbours together.
-CUBE = 0.5
+CUBE = 1.0
 HOME = ("_hx", "_hy", "_hz")
 
 

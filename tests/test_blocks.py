@@ -2,10 +2,14 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from planemark.operators import neighbors as nb
+from planemark.operators import validation
+from planemark.plans import compare, sweep
 from planemark.plans import fixtures as fx
-from planemark.plans import sweep
+from planemark.plans.prepare import prepare_points
+from planemark.sources import tables
 
 
 def _places(n, seed=1):
@@ -75,3 +79,22 @@ def test_equations_are_solved_for_many_rows(monkeypatch):
     rows = list(task.judged(scores, 4))
     # Two radii, two smoothings, three parts, however many blocks there are.
     assert len(calls) == 12 and sum(len(r["row"]) for r in rows) > 0
+
+
+def test_a_method_is_one_search(spark, sf, monkeypatch):
+    """Three methods and the agreement of all: four searches. Sums over halves give the whole field, and what is in neither half counts for it."""
+    cfg = fx.config(min_holes=6)
+    active = prepare_points(tables.intervals(fx.points(spark, sf)), cfg).active
+    n = nb.nodes(active)
+    key = F.substring("holej", 2, 9).cast("int") % 3
+    whole = {r.i: r for r in nb.moments(n, cfg).collect()}
+    parts = {r.i: r for r in nb.over_halves(nb.moments(n, cfg, split=F.when(key < 2, key).otherwise(-1))).collect()}
+    assert whole.keys() == parts.keys() and whole
+    for i, r in whole.items():
+        assert r.local_n == parts[i].local_n and r.local_holes == parts[i].local_holes and np.isclose(r.mxx, parts[i].mxx, rtol=1e-9)
+    searches = []
+    found = nb.in_cells
+    for module in (nb, validation):
+        monkeypatch.setattr(module, "in_cells", lambda *given, **more: searches.append(1) or found(*given, **more))
+    out = compare.compared(active, cfg)
+    assert out.summary.count() == 3 and len(searches) == 4
